@@ -16,6 +16,7 @@ again on the same split.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,54 +29,140 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKENIZERS: dict[str, _Encoder] = {}
-_SIMPLE = re.compile(rb"([a-zA-Z]+)([^\sa-zA-Z0-9'<|\x80-\xff]+)")
+#: Characters whose normal form, lower case and class are the same in every Unicode version.
+_PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+")
+_ODD = re.compile(rb"\xc4[\xb0\xb1]|\xc5[\x89\xbf]|<\|")
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u017e"
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+|\n")
+
+
+class _Merges:
+    """Byte-pair merges of many words at once: in each round every word merges its best pair."""
+
+    def __init__(self, model: dict):
+        vocab, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        names = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in printable)}
+        self.first = np.array([vocab[names[b]] for b in range(256)], dtype=np.int64)
+        self.last = np.array([vocab[names[b] + self.suffix] for b in range(256)], dtype=np.int64)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        left, right = np.array([vocab[x] for x, _ in pairs], np.int64), np.array([vocab[y] for _, y in pairs], np.int64)
+        merged = np.array([vocab[x + y] for x, y in pairs], np.int64)
+        self.bits = 19
+        keys = left << 20 | right
+        self.keys, self.rank, self.into = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, len(pairs), np.int64), np.zeros(1 << self.bits, np.int64)
+        todo, self.probes = np.arange(len(pairs)), 0
+        while len(todo):  # open addressing: what finds its place taken tries the next
+            at = self._slot(keys[todo], self.probes)
+            free = self.keys[at] < 0
+            _, one = np.unique(at[free], return_index=True)
+            won = np.flatnonzero(free)[one]
+            self.keys[at[won]], self.rank[at[won]], self.into[at[won]] = keys[todo[won]], todo[won], merged[todo[won]]
+            todo = np.delete(todo, won)
+            self.probes += 1
+        self.none = len(pairs)
+
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64) + probe & ((1 << self.bits) - 1)
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self._slot(keys, 0)
+        found = self.keys[at]
+        for probe in range(1, self.probes):
+            miss = np.flatnonzero((found != keys) & (found >= 0))
+            if not len(miss):
+                break
+            at[miss] = self._slot(keys[miss], probe)
+            found[miss] = self.keys[at[miss]]
+        return np.where(found == keys, self.rank[at], self.none), at
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit numbers."""
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        ends = np.cumsum(sizes) - 1
+        ids = self.first[raw]
+        ids[ends] = self.last[raw[ends]]
+        word = np.repeat(np.arange(len(words)), sizes)
+        done_ids, done_word = [], []
+        while len(ids):
+            pair = np.flatnonzero(word[1:] == word[:-1])
+            rank, at = self._find(ids[pair] << 20 | ids[pair + 1])
+            some = rank < self.none
+            pair, rank, at = pair[some], rank[some], at[some]
+            live = np.zeros(len(words), dtype=bool)
+            live[word[pair]] = True
+            keep = live[word]
+            done_ids.append(ids[~keep])
+            done_word.append(word[~keep])
+            if not len(pair):
+                break
+            starts = np.flatnonzero(np.concatenate([[True], word[pair][1:] != word[pair][:-1]]))
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), starts) & 0xFFFFFFFF  # the leftmost of equal ones
+            ids[pair[best]] = self.into[at[best]]
+            keep[pair[best] + 1] = False
+            ids, word = ids[keep], word[keep]
+        ids, word = np.concatenate(done_ids), np.concatenate(done_word)
+        ids = ids[np.argsort(word, kind="stable")].astype("<u4").tobytes()
+        cut = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))]) * 4
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-class _Memo(dict):
-    """Token ids (little-endian unsigned 32-bit) of a stretch without ASCII white space.
+class _Encoder:
+    """Token ids of whole texts.
 
-    The vocabulary's normaliser, splitter and merges all stop at white space, so a text's ids are
-    those of its stretches, joined. ASCII letters followed by punctuation are two stretches more.
+    Where the vocabulary's normaliser, splitter and merges all stop at white space, a text's ids are
+    those of its stretches, joined: stretches met before are looked up, new ones of plain characters
+    are merged many at once, and the tokenizer itself encodes what is left.
     """
 
-    def __init__(self, encode, size: int = 250_000):
-        super().__init__()
-        self.encode, self.size, self.splits = encode, size, True
-
-    def __missing__(self, raw: bytes) -> bytes:
-        m = _SIMPLE.fullmatch(raw) if self.splits else None
-        if m:
-            ids = self[m[1].lower()] + self[m[2]]
-        elif self.splits and raw.isalpha() and not raw.islower() and raw.isascii():
-            ids = self[raw.lower()]
-        else:
-            ids = np.array(self.encode(raw.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= self.size:
-            self.clear()
-        self[raw] = ids
-        return ids
-
-
-class _Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, size: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = _Memo(self.tokenizer.encode)
-        self.by_stretch = self._lower_cases_and_drops_space()
-
-    def _lower_cases_and_drops_space(self) -> bool:
-        """Whether stretches may be encoded apart: probed, since it holds for one kind of vocabulary only."""
-        probe = "It's Aé\n \tthe-END...  x9y Z?! ok, Done."
-        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        apart = b"".join(map(self.memo.__getitem__, probe.encode().split()))
-        return np.array(whole, dtype="<u4").tobytes() == apart
-
-    def ids(self, raw: bytes) -> bytes:
-        if self.by_stretch:
-            return b"".join(map(self.memo.__getitem__, raw.split()))
+        self.memo: dict[bytes, bytes] = {}
+        self.size, self.merges = size, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if spec["model"].get("end_of_word_suffix") and [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
+            self.merges = _Merges(spec["model"])
+
+    def _whole(self, raw: bytes) -> bytes:
         return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _learn(self, stretches: list[bytes]) -> None:
+        plain = [x for x in stretches if _PLAIN.fullmatch(x) and not _ODD.search(x)]
+        rest = set(stretches).difference(plain)
+        if plain:
+            parts = _SPLIT.findall(b"\n".join(plain).decode().lower())
+            words = list(set(parts))
+            ids = dict(zip(words, self.merges.encode([w.encode() for w in words]), strict=True))
+            ids["\n"], out, at = None, [], 0
+            for p in map(ids.__getitem__, parts):
+                if p is None:
+                    self.memo[plain[at]] = b"".join(out)
+                    out, at = [], at + 1
+                else:
+                    out.append(p)
+            self.memo[plain[at]] = b"".join(out)
+        for x in rest:
+            self.memo[x] = self._whole(x)
+
+    def ids_of(self, texts: list[bytes | None]) -> list[bytes]:
+        if self.merges is None:
+            return [self._whole(t) if t else b"" for t in texts]
+        out = []
+        for a in range(0, len(texts), 256):
+            split = [t.split() if t else [] for t in texts[a : a + 256]]
+            fresh = set().union(*split).difference(self.memo)
+            if len(self.memo) + len(fresh) > self.size:
+                self.memo.clear()
+                fresh = set().union(*split)
+            if fresh:
+                self._learn(list(fresh))
+            out += [b"".join(map(self.memo.__getitem__, s)) for s in split]
+        return out
+
 
 def encoder(path: str) -> _Encoder:
     """This worker's encoder for a tokenizer file."""
@@ -224,11 +311,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         n = 0
         for batch in batches:
             kind = batch.column(0).type
-            columns = [batch.column(0).to_pylist(), *(c.cast(pa.large_binary()).to_pylist() for c in batch.columns[1:])]
+            heads, tails = (enc.ids_of(c.cast(pa.large_binary()).to_pylist()) for c in batch.columns[1:])
             bins = []
-            for k, prompt, text in zip(*columns, strict=True):
-                head = enc.ids(prompt) if prompt else b""
-                ids = head + (enc.ids(text) if text else b"") + end
+            for k, head, tail in zip(batch.column(0).to_pylist(), heads, tails, strict=True):
+                ids = head + tail + end
                 bins += packer.add(Piece(n, k, ids, 0, len(head) // 4, len(ids) // 4))
                 n += 1
             if (out := rows(bins)) is not None:

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.llm import decontaminate as d8
+from lathe.llm import langid as d9
 from lathe.llm import line_frequency as d10
 from lathe.llm import packing as d4
+from lathe.llm import quality_fm as d7
 from lathe.llm import resharding as d6
-from lathe.llm.textops import table
+from lathe.llm import toxicity as d1
+from lathe.llm import url_filter as d3
+from lathe.llm.textops import remainder, table
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -22,6 +26,35 @@ def tokenizer_file(name: str = WORD_BPE) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    return _scored(docs, d1.score(d1.fit(docs, labels), F.col("text")), 0.5)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    return _scored(docs, d7.score(d7.fit(docs, labels), F.col("text")), 0.3)
+
+
+def _scored(docs: DataFrame, score, limit: float) -> DataFrame:
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    return docs.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= limit).cast("int"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return d3.filter_urls(pages, d3.fit(pages)).select("page_id", "host", "path", "rule", "verdict", "ratio")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    model = d9.fit(docs.where(~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), d9.predict(model, F.col("text")).alias("r")).select("doc_id", "held_out", "r.lang_pred", "r.score", "r.rejected")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d4.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -51,9 +84,13 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
     "op6_resharding": op6_resharding,
+    "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
+    "op9_language": op9_language,
     "op10_line_frequency": op10_line_frequency,
 }
 

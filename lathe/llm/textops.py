@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,7 +28,7 @@ def class_sample(
     docs: DataFrame,
     labels: DataFrame,
     label: str,
-    classes: Iterable,
+    classes: Iterable | None,
     per_class: int,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -37,21 +37,19 @@ def class_sample(
 
     The rows are those least by a hash of their id, so the choice does not depend on partitioning.
     Only the chosen ids (a number fixed by `per_class`) are broadcast; no text is shuffled. An id
-    that is labelled twice counts once, with its larger label; an id that several documents share
-    gives at most as many texts as there are ids in the sample.
+    that is labelled twice takes its larger label; ids that several documents share give at most
+    twice as many texts as were asked for. classes=None takes all classes there are.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("_class"))
-    counts = {r["_class"]: r["n"] for r in known.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = None
-    for c in classes:
-        part = known.where(F.col("_class") == F.lit(c)).orderBy(F.xxhash64(id_col, F.lit(17)), id_col).limit(per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = (
-        docs.select(id_col, text_col)
-        .join(F.broadcast(chosen), id_col)
-        .select(id_col, text_col, "_class")
-        .limit(per_class * len(list(classes)))
-        .collect()
-    )
+    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
+    counts = {r["_class"]: r["n"] for r in known.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = sorted(counts) if classes is None else [c for c in classes if c in counts]
+    some = F.lit(False)
+    for c in wanted:  # thins out what is sorted, four times the rows needed
+        share = min(1.0, 4 * per_class / counts[c])
+        some = some | ((F.col(label) == F.lit(c)) & (F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 24)) <= int(share * (1 << 24))))
+    thin = known.where(some).groupBy(id_col).agg(F.max(label).alias("_class"))
+    place = F.row_number().over(Window.partitionBy("_class").orderBy(F.xxhash64(id_col, F.lit(17)), id_col))
+    chosen = thin.withColumn("_place", place).where(F.col("_place") <= per_class).select(id_col, "_class")
+    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(id_col, text_col, "_class").limit(2 * per_class * max(1, len(wanted))).collect()
     rows.sort(key=lambda r: (r[0], r[1] or ""))
     return [(r[1], r[2]) for r in rows], counts
