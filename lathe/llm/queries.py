@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lathe.llm import decontaminate as d8
 from lathe.llm import langid as d9
 from lathe.llm import line_frequency as d10
+from lathe.llm import ngram_join as d2
 from lathe.llm import packing as d4
 from lathe.llm import quality_fm as d7
 from lathe.llm import resharding as d6
@@ -43,6 +44,10 @@ def _scored(docs: DataFrame, score, limit: float) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= limit).cast("int"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d2.linked_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return d3.filter_urls(pages, d3.fit(pages)).select("page_id", "host", "path", "rule", "verdict", "ratio")
@@ -85,6 +90,7 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
     "op6_resharding": op6_resharding,
@@ -134,4 +140,16 @@ SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_faile
 FROM base LEFT JOIN r USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op8_decontamination": OP8_SQL, "op10_line_frequency": OP10_SQL}
+OP2_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 3 THEN range(1, len(w) - 1) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": OP2_SQL, "op8_decontamination": OP8_SQL, "op10_line_frequency": OP10_SQL}
