@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.llm import decontaminate as d8
+from lathe.llm import html_extract as d5
 from lathe.llm import langid as d9
 from lathe.llm import line_frequency as d10
 from lathe.llm import ngram_join as d2
@@ -64,6 +65,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d4.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return d5.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The old layout is one shard for each of 32 hash classes of the source, so one is far too large."""
     docs = table(spark, sf_dir, "documents")
@@ -93,6 +99,7 @@ OPS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
+    "op5_html_extraction": op5_html_extraction,
     "op6_resharding": op6_resharding,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
