@@ -7,12 +7,31 @@ of documents; the last returns packed pieces.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lathe.llm import decontaminate, packing
+from lathe.llm import decontaminate, langid, ngram_join, packing, quality_fm
 from lathe.llm.queries import tokenizer_file
+from lathe.llm.resharding import ensure_checkpoint_dir
 from lathe.llm.textops import table
 
 
+def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model, learnt from their labels, can't name with confidence go."""
+    model = langid.fit(docs)
+    return docs.where(~langid.predict(model, F.col("text"))["rejected"])
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.3 go; the model learns from the labelled documents there are."""
+    model = quality_fm.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.where(quality_fm.score(model, F.col("text")) >= 0.3)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 5-word shingles at a Jaccard similarity of 0.8 stays."""
+    return ngram_join.keep_one_of_each(docs, n=5, num=80, den=100)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -24,6 +43,9 @@ def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
+    ("language_identification", language_identification),
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
     ("benchmark_decontamination", benchmark_decontamination),
     ("packing", sequence_packing),
 ]
@@ -33,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's rows are written to the checkpoint folder before the next."""
+    ensure_checkpoint_dir(spark)
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = docs.checkpoint()
     return docs

@@ -212,8 +212,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, num:
     return full.where(_verifier(n, num, den)(F.col("_raw_a"), F.col("_raw_b"))).select("a", "b").distinct()
 
 
-def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """A row for each row of `docs`: id, n_shingles, component_id (the smallest id linked with it)."""
+def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
+    """(_id, _text, _n, label, component_id) of every row; label is null for wordless texts."""
     ensure_checkpoint_dir(docs.sparkSession)
     counts = count_table(docs, text_col, n)
     rows = _profile(docs, id_col, text_col, n, num, den, counts).checkpoint()
@@ -263,8 +263,30 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     tagged = classes.join(label.withColumnRenamed("node", "_node"), "_node", "left").select("_key", "_node", "_least", own("_node", "label"))
     least = tagged.groupBy("label").agg(F.min("_least").alias("component_id"))
-    named = tagged.select("_key", "label").join(least, "label").select("_key", "component_id")
-    return rows.join(named, "_key", "left").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
+    named = tagged.select("_key", "label").join(least, "label").select("_key", "label", "component_id")
+    return rows.join(named, "_key", "left").select("_id", "_text", "_n", "label", F.coalesce("component_id", "_id").alias("component_id"))
+
+
+def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """A row for each row of `docs`: id, n_shingles, component_id (the smallest id linked with it)."""
+    return _linked(docs, id_col, text_col, n, num, den).select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of `docs`, one of each component: that of the smallest id (then text hash). Wordless rows stay."""
+    linked = _linked(docs, id_col, text_col, n, num, den).select("_id", "_text", "label").checkpoint()
+    one = linked.where("label is not null").groupBy("label").agg(F.min(F.struct("_id", "_text")).alias("x")).select("x.*")
+    kept = one.unionByName(linked.where("label is null").select("_id", "_text").distinct()).select(F.col("_id").alias("_kept_id"), F.col("_text").alias("_kept_text")).checkpoint()
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text_col) == F.col("_kept_text"))
+    out = docs.join(kept, same, "left_semi")
+    repeated = linked.where("label is not null").groupBy("_id", "_text").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    if repeated.isEmpty():
+        return out
+    # rows that agree in id and text: one of them stays, whatever else they hold
+    first = F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    words = F.coalesce(F.translate(F.col(text_col), " \t\n\x0b\f\r", ""), F.lit("")) != ""
+    twice = out.where(words).groupBy(F.col(f"`{id_col}`").alias("_i"), F.xxhash64(text_col).alias("_t")).agg(first.alias("_row")).select("_row.*")
+    return twice.unionByName(out.where(~words))
 
 
 def brute_force(texts: list[tuple[int, str | None]], n: int = 3, num: int = 90, den: int = 100) -> dict[int, tuple[int, int]]:
