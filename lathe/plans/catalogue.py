@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lathe.plans import selection, statistics  # noqa: F401  they register their queries
+from lathe.plans.util import ORACLES, QUERIES  # noqa: F401
