@@ -63,8 +63,8 @@ def disagreement(predictions: DataFrame, task: str = "classification", row_id: s
     pairs = predictions.select(F.col(row_id), F.col("model").alias("a"), F.col("prediction").alias("_p")).join(other, row_id).where("a < b").groupBy("a", "b")
     if task == "classification":
         return pairs.agg(F.avg((F.col("_p") != F.col("_q")).cast("double")).alias("disagreement"))
-    flat = (F.stddev_pop("_p") * F.stddev_pop("_q")) < 1e-12
-    return pairs.agg(F.when(flat, 1.0).otherwise(1 - F.abs(F.corr("_p", "_q"))).alias("disagreement"))
+    spread = F.stddev_pop("_p") * F.stddev_pop("_q")
+    return pairs.agg(F.when(spread < 1e-12, 1.0).otherwise(1 - F.abs(F.covar_pop("_p", "_q") / spread)).alias("disagreement"))
 
 
 def diversity_filter(order: Sequence[str], apart: dict[frozenset, float], threshold: float = 0.05) -> list[str]:

@@ -24,7 +24,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def r6(c: Column | str, digits: int = 6) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)  # no negative zero
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
