@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from lathe.plans import combining, scoring, selection, statistics  # noqa: F401  they register their queries
+from lathe.plans import combining, scoring, selection, statistics, training  # noqa: F401  they register their queries
 from lathe.plans.util import ORACLES, QUERIES  # noqa: F401
