@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from lathe.llm import decontaminate, langid, ngram_join, packing, quality_fm
 from lathe.llm.queries import tokenizer_file
 from lathe.llm.resharding import ensure_checkpoint_dir
-from lathe.llm.textops import table
+from lathe.llm.textops import lean, table
 
 
 def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model, learnt from their labels, can't name with confidence go."""
+    lean(spark)
     model = langid.fit(docs)
     return docs.where(~langid.predict(model, F.col("text"))["rejected"])
 
@@ -29,6 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 5-word shingles at a Jaccard similarity of 0.8 stays."""
+    lean(spark)
     return ngram_join.keep_one_of_each(docs, n=5, num=80, den=100)
 
 
@@ -39,6 +41,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document, in sequences of at most 2048 tokens."""
+    lean(spark)
     return packing.pack(docs, tokenizer_file())
 
 

@@ -108,7 +108,8 @@ class WindowSet:
 def _scanner(windows: WindowSet):
     @F.arrow_udf(RESULT)
     def scan(text: pa.Array) -> pa.Array:
-        found = windows.scan(utf8(text))
+        texts = utf8(text)
+        found = [x for a in range(0, len(texts), 512) for x in windows.scan(texts[a : a + 512])]
         kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
         return pa.array([dict(zip(("n_words", "n_hit", "items", "spans"), x, strict=True)) for x in found], type=kind)
 

@@ -72,7 +72,8 @@ class LanguageModel:
     def probabilities(self, texts: list[str | None], memo: _Words | None = None) -> np.ndarray:
         """A row for each text; all 0 for one without a letter."""
         memo = memo if memo is not None else _Words(self)
-        sums, counts = memo.sums([words_of(t) if t else [] for t in texts])
+        parts = [memo.sums([words_of(t) if t else [] for t in texts[a : a + 256]]) for a in range(0, len(texts), 256)]
+        sums, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, len(self.languages))), np.zeros(0))
         z = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)

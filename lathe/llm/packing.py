@@ -116,7 +116,7 @@ class _Encoder:
     are merged many at once, and the tokenizer itself encodes what is left.
     """
 
-    def __init__(self, path: str, size: int = 900_000):
+    def __init__(self, path: str, size: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
