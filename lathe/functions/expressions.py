@@ -49,7 +49,8 @@ def linear(xs: Sequence[Column], weights: Sequence[float], bias: float = 0.0) ->
 def factorisation(xs: Sequence[Column], weights: Sequence[float], bias: float, factors: Sequence[Sequence[float]], normalise: bool = True) -> Column:
     """Linear plus pairwise score, interactions by the sum-of-squares identity.
 
-    With `normalise` a row's features are scaled to unit length in both parts; a zero row stays.
+    With `normalise` the linear part is divided by a row's length and the pairs by its fourth power;
+    a zero row stays.
     """
     norm = total([x * x for x in xs])
     inverse = F.when(norm == 0, F.lit(1.0)).otherwise(1 / norm) if normalise else F.lit(1.0)
@@ -59,7 +60,7 @@ def factorisation(xs: Sequence[Column], weights: Sequence[float], bias: float, f
         vx = [x * float(v[f]) for x, v in zip(xs, factors, strict=True)]
         s = total(vx)
         cross = cross + s * s - total([t * t for t in vx])
-    return F.lit(float(bias)) + line + cross * inverse * 0.5
+    return F.lit(float(bias)) + line + cross * inverse * inverse * 0.5
 
 
 def field_aware(xs: Sequence[Column], fields: Sequence[int], weights: Sequence[float], bias: float, factors, normalise: bool = True) -> Column:
@@ -70,7 +71,7 @@ def field_aware(xs: Sequence[Column], fields: Sequence[int], weights: Sequence[f
     for i in range(len(xs)):
         for j in range(i + 1, len(xs)):
             dot = sum(a * b for a, b in zip(factors[i][fields[j]], factors[j][fields[i]], strict=True))
-            out = out + xs[i] * xs[j] * float(dot) * inverse
+            out = out + xs[i] * xs[j] * float(dot) * inverse * inverse
     return out
 
 

@@ -64,10 +64,11 @@ class Pipeline:
             raise ValidationError("the last step doesn't predict")
 
         @F.arrow_udf("double")
-        def run(*columns: pa.Array) -> pa.Array:
-            return pa.array(np.asarray(model.predict(np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in columns], axis=1)), dtype=float))
+        def run(rows: pa.Array) -> pa.Array:
+            x = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), len(names))
+            return pa.array(np.asarray(model.predict(x), dtype=float))
 
-        return ready.withColumn(out, run(*[F.col(f"`{c}`") for c in names]))
+        return ready.withColumn(out, run(F.array(*[F.col(f"`{c}`").cast("double") for c in names])))
 
     def get_params(self) -> dict:
         return {n: s.get_params() if hasattr(s, "get_params") else s.get_state() for n, s in self.steps}

@@ -33,14 +33,14 @@ _NORM = f"CASE WHEN {_A} * {_A} + {_B} * {_B} + {_C} * {_C} = 0 THEN 1.0 ELSE 1
 
 
 @query(f"""WITH n AS (SELECT {_KEYS}, {_A} AS a, {_B} AS b, {_C} AS c, {_NORM} AS inv FROM lineitem)
-SELECT {_KEYS}, round(0.5 + (0.1 * a - 2 * b + 3 * c) * sqrt(inv) + 0.5 * inv * ((0.2 * a + b - c) ** 2 - 0.04 * a * a - b * b - c * c + (0.3 * a - 0.5 * b + 0.4 * c) ** 2 - 0.09 * a * a - 0.25 * b * b - 0.16 * c * c), 6) AS score FROM n""")
+SELECT {_KEYS}, round(0.5 + (0.1 * a - 2 * b + 3 * c) * sqrt(inv) + 0.5 * inv * inv * ((0.2 * a + b - c) ** 2 - 0.04 * a * a - b * b - c * c + (0.3 * a - 0.5 * b + 0.4 * c) ** 2 - 0.09 * a * a - 0.25 * b * b - 0.16 * c * c), 6) AS score FROM n""")
 def fm_score(spark, d):
     z = X.factorisation(_xs(), [0.1, -2.0, 3.0], 0.5, [[0.2, 0.3], [1.0, -0.5], [-1.0, 0.4]])
     return _lines(spark, d).select("l_orderkey", "l_linenumber", r6(z).alias("score"))
 
 
 @query(f"""WITH n AS (SELECT {_KEYS}, {_A} AS a, {_B} AS b, {_C} AS c, {_NORM} AS inv FROM lineitem)
-SELECT {_KEYS}, round(-0.25 + (0.1 * a - 2 * b + 3 * c) * sqrt(inv) + inv * (a * b * (0.5 * 0.3 + 0.1 * 0.2) + a * c * (0.5 * 0.7 - 0.1 * 0.4) + b * c * (0.6 * 0.7 - 0.2 * 0.4)), 6) AS score FROM n""")
+SELECT {_KEYS}, round(-0.25 + (0.1 * a - 2 * b + 3 * c) * sqrt(inv) + inv * inv * (a * b * (0.5 * 0.3 + 0.1 * 0.2) + a * c * (0.5 * 0.7 - 0.1 * 0.4) + b * c * (0.6 * 0.7 - 0.2 * 0.4)), 6) AS score FROM n""")
 def ffm_score(spark, d):
     factors = [{0: [0.9, 0.9], 1: [0.5, 0.1]}, {0: [0.3, 0.2], 1: [0.6, 0.2]}, {0: [0.7, -0.4], 1: [0.7, -0.4]}]
     z = X.field_aware(_xs(), [0, 1, 1], [0.1, -2.0, 3.0], -0.25, factors)
