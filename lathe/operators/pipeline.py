@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lathe.errors import NotFittedError, ValidationError
 from lathe.operators.estimators import Estimator
@@ -55,10 +58,6 @@ class Pipeline:
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         """`df` (its id and the transformed columns) with predictions, scored in Arrow batches."""
-        import numpy as np
-        import pyarrow as pa
-        from pyspark.sql import functions as F
-
         ready, model, names = self.transform(df), self.steps[-1][1], self.features
         if not isinstance(model, Estimator):
             raise ValidationError("the last step doesn't predict")
