@@ -16,7 +16,6 @@ inputs of a score. Extra columns pass through.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -139,37 +138,34 @@ def train(sample: list[tuple[bytes | None, int]], counts: dict[int, int], max_vo
     every = sum(counts.get(c, 0) for c in (0, 1))
     weight = np.array([counts.get(c, 1) / every * len(y) / max(1, (y == c).sum()) for c in (0, 1)])[y]
     held = np.random.default_rng(seed).random(len(y)) < 0.2
-    docs = [words_of(t) for t, _ in sample]
-    keyed = [Counter(k for w in d for k in keys_of(w)) for d in docs]
-
-    def frequencies(p: np.ndarray) -> list[tuple[float, tuple[int, bytes]]]:
+    number: dict[bytes, int] = {}  # features as numbers; a feature is its kind's byte and its letters
+    docs = []
+    for t, _ in sample:
+        keys = np.fromiter((number.setdefault(bytes((n,)) + k, len(number)) for w in words_of(t) for n, k in keys_of(w)), dtype=np.int32)
+        docs.append(tuple(x.astype(np.int32) for x in np.unique(keys, return_counts=True)))
+    names = list(number)
+    del number, sample
+
+    def frequencies(p: np.ndarray) -> list[tuple[float, int]]:
         """Features that part the classes by more than chance, the strongest first."""
-        seen, among = Counter(), Counter()
-        for d, k, q in zip(keyed, ~held, p, strict=True):
-            if k:
-                seen.update(d.keys())
-                if q > 0.5:
-                    among.update(d.keys())
-        n, n1 = int((~held).sum()), int((p[~held] > 0.5).sum())
-        out = []
-        for k, a in seen.items():
-            if a < 4:
-                continue
-            b, share = among[k], n1 / n
-            z = (b - a * share) / np.sqrt(a * share * (1 - share) * (1 - a / n) + 0.5)
-            if abs(z) > 4.5:
-                out.append((z, k))
-        return sorted(out, key=lambda x: (-abs(x[0]), x[1]))
-
-    def matrix(keys: list[tuple[int, bytes]]) -> np.ndarray:
-        number = {k: i for i, k in enumerate(keys)}
+        count = lambda rows: np.bincount(np.concatenate([docs[i][0] for i in rows] or [np.empty(0, np.int32)]), minlength=len(names)).astype(float)
+        used = np.flatnonzero(~held)
+        seen, among = count(used), count([i for i in used if p[i] > 0.5])
+        n, share = len(used), (p[used] > 0.5).mean()
+        z = (among - seen * share) / np.sqrt(seen * share * (1 - share) * (1 - seen / n) + 0.5)
+        some = np.flatnonzero((seen >= 4) & (np.abs(z) > 4.5))
+        return sorted(((z[i], i) for i in some.tolist()), key=lambda x: (-abs(x[0]), names[x[1]]))
+
+    def matrix(keys: list[int]) -> np.ndarray:
+        column = np.full(len(names), -1, dtype=np.int32)
+        column[keys] = np.arange(len(keys))
         x = np.zeros((len(docs), len(keys)), dtype=np.float32)
-        for r, d in enumerate(keyed):
-            for k in d.keys() & number.keys():
-                x[r, number[k]] = d[k]
+        for r, (ids, times) in enumerate(docs):
+            at = column[ids]
+            x[r, at[at >= 0]] = times[at >= 0]
         return x
 
-    def apart(keys: list[tuple[int, bytes]], most: int) -> list[tuple[int, bytes]]:
+    def apart(keys: list[int], most: int) -> list[int]:
         """Those that fire on other texts than the ones before them."""
         on = (matrix(keys)[~held] > 0).astype(np.float32)
         both, size = on.T @ on, on.sum(axis=0)
@@ -179,7 +175,9 @@ def train(sample: list[tuple[bytes | None, int]], counts: dict[int, int], max_vo
                 taken.append(i)
         return [keys[i] for i in taken]
 
-    seeds = [(0, s.encode()) for s in SEEDS]
+    known = {n: i for i, n in enumerate(names) if n[0] == 0}
+    seeds = [known[k] for s in SEEDS if (k := b"\0" + s.encode()) in known]
+    del known
     voters = list(dict.fromkeys([*apart([k for z, k in frequencies(y.astype(float)) if z > 0][:max_features], max_voters), *seeds]))
     fired = np.column_stack([matrix(voters) > 0, y == 1, y == 0]).astype(np.float64)  # the labels are voters, too
     label_model = fit_label_model(fired[~held], np.where(y[~held] == 1, 0.9, 0.1), weight[~held], labels=2)
@@ -189,10 +187,11 @@ def train(sample: list[tuple[bytes | None, int]], counts: dict[int, int], max_vo
     x = np.column_stack([matrix(features), np.ones(len(docs))]).astype(np.float64)
     beta = _logistic(x[~held], posterior[~held], weight[~held], penalty)
     slope, shift = platt(x[held] @ beta, y[held], weight[held]) if len(set(y[held].tolist())) == 2 else (1.0, 0.0)
-    return ToxicityModel(dict(zip(features, beta[:-1].tolist(), strict=True)), float(beta[-1]), slope, shift, None, voters, label_model)
+    spelt = lambda keys: [(names[i][0], names[i][1:]) for i in keys]
+    return ToxicityModel(dict(zip(spelt(features), beta[:-1].tolist(), strict=True)), float(beta[-1]), slope, shift, None, spelt(voters), label_model)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 2500, **options) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000, **options) -> ToxicityModel:
     """A model from at most `per_class` labelled texts of each class (label 0 or 1)."""
     sample, counts = class_sample(docs, labels, label, (0, 1), per_class, id_col, text_col)
     return train([(t.encode() if t is not None else None, y) for t, y in sample], counts, **options)
