@@ -813,7 +813,102 @@ class Clauses(Estimator):
         return _softmax(np.clip(v, -top, top) / top * 4) if s["classes"] else s["low"] + np.clip(v[:, 0], 0, top) / top * (s["high"] - s["low"])
 
 
-FAMILIES: dict[str, type[Estimator]] = {c.family: c for c in (Baseline, Linear, KernelMachine, Neighbours, Boosting, Forest, Additive, Network, EnsembleNetwork, NeuralAdditive, Factorisation, Clauses)}
+class BayesianTrees(_Trees):
+    """Sum of shallow trees sampled by backfitting: each tree in turn is grown, pruned or kept by a
+    Metropolis step, and its leaves are drawn from their posterior. Two classes go by a probit (data
+    augmentation); predictions are means over the kept samples.
+    """
+
+    family = "bart"
+    defaults = {"numTrees": 30, "numBurnin": 40, "numSamples": 40, "alpha": 0.95, "beta": 2.0, "minSamplesLeaf": 3, "max_bins": 32, "seed": 0}
+
+    def _fit(self, x, y, k):
+        if k > 2:
+            raise ValidationError("the model takes two classes or numbers")
+        state, b = self._bins(x)
+        rng, m = np.random.default_rng(self.param("seed")), int(self.param("numTrees"))
+        shift, scale = (0.0, 1.0) if k else (float(y.mean()), float(y.std()) or 1.0)
+        z = (y * 2.0 - 1.0) if k else (y - shift) / scale
+        prior, noise = (3.0 if k else 0.5 * (z.max() - z.min() + 1e-9)) ** 2 / (4 * m), 1.0 if k else 0.5
+        trees = [np.array([[-1, 0, 0, 0, 0.0]]) for _ in range(m)]
+        fits = np.zeros((m, len(x)))
+        kept: list[np.ndarray] = []
+        for step in range(int(self.param("numBurnin")) + int(self.param("numSamples"))):
+            for t in range(m):
+                rest = z - fits.sum(0) + fits[t]
+                tree = self._propose(trees[t], b, rest, prior, noise, rng)
+                at = run_tree(tree, b)
+                n = np.bincount(at, minlength=len(tree))
+                s = np.bincount(at, weights=rest, minlength=len(tree))
+                var = 1 / (1 / prior + n / noise)
+                tree[:, 4] = var * s / noise + np.sqrt(var) * rng.normal(size=len(tree))
+                trees[t], fits[t] = tree, tree[at, 4]
+            total = fits.sum(0)
+            if k:
+                u = total + rng.normal(size=len(x))
+                flip = (u > 0) != (y == 1)
+                z = np.where(flip, total + np.where(y == 1, 1, -1) * np.abs(rng.normal(size=len(x))) * 0.8, u)
+            else:
+                noise = (0.1 + ((z - total) ** 2).sum()) / rng.chisquare(len(x) + 3)
+            if step >= self.param("numBurnin"):
+                kept += [tr.copy() for tr in trees]
+        return state | {"trees": kept, "shift": shift, "scale": scale, "samples": int(self.param("numSamples"))}
+
+    def _evidence(self, at, size, rest, prior, noise):
+        n = np.bincount(at, minlength=size)
+        s = np.bincount(at, weights=rest, minlength=size)
+        some = n > 0
+        return float((0.5 * np.log(noise / (noise + prior * n[some])) + 0.5 * prior * s[some] ** 2 / (noise * (noise + prior * n[some]))).sum())
+
+    def _propose(self, tree, b, rest, prior, noise, rng):
+        """Grow a leaf, or prune a node above two leaves; the depth prior is alpha (1 + depth)^-beta."""
+        alpha, beta = self.param("alpha"), self.param("beta")
+        at = run_tree(tree, b)
+        leaves = np.flatnonzero(tree[:, 0] < 0)
+        depth = np.zeros(len(tree))
+        for i in range(len(tree)):
+            if tree[i, 0] >= 0:
+                depth[int(tree[i, 2])] = depth[int(tree[i, 3])] = depth[i] + 1
+        odds = lambda d: alpha * (1 + d) ** -beta
+        if len(leaves) == 1 or rng.random() < 0.5:
+            leaf = int(rng.choice(leaves))
+            rows = np.flatnonzero(at == leaf)
+            if len(rows) < 2 * self.param("minSamplesLeaf"):
+                return tree.copy()
+            f = int(rng.integers(b.shape[1]))
+            cut = int(rng.choice(b[rows, f]))
+            low = b[rows, f] <= cut
+            if min(low.sum(), (~low).sum()) < self.param("minSamplesLeaf"):
+                return tree.copy()
+            new = np.vstack([tree, [-1, 0, 0, 0, 0.0], [-1, 0, 0, 0, 0.0]])
+            new[leaf, :4] = f, cut, len(tree), len(tree) + 1
+            p = odds(depth[leaf])
+            ratio = np.log(p / (1 - p)) + 2 * np.log(1 - odds(depth[leaf] + 1))
+        else:
+            ends = [i for i in range(len(tree)) if tree[i, 0] >= 0 and tree[int(tree[i, 2]), 0] < 0 and tree[int(tree[i, 3]), 0] < 0]
+            i = int(rng.choice(ends))
+            gone = sorted((int(tree[i, 2]), int(tree[i, 3])))
+            new = tree.copy()
+            new[i, 0] = -1
+            new = np.delete(new, gone, axis=0)
+            for c in (2, 3):
+                inner = new[:, 0] >= 0
+                new[inner, c] -= (new[inner, c] > gone[0]).astype(float) + (new[inner, c] > gone[1]).astype(float)
+            p = odds(depth[i])
+            ratio = -(np.log(p / (1 - p)) + 2 * np.log(1 - odds(depth[i] + 1)))
+        gain = self._evidence(run_tree(new, b), len(new), rest, prior, noise) - self._evidence(at, len(tree), rest, prior, noise)
+        return new if np.log(rng.random()) < gain + ratio else tree.copy()
+
+    def _predict(self, x, s):
+        b = binned(x, s["cuts"])
+        mean = sum(t[run_tree(t, b), 4] for t in s["trees"]) / s["samples"]
+        if not s["classes"]:
+            return mean * s["scale"] + s["shift"]
+        p = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in mean])
+        return np.column_stack([1 - p, p])
+
+
+FAMILIES: dict[str, type[Estimator]] = {c.family: c for c in (Baseline, Linear, KernelMachine, Neighbours, Boosting, Forest, Additive, Network, EnsembleNetwork, NeuralAdditive, Factorisation, Clauses, BayesianTrees)}
 for _family, _class in FAMILIES.items():
     register(f"lathe.{_family}@1", _class.restore)
 

@@ -162,6 +162,13 @@ SPACES: dict[str, dict] = {
         "k": {"type": "int_uniform", "low": 2, "high": 16},
         "epoch": {"type": "int_uniform", "low": 5, "high": 50},
     },
+    "bart": {
+        "numTrees": {"type": "int_uniform", "low": 50, "high": 300},
+        "numSamples": {"type": "int_uniform", "low": 20, "high": 200},
+        "alpha": {"type": "uniform", "low": 0.5, "high": 0.99},
+        "beta": {"type": "uniform", "low": 0.5, "high": 3.0},
+        "minSamplesLeaf": {"type": "int_uniform", "low": 1, "high": 20},
+    },
     "clauses": {
         "nClauses": {"type": "int_log_uniform", "low": 20, "high": 2000},
         "threshold": {"type": "int_uniform", "low": 10, "high": 200},

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lathe.functions import expressions as X
 from lathe.operators import automl as am
+from lathe.operators import clustering as cl
 from lathe.operators import distributed as ds
 from lathe.operators import estimators as es
 from lathe.plans.util import query, r6
@@ -32,7 +33,7 @@ def _local(family: str, **params):
     return run
 
 
-for _family, _params in {"linear": {}, "svm": {"C": 1.0}, "boosting": {"numRound": 20}, "forest": {"n_estimators": 20}, "additive": {"maxRounds": 40}, "mlp": {"epochs": 10}, "tabm": {"epochs": 5}, "nam": {"epochs": 10}, "fm": {"epoch": 10}, "clauses": {"nEpochs": 2}}.items():
+for _family, _params in {"linear": {}, "svm": {"C": 1.0}, "boosting": {"numRound": 20}, "forest": {"n_estimators": 20}, "additive": {"maxRounds": 40}, "mlp": {"epochs": 10}, "tabm": {"epochs": 5}, "nam": {"epochs": 10}, "fm": {"epoch": 10}, "clauses": {"nEpochs": 2}, "bart": {"numTrees": 8, "numBurnin": 8, "numSamples": 8}}.items():
     query(name=f"fit_{_family}")(_local(_family, **_params))
 
 
@@ -50,6 +51,28 @@ query(name="distributed_linear")(_spark_fit("linear"))
 query(name="distributed_forest")(_spark_fit("forest", n_estimators=10, max_depth=5))
 
 
+_TWO = "p AS (SELECT vec_id, label AS c, vec_id % 4 AS d, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), m AS (SELECT c, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM p GROUP BY c)"
+
+
+def _two(spark, d):
+    return table(spark, d, "embeddings").select(F.col("label").alias("c"), (F.col("vec_id") % 4).alias("d"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+
+
+@query(f"WITH {_TWO}, b AS (SELECT sum(n * ((mx - (SELECT avg(x) FROM p)) ** 2 + (my - (SELECT avg(y) FROM p)) ** 2)) AS between, count(*) AS k FROM m) SELECT round(between / (k - 1) / (((SELECT (var_pop(x) + var_pop(y)) * count(*) FROM p) - between) / ((SELECT count(*) FROM p) - k)), 6) AS score FROM b")
+def calinski_harabasz(spark, d):
+    return spark.createDataFrame([(round(cl.calinski_harabasz(_two(spark, d), ["x", "y"], "c"), 6),)], "score double")
+
+
+@query(f"WITH {_TWO}, s AS (SELECT c, mx, my, avg(sqrt((x - mx) ** 2 + (y - my) ** 2)) AS s FROM p JOIN m USING (c) GROUP BY ALL), w AS (SELECT a.c, max((a.s + b.s) / sqrt((a.mx - b.mx) ** 2 + (a.my - b.my) ** 2)) AS r FROM s a JOIN s b ON a.c <> b.c GROUP BY a.c) SELECT round(avg(r), 6) AS score FROM w")
+def davies_bouldin(spark, d):
+    return spark.createDataFrame([(round(cl.davies_bouldin(_two(spark, d), ["x", "y"], "c"), 6),)], "score double")
+
+
+@query(f"WITH {_TWO}, t AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM p GROUP BY c, d)) AS i, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM p GROUP BY c)) AS a, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM p GROUP BY d)) AS b, (SELECT count(*) * (count(*) - 1) / 2 FROM p) AS e) SELECT round((i - a * b / e) / ((a + b) / 2 - a * b / e), 6) AS score FROM t")
+def adjusted_rand(spark, d):
+    return spark.createDataFrame([(round(cl.adjusted_rand(_two(spark, d), "c", "d"), 6),)], "score double")
+
+
 @query()
 def clustering_kmeans(spark, d):
     df = _points(spark, d)
