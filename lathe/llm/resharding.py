@@ -5,7 +5,9 @@ transport problem that moves the fewest bytes (a byte that stays in the shard of
 costs nothing). Within an old shard the rows lie on a line: blocks in order of their number, rows
 in order of their id within a block. Each flow takes the next stretch of that line, so whole blocks
 move together and only blocks at the ends of stretches are split; a row belongs to the stretch that
-holds its middle byte. Every new shard thus differs from its capacity by a row at most.
+holds its middle byte. Rows that are large against a shard are placed first, in classes of size;
+each class after them goes where it makes the shards level, so the shards end even to within a row of
+the smallest class that has bytes enough, not of the largest.
 
 Only the sums of the old shards (a number fixed by the layout) reach the driver. Blocks are about
 sqrt(rows) / 2 rows long, so neither the table of blocks nor a block grows as the rows do; a source
@@ -22,10 +24,14 @@ from __future__ import annotations
 import heapq
 import math
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A row is in the first class if larger than a shard's share over the first number, and so on.
+SIZE_CLASSES = (8, 32, 128, 512)
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The cluster's shared folder from spark.checkpoint.dir; a folder of our own only where none is set."""
@@ -114,8 +120,24 @@ def affected_shards(moves: dict[int, list[tuple[int, int]]]) -> set[int]:
     return out
 
 
-def _destination(moves: dict[int, list[tuple[int, int]]], old: Column, middle: Column) -> Column:
-    by_shard = None
+def level(filled: list[int], amount: int) -> list[int]:
+    """How `amount` goes to shards that hold `filled` bytes so that they end as level as can be."""
+    order = sorted(range(len(filled)), key=lambda j: (filled[j], j))
+    left, height, out = amount, 0, [0] * len(filled)
+    for n, j in enumerate(order, 1):  # the n lowest shards rise to the next one's height
+        height = filled[j]
+        step = (filled[order[n]] - height) * n if n < len(order) else left
+        if step >= left:
+            break
+        left -= step
+    lowest = order[:n]
+    for k, j in enumerate(lowest):
+        out[j] = height - filled[j] + left // n + (k < left % n)
+    return out
+
+
+def _destination(moves: dict[int, list[tuple[int, int]]], line: Column, middle: Column) -> Column:
+    by_line = None
     for i, to in moves.items():
         at, inner = 0, None
         for j, amount in to[:-1]:
@@ -123,8 +145,22 @@ def _destination(moves: dict[int, list[tuple[int, int]]], old: Column, middle: C
             inner = F.when(middle < 2 * at, j) if inner is None else inner.when(middle < 2 * at, j)
         last = F.lit(to[-1][0] if to else i)
         value = last if inner is None else inner.otherwise(last)
-        by_shard = F.when(old == i, value) if by_shard is None else by_shard.when(old == i, value)
-    return (by_shard if by_shard is not None else F.lit(0)).cast("int")
+        by_line = F.when(line == i, value) if by_line is None else by_line.when(line == i, value)
+    return (by_line if by_line is not None else F.lit(0)).cast("int")
+
+
+def _placed(rows: DataFrame, moves: dict[int, list[tuple[int, int]]], counts: dict[int, int], long: int) -> DataFrame:
+    """Rows of one size class with _block, _before and _shard."""
+    blocks_of = None
+    for i, n in counts.items():
+        blocks_of = F.when(F.col("_old") == i, -(-n // long)) if blocks_of is None else blocks_of.when(F.col("_old") == i, -(-n // long))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_id", "_crc"), blocks_of.cast("long")))
+    blocks = rows.groupBy("_old", "_block").agg(F.sum("_size").alias("_bytes"))
+    starts = blocks.select("_old", "_block", (F.sum("_bytes").over(Window.partitionBy("_old").orderBy("_block")) - F.col("_bytes")).alias("_start"))
+    order = Window.partitionBy("_old", "_block").orderBy("_id", "_crc", "_size")
+    before = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_size")
+    placed = rows.withColumn("_before", before).join(starts, ["_old", "_block"])
+    return placed.withColumn("_shard", _destination(moves, F.col("_old"), 2 * (F.col("_start") + F.col("_before")) + F.col("_size"))).drop("_start").checkpoint()
 
 
 def reshard(docs: DataFrame, old_shard: Column, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, carry: tuple[str, ...] = (), cost=None) -> tuple[DataFrame, dict[int, list[tuple[int, int]]]]:
@@ -143,30 +179,34 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 40, id_col: str =
         old_shard.cast("int").alias("_old"),
         *[F.col(c).alias(f"_carry_{c}") for c in carry],
     ).checkpoint()
-    sums = {r["_old"]: (r["n"], r["b"]) for r in rows.groupBy("_old").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("b")).collect()}
-    moves = minimum_cost_moves({i: b for i, (_, b) in sums.items()}, capacities(sum(b for _, b in sums.values()), shards), cost)
-    long = max(1, math.isqrt(sum(n for n, _ in sums.values())) // 2)
-    count = None
-    for i, (n, _) in sums.items():
-        count = F.when(F.col("_old") == i, -(-n // long)) if count is None else count.when(F.col("_old") == i, -(-n // long))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_id", "_crc"), (count if count is not None else F.lit(1)).cast("long")))
-
-    blocks = rows.groupBy("_old", "_block").agg(F.sum("_size").alias("_bytes"))
-    starts = blocks.select("_old", "_block", (F.sum("_bytes").over(Window.partitionBy("_old").orderBy("_block")) - F.col("_bytes")).alias("_start"))
-    order = Window.partitionBy("_old", "_block").orderBy("_id", "_crc", "_size")
-    before = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_size")
-    placed = rows.withColumn("_before", before).join(starts, ["_old", "_block"])
-    placed = placed.withColumn("_shard", _destination(moves, F.col("_old"), 2 * (F.col("_start") + F.col("_before")) + F.col("_size"))).drop("_start").checkpoint()
-
-    held = placed.groupBy("_shard", "_old", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = held.select("_shard", "_old", "_block", (F.sum("_n").over(Window.partitionBy("_shard").orderBy("_old", "_block")) - F.col("_n")).alias("_offset"))
-    place = F.row_number().over(Window.partitionBy("_old", "_block", "_shard").orderBy("_before", "_id", "_crc")) - 1
-    out = placed.withColumn("_place", place).join(offsets, ["_old", "_block", "_shard"])
+    total = rows.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    ends = [max(1, total["b"] // shards // d) for d in SIZE_CLASSES]
+    rows = rows.withColumn("_class", sum(((F.col("_size") <= e).cast("int") for e in ends), F.lit(0)))
+    sums: dict[int, dict[int, tuple[int, int]]] = {}
+    for r in rows.groupBy("_class", "_old").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("b")).collect():
+        sums.setdefault(r["_class"], {})[r["_old"]] = (r["n"], r["b"])
+    long = max(1, math.isqrt(total["n"]) // 2)
+    filled, moves, parts = [0] * shards, {}, []
+    for c in sorted(sums):  # large rows first; the smaller ones make up for what those leave uneven
+        flow = minimum_cost_moves({i: b for i, (_, b) in sums[c].items()}, level(filled, sum(b for _, b in sums[c].values())), cost)
+        parts.append(_placed(rows.where(F.col("_class") == c), flow, {i: n for i, (n, _) in sums[c].items()}, long))
+        for r in parts[-1].groupBy("_shard").agg(F.sum("_size").alias("b")).collect():
+            filled[r["_shard"]] += r["b"]
+        for i, to in flow.items():
+            mine = moves.setdefault(i, {})
+            for j, amount in to:
+                mine[j] = mine.get(j, 0) + amount
+    placed = reduce(DataFrame.unionByName, parts) if parts else rows.withColumns({"_block": F.lit(0).cast("long"), "_before": F.lit(0).cast("long"), "_shard": F.lit(0)})
+
+    held = placed.groupBy("_shard", "_class", "_old", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = held.select("_shard", "_class", "_old", "_block", (F.sum("_n").over(Window.partitionBy("_shard").orderBy("_class", "_old", "_block")) - F.col("_n")).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_class", "_old", "_block", "_shard").orderBy("_before", "_id", "_crc")) - 1
+    out = placed.withColumn("_place", place).join(offsets, ["_class", "_old", "_block", "_shard"])
     return out.select(
         F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_old").alias("old_shard"),
         F.col("_shard").alias("shard"), (F.col("_offset") + F.col("_place")).cast("long").alias("slot"),
         *[F.col(f"_carry_{c}").alias(c) for c in carry if c != id_col],
-    ), moves
+    ), {i: sorted(to.items()) for i, to in moves.items()}
 
 
 def rewrite_files(path: str, spark: SparkSession, out: str, shards: int, id_col: str = "doc_id", text_col: str = "text") -> set[int]:
