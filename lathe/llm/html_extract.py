@@ -52,9 +52,11 @@ _BLOCKS = frozenset(
 _VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 _BOILERPLATE_TAGS = frozenset("nav footer aside form head button dialog menu fieldset object applet canvas audio video label".split())
 _BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert[a-z]*|adsense|sponsor(?:ed|s)?|promos?|promotion|banner|menus?|nav|navbar|navigation|breadcrumbs?|sidebar|side|widgets?|footer|foot|header|masthead|topbar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|comments?|commentlist|replies|reply|respond|disqus|discussion|form|skip|pagination|pager|copyright|legal|disclaimer|toolbar|contentinfo|complementary)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?<!with[_-])(?<!has[_-])(?<!no[_-])(?:ads?|adverts?|advert[a-z]*|adsense|sponsor(?:ed|s)?|promos?|promotion|banner|menus?|nav|navbar|navigation|breadcrumbs?|sidebar|side|widgets?|footer|foot|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|comments?|commentlist|replies|reply|respond|disqus|discussion|form|skip|pagination|pager|copyright|legal|disclaimer|toolbar|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
+#: Boilerplate outside an article; inside, it's the article's own head.
+_HEAD = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 #: Start tags that close an open element of these names first.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table article section div body td th form aside nav header footer main blockquote".split())
@@ -127,7 +129,7 @@ class Page:
                         hide = hide or "display:none" in value.replace(" ", "").lower()
                     elif value:
                         token = token or value.split()[0] if value.split() else token
-                        hide = hide or bool(_BOILERPLATE.search(value))
+                        hide = hide or bool(_BOILERPLATE.search(value)) or not inside[stack[-1][1]] and bool(_HEAD.search(value))
             parent = stack[-1][1]
             hide = hide or name in _BOILERPLATE_TAGS or name == "header" and not inside[parent]
             if name not in _BLOCKS and not hide:

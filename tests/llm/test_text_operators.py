@@ -262,6 +262,11 @@ def test_main_text():
     assert d5.main_text(d5.Page(None), None) == "" and d5.main_text(d5.Page("<p"), None) == "<p" and d5.main_text(d5.Page("plain &lt; text"), None) == "plain < text"
 
 
+def test_layout_classes_and_an_articles_head():
+    page = '<body class="has-sidebar"><div class="wrap with-sidebar"><div class="page-header">Site</div><article class="post no-sidebar"><div class="entry-header"><h1>T</h1></div><p>x</p><div class="nav-links">next</div></article></div>'
+    assert d5.main_text(d5.Page(page), None) == "T\nx"
+
+
 def test_constant_slots_are_template(spark):
     page = "<body><div>Welcome to us</div><div class=post><p>text {0} a</p><p>Share this</p></div><p>Imprint</p></body>"
     other = "<body><div>Welcome to us</div><div>Extra</div><div class=post><h2>head {0}</h2><p>text {0} b</p><p>Share this</p></div><p>Imprint</p></body>"
