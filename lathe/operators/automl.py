@@ -24,6 +24,8 @@ from lathe.operators import ensembles as en
 from lathe.operators import frames as fr
 from lathe.operators import search as se
 from lathe.operators.estimators import Estimator, create
+from lathe.sources.bundle import encode_bundle
+from lathe.sources.registry import load, register
 
 MAX_CELLS = 20_000_000
 
@@ -114,6 +116,24 @@ def evaluate(df_source, data: Matrix, candidates: list[tuple[int, str, dict, flo
     return [r.asDict() for r in frame.mapInPandas(run, "id long, fold long, score double, fit_ms double, error string, predictions array<double>").collect()]
 
 
+def cross_val_score(spark, df: DataFrame, row_id: str, features: list[str], y: str, model: str, params: dict | None = None, cv: int | str = 5, scoring: str | None = None, seed: int = 42) -> list[float]:
+    """A model's score on each fold; cv is a number of folds (stratified for classes) or a fold column."""
+    data = Matrix.gather(df, row_id, features, y, cv, seed)
+    rows = sorted(evaluate(spark, data, [(0, model, params or {}, 1.0)], scoring, seed), key=lambda r: r["fold"])
+    if failed := next((r["error"] for r in rows if r["error"]), None):
+        raise ValidationError(failed)
+    return [r["score"] for r in rows]
+
+
+#: The parameter of each family that a budget of rounds sets.
+ROUNDS = {"boosting": "numRound", "forest": "n_estimators", "additive": "maxRounds", "mlp": "epochs", "tabm": "epochs", "nam": "epochs", "fm": "epoch", "ffm": "epoch", "clauses": "nEpochs", "bart": "numSamples"}
+
+
+def with_rounds(model: str, params: dict, rounds: int) -> dict:
+    """Parameters under a budget of rounds; a candidate's own value wins."""
+    return {ROUNDS[model]: rounds} | params if model in ROUNDS else dict(params)
+
+
 @dataclass
 class Search:
     """Results of candidates so far, and the best of them on all rows."""
@@ -204,7 +224,36 @@ def out_of_fold(spark, data: Matrix, specs: list[tuple[str, dict]], seed: int =
     return out
 
 
-class Voting(Estimator):
+class _Nested(Estimator):
+    """Estimators that hold others: their bundles are artifacts of this one's."""
+
+    def _plain(self) -> dict:
+        raise NotImplementedError
+
+    def save(self) -> bytes:
+        s = self._ready()
+        parts = [{"id": f"model{i:04d}", "data": m.save()} for i, m in enumerate(s["models"])]
+        if "meta" in s:
+            parts.append({"id": "zmeta", "data": s["meta"].save()})
+        if "oof" in s:
+            parts.append({"id": "oof", "data": np.ascontiguousarray(s["oof"], "<f8").tobytes()})
+        plain = {k: s[k] for k in ("task", "width", "classes")} | {"k": s.get("k", 0), "oof": list(s["oof"].shape) if "oof" in s else None}
+        return encode_bundle({"typeId": f"lathe.{self.family}@1", "params": self._plain(), "metadata": plain}, parts)
+
+    @classmethod
+    def restore(cls, manifest, _toc, blobs) -> Estimator:
+        plain = manifest["metadata"]
+        made = cls(**manifest["params"])
+        made.state = {k: plain[k] for k in ("task", "width", "classes", "k")}
+        made.state["models"] = [load(blobs[i]) for i in sorted(blobs) if i.startswith("model")]
+        if "zmeta" in blobs:
+            made.state["meta"] = load(blobs["zmeta"])
+        if plain["oof"]:
+            made.state["oof"] = np.frombuffer(blobs["oof"], "<f8").reshape(plain["oof"])
+        return made
+
+
+class Voting(_Nested):
     """Weighted vote of fitted estimators: soft or hard; the weighted sum for numbers."""
 
     family = "voting"
@@ -216,6 +265,9 @@ class Voting(Estimator):
         if len(self.weights) != len(self.specs):
             raise ValidationError("as many weights as models are needed")
 
+    def _plain(self) -> dict:
+        return {"specs": self.specs, "weights": self.weights, "voting": self.voting, "task": self.task}
+
     def _fit(self, x, y, k):
         task = "classification" if k else "regression"
         return {"models": [create(m, task, **p).fit(x, y) for m, p in self.specs]}
@@ -238,7 +290,7 @@ class Voting(Estimator):
         return sum(w * p for w, p in zip(self.weights, ps, strict=True))
 
 
-class Bagged(Estimator):
+class Bagged(_Nested):
     """The mean of models fitted on the training parts of k folds, repeated with other seeds."""
 
     family = "bagged"
@@ -247,6 +299,9 @@ class Bagged(Estimator):
         super().__init__(task)
         self.spec, self.k, self.repeats, self.seed = spec, k_fold, repeats, seed
 
+    def _plain(self) -> dict:
+        return {"spec": self.spec, "k_fold": self.k, "repeats": self.repeats, "seed": self.seed, "task": self.task}
+
     def _fit(self, x, y, k):
         model, params = self.spec
         task = "classification" if k else "regression"
@@ -277,8 +332,11 @@ class Bagged(Estimator):
         return out if s["k"] else out[:, 0]
 
 
-class Stacking(Estimator):
-    """A meta-model on out-of-fold predictions (model by model, class by class), and x if passed through."""
+class Stacking(_Nested):
+    """A meta-model on out-of-fold predictions (model by model, class by class), and x if passed through.
+
+    A member may be (name, fitted Bagged): its out-of-fold predictions on the same rows are used.
+    """
 
     family = "stacking"
 
@@ -286,11 +344,17 @@ class Stacking(Estimator):
         super().__init__(task)
         self.specs, self.meta, self.cv, self.passthrough, self.seed = list(specs), meta, cv, passthrough, seed
 
+    def _plain(self) -> dict:
+        specs = [(m, "bagged") if isinstance(p, Bagged) else (m, p) for m, p in self.specs]
+        return {"specs": specs, "meta": self.meta, "cv": self.cv, "passthrough": self.passthrough, "seed": self.seed, "task": self.task}
+
     def _fit(self, x, y, k):
-        bags = [Bagged(s, self.cv, 1, self.seed, "classification" if k else "regression").fit(x, y) for s in self.specs]
+        bags = [s[1] if isinstance(s[1], Bagged) else Bagged(s, self.cv, 1, self.seed, "classification" if k else "regression").fit(x, y) for s in self.specs]
+        if any(len(b.oof_predictions) != len(x) for b in bags):
+            raise ValidationError("a fitted member was bagged on other rows")
         table = np.concatenate([b.oof_predictions for b in bags] + ([x] if self.passthrough else []), axis=1)
         task = "classification" if k else "regression"
-        return {"models": [create(m, task, **p).fit(x, y) for m, p in self.specs], "meta": create(self.meta[0], task, **self.meta[1]).fit(table, y)}
+        return {"models": [p if isinstance(p, Bagged) else create(m, task, **p).fit(x, y) for m, p in self.specs], "meta": create(self.meta[0], task, **self.meta[1]).fit(table, y)}
 
     def meta_features(self, x, s) -> np.ndarray:
         parts = [m.predict_proba(x) if s["classes"] else m.predict(x)[:, None] for m in s["models"]]
@@ -301,6 +365,10 @@ class Stacking(Estimator):
         return s["meta"].predict_proba(t) if s["classes"] else s["meta"].predict(t)
 
 
+for _class in (Voting, Bagged, Stacking):
+    register(f"lathe.{_class.family}@1", _class.restore)
+
+
 @dataclass
 class AutoFit:
     model: Estimator

@@ -750,6 +750,50 @@ class Factorisation(Estimator):
         return np.column_stack([1 - p[:, 0], p[:, 0]]) if len(s["classes"]) == 2 else p / p.sum(1, keepdims=True)
 
 
+class FieldFactorisation(Factorisation):
+    """Field-aware factorisation machine: a feature has factors for each field; `fields` lists each feature's (its own place by default)."""
+
+    family = "ffm"
+    defaults = Factorisation.defaults | {"fields": None}
+
+    def _fields(self, d):
+        fields = list(self.param("fields") or range(d))
+        if len(fields) != d:
+            raise ValidationError(f"{d} features need as many fields")
+        return np.array(fields)
+
+    def _pairs(self, x, v, fields):
+        """(rows, features, features): the products of pairs' factors, without their values."""
+        own = v[:, fields]  # own[i, j]: factors of i for the field of j
+        return np.einsum("ijk,jik->ij", own, own)
+
+    def _margin(self, x, b, w, v):
+        dots = np.triu(self._pairs(x, v, self._fields(x.shape[1])), 1)
+        return b + x @ w + np.einsum("ni,ij,nj->n", x, dots, x)
+
+    def _one(self, x, t, regression):
+        rng, lr, lam = np.random.default_rng(self.param("seed")), self.param("lr"), self.param("lambda")
+        d, fields = x.shape[1], self._fields(x.shape[1])
+        b, w, v = 0.0, np.zeros(d), rng.normal(0, 0.1, (d, int(fields.max()) + 1, int(self.param("k"))))
+        gb, gw, gv = 1e-8, np.full_like(w, 1e-8), np.full_like(v, 1e-8)
+        for _ in range(int(self.param("epoch"))):
+            order = rng.permutation(len(x))
+            for a in range(0, len(x), 16):
+                rows = order[a : a + 16]
+                xs = x[rows]
+                z = self._margin(xs, b, w, v)
+                g = (z - t[rows] if regression else -t[rows] * _sigmoid(-t[rows] * z)) / len(rows)
+                both = np.einsum("n,ni,nj->ij", g, xs, xs)
+                np.fill_diagonal(both, 0)
+                dv = lam * v
+                for j in range(d):  # feature i meets j with its factors for j's field
+                    dv[:, fields[j]] += both[:, [j]] * v[j][fields]
+                db, dw = g.sum(), xs.T @ g + lam * w
+                gb, gw, gv = gb + db * db, gw + dw * dw, gv + dv * dv
+                b, w, v = b - lr * db / math.sqrt(gb), w - lr * dw / np.sqrt(gw), v - lr * dv / np.sqrt(gv)
+        return b, w, v
+
+
 class Clauses(Estimator):
     """Tsetlin machine: clauses of threshold literals vote; automata learn by type I and II feedback."""
 
@@ -908,7 +952,7 @@ class BayesianTrees(_Trees):
         return np.column_stack([1 - p, p])
 
 
-FAMILIES: dict[str, type[Estimator]] = {c.family: c for c in (Baseline, Linear, KernelMachine, Neighbours, Boosting, Forest, Additive, Network, EnsembleNetwork, NeuralAdditive, Factorisation, Clauses, BayesianTrees)}
+FAMILIES: dict[str, type[Estimator]] = {c.family: c for c in (Baseline, Linear, KernelMachine, Neighbours, Boosting, Forest, Additive, Network, EnsembleNetwork, NeuralAdditive, Factorisation, FieldFactorisation, Clauses, BayesianTrees)}
 for _family, _class in FAMILIES.items():
     register(f"lathe.{_family}@1", _class.restore)
 

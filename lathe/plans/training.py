@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lathe.functions import expressions as X
@@ -33,7 +36,7 @@ def _local(family: str, **params):
     return run
 
 
-for _family, _params in {"linear": {}, "svm": {"C": 1.0}, "boosting": {"numRound": 20}, "forest": {"n_estimators": 20}, "additive": {"maxRounds": 40}, "mlp": {"epochs": 10}, "tabm": {"epochs": 5}, "nam": {"epochs": 10}, "fm": {"epoch": 10}, "clauses": {"nEpochs": 2}, "bart": {"numTrees": 8, "numBurnin": 8, "numSamples": 8}}.items():
+for _family, _params in {"linear": {}, "svm": {"C": 1.0}, "boosting": {"numRound": 20}, "forest": {"n_estimators": 20}, "additive": {"maxRounds": 40}, "mlp": {"epochs": 10}, "tabm": {"epochs": 5}, "nam": {"epochs": 10}, "fm": {"epoch": 10}, "ffm": {"epoch": 5}, "clauses": {"nEpochs": 2}, "bart": {"numTrees": 8, "numBurnin": 8, "numSamples": 8}}.items():
     query(name=f"fit_{_family}")(_local(_family, **_params))
 
 
@@ -101,6 +104,17 @@ def autofit_ensemble(spark, d):
     return spark.createDataFrame([(m, str(p), float(w)) for (m, p), w in zip(out.members, out.weights, strict=True)], "model string, params string, weight double")
 
 
+@query()
+def probit_proba(spark, d):
+    """Spark has no error function, so a probit's probabilities come in Arrow batches."""
+
+    @F.arrow_udf("double")
+    def probit(z: pa.Array) -> pa.Array:
+        return pa.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z.to_pylist()], pa.float64())
+
+    return table(spark, d, "events").select("event_id", r6(probit(F.col("value") / 100 - 0.5)).alias("p"))
+
+
 @query()
 def forest_importance(spark, d):
     """Permutation importances of a forest on a gathered sample of 400 rows."""

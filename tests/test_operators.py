@@ -252,6 +252,25 @@ def test_ensembles_in_memory():
         am.Voting([("knn", {})], voting="hard").fit(x, y).predict_proba(x)
 
 
+def test_ensembles_persist_and_take_fitted_members():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(60, 3))
+    y = (x[:, 0] > 0).astype(int)
+    bag = am.Bagged(("linear", {}), 3).fit(x, y)
+    for m in (am.Voting([("knn", {}), ("linear", {})], [0.4, 0.6]), bag, am.Stacking([("knn", {}), ("mine", bag)])):
+        m.fit(x, y)
+        again = load(m.save())
+        assert again.predict_proba(x) == pytest.approx(m.predict_proba(x))
+    assert load(bag.save()).oof_predictions == pytest.approx(bag.oof_predictions)
+    assert am.with_rounds("boosting", {}, 7) == {"numRound": 7} and am.with_rounds("boosting", {"numRound": 3}, 7) == {"numRound": 3}
+
+
+def test_cross_val_score(spark, points):
+    assert len(am.cross_val_score(spark, points, "row_id", ["a", "b", "c"], "y", "linear", cv=3)) == 3
+    own = points.withColumn("f", (F.col("row_id") % 2).cast("int"))
+    assert min(am.cross_val_score(spark, own, "row_id", ["a", "b", "c"], "y", "linear", cv="f")) > 0.8
+
+
 def test_pipeline(spark, points):
     p = Pipeline([("scale", StandardScaler(["a", "b", "c"])), ("model", create("linear"))])
     with pytest.raises(NotFittedError):
