@@ -43,17 +43,20 @@ def class_sample(
     per_class: int,
     id_col: str = "doc_id",
     text_col: str = "text",
+    most: int = 20_000,
 ) -> tuple[list[tuple[str | None, object]], dict[object, int]]:
     """At most `per_class` labelled texts of each class, and how many labelled rows each class has.
 
     The rows are those least by a hash of their id, so the choice does not depend on partitioning.
     Only the chosen ids (a number fixed by `per_class`) are broadcast; no text is shuffled. An id
     that is labelled twice takes its larger label; ids that several documents share give at most
-    twice as many texts as were asked for. classes=None takes all classes there are.
+    twice as many texts as were asked for. classes=None takes all classes there are; `most` bounds the
+    rows of all classes together.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     counts = {r["_class"]: r["n"] for r in known.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("n")).collect()}
     wanted = sorted(counts) if classes is None else [c for c in classes if c in counts]
+    per_class = min(per_class, max(1, most // max(1, len(wanted))))
     some = F.lit(False)
     for c in wanted:  # thins out what is sorted, four times the rows needed
         share = min(1.0, 4 * per_class / counts[c])
