@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from lathe.operators import ensembles as en
 from lathe.operators import frames as fr
 from lathe.operators import search as se
 from lathe.operators.estimators import Estimator, create
+from lathe.operators.scaling import Preprocessor
 from lathe.sources.bundle import encode_bundle
 from lathe.sources.registry import load, register
 
@@ -376,15 +378,35 @@ class AutoFit:
     best: dict
     members: list[tuple[str, dict]]
     weights: list[float]
+    preprocessor: Preprocessor | None = None
 
+    def predict(self, df: DataFrame, row_id: str, features: list[str], out: str = "prediction") -> DataFrame:
+        """(row_id, prediction) of a frame of the original features, scored in Arrow batches."""
+        model, names = self.model, features
+        if self.preprocessor is not None:
+            df, names = self.preprocessor.transform(df.select(row_id, *features)), self.preprocessor.output_columns
 
-def auto_fit(spark, df: DataFrame, row_id: str, features: list[str], y: str, models: list[str], strategy: str = "random", cv: int = 5, seed: int = 42, n_iter: int = 20, ensemble: bool = True, ensemble_size: int = 20, disagreement: float = 0.05, refine: bool = True, meta: tuple[str, dict] | None = None, scoring: str | None = None, timeout: float | None = None, on_progress=None) -> AutoFit:
+        @F.arrow_udf("double")
+        def run(rows: pa.Array) -> pa.Array:
+            x = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), len(names))
+            return pa.array(np.asarray(model.predict(x), dtype=float))
+
+        return df.select(row_id, run(F.array(*[F.col(f"`{c}`").cast("double") for c in names])).alias(out))
+
+
+def auto_fit(spark, df: DataFrame, row_id: str, features: list[str], y: str, models: list[str], strategy: str = "random", cv: int = 5, seed: int = 42, n_iter: int = 20, ensemble: bool = True, ensemble_size: int = 20, disagreement: float = 0.05, refine: bool = True, meta: tuple[str, dict] | None = None, scoring: str | None = None, timeout: float | None = None, on_progress=None, preprocessor: Preprocessor | None = None) -> AutoFit:
     """Search, then the best model refitted on all rows, or an ensemble of the families' best.
 
     The pool is each family's best, then seconds; members too like those before them are left out;
     greedy selection gives weights, refined on the simplex. With three families and a meta-model the
-    ensemble is a stack with the features passed through.
+    ensemble is a stack with the features passed through. A preprocessor is fitted on all rows first and
+    is part of the result.
     """
+    if preprocessor is not None:
+        ready = preprocessor.fit(df).transform(df.select(row_id, *features, y))
+        out = auto_fit(spark, ready, row_id, preprocessor.output_columns, y, models, strategy, cv, seed, n_iter, ensemble, ensemble_size, disagreement, refine, meta, scoring, timeout, on_progress)
+        out.preprocessor = preprocessor
+        return out
     data = Matrix.gather(df, row_id, features, y, cv, seed)
     search = run_search(spark, data, models, strategy, n_iter, seed, scoring=scoring, timeout=timeout, on_progress=on_progress)
     best = search.best()

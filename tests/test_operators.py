@@ -242,6 +242,13 @@ def test_auto_fit(spark, points):
     assert out.model.predict(x).tolist() == [1, 0]
 
 
+def test_auto_fit_with_a_preprocessor(spark, points):
+    holes = points.withColumn("a", F.when(F.col("row_id") % 7 != 0, F.col("a")))
+    out = am.auto_fit(spark, holes, "row_id", ["a", "b", "c"], "y", ["linear", "boosting"], "portfolio", cv=3, ensemble=False, preprocessor=Preprocessor(["a", "b", "c"], scale="standard"))
+    got = out.predict(holes, "row_id", ["a", "b", "c"]).join(points.select("row_id", "y"), "row_id")
+    assert got.where("prediction = y").count() > 85
+
+
 def test_ensembles_in_memory():
     r = np.random.default_rng(2)
     x = r.normal(size=(90, 3))
