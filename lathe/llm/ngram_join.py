@@ -65,38 +65,47 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(44)).astype(np.int64)
 
 
-def count_table(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """How many n-grams of all texts fall into each of WIDTH buckets (each text's distinct ones)."""
+def _counted(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[np.ndarray, DataFrame]:
+    """(counts, rows): how many n-grams of all texts fall into each of WIDTH buckets (each text's
+    distinct ones), and (_id, _text hash, _n, _key) of every row, from one scan."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = "r int, part int, kind string, counts binary"
+
+    def _packed(r: int, part: int, piece: np.ndarray) -> dict:
+        kind = np.min_scalar_type(int(piece.max()))
+        return {"r": pa.array([r], pa.int32()), "part": pa.array([part], pa.int32()), "kind": pa.array([str(kind)]), "counts": pa.array([zlib.compress(piece.astype(kind).tobytes(), 1)], pa.binary())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(WIDTH, np.int64)
+        table, id_type = np.zeros(WIDTH, np.int64), None
         for batch in batches:
-            texts = utf8(batch.column(0))
+            id_type, texts, sizes, keys = batch.column(0).type, utf8(batch.column(2)), [], []
             for a in range(0, len(texts), 256):
-                table += np.bincount(_bucket(np.concatenate([gram_set(t, n) for t in texts[a : a + 256]])), minlength=WIDTH)
+                sets = [gram_set(t, n) for t in texts[a : a + 256]]
+                table += np.bincount(_bucket(np.concatenate(sets)), minlength=WIDTH)
+                sizes += [len(g) for g in sets]
+                keys += [xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in sets]
+            m = batch.num_rows
+            empty = {"r": pa.nulls(m, pa.int32()), "part": pa.nulls(m, pa.int32()), "kind": pa.nulls(m, pa.string()), "counts": pa.nulls(m, pa.binary())}
+            yield pa.RecordBatch.from_pydict(empty | {"_id": batch.column(0), "_text": batch.column(1), "_n": pa.array(sizes, pa.int64()), "_key": pa.array(keys, pa.binary())})
         part = TaskContext.get().partitionId()
         for r, piece in enumerate(np.split(table, RANGES)):
             if piece.any():
-                yield _packed(r, part >> 8, piece)
-
-    def _packed(r: int, part: int, piece: np.ndarray) -> pa.RecordBatch:
-        kind = np.min_scalar_type(int(piece.max()))
-        return pa.RecordBatch.from_pydict({"r": pa.array([r], pa.int32()), "part": pa.array([part], pa.int32()), "kind": [str(kind)], "counts": pa.array([zlib.compress(piece.astype(kind).tobytes(), 1)], pa.binary())})
-
-    schema = "r int, part int, kind string, counts binary"
+                yield pa.RecordBatch.from_pydict(_packed(r, part >> 8, piece) | {"_id": pa.nulls(1, id_type), "_text": pa.nulls(1, pa.int64()), "_n": pa.nulls(1, pa.int64()), "_key": pa.nulls(1, pa.binary())})
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(WIDTH // RANGES, np.int64)
         for kind, counts in zip(group["kind"].to_pylist(), group["counts"].to_pylist(), strict=True):
             total += np.frombuffer(zlib.decompress(counts), np.dtype(kind))
-        return pa.Table.from_batches([_packed(group["r"][0].as_py(), group["part"][0].as_py() >> 8, total)])
+        return pa.Table.from_pydict(_packed(group["r"][0].as_py(), group["part"][0].as_py() >> 8, total))
 
-    some = docs.select(F.col(text_col)).mapInArrow(run, schema)
+    narrow = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.col(text_col).cast("string"))
+    both = narrow.mapInArrow(run, f"{schema}, _id {kind}, _text long, _n long, _key binary").checkpoint()
+    some = both.where("r is not null").select("r", "part", "kind", "counts")
     some = some.groupBy("r", "part").applyInArrow(add, schema).groupBy("r").applyInArrow(add, schema)
     out = np.zeros(WIDTH, np.int64)
     for row in some.collect():
         out[row["r"] * (WIDTH // RANGES) : (row["r"] + 1) * (WIDTH // RANGES)] = np.frombuffer(zlib.decompress(row["counts"]), np.dtype(row["kind"]))
-    return np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
+    return np.minimum(out, 0xFFFFFFFF).astype(np.uint32), both.where("r is null").select("_id", "_text", "_n", "_key")
 
 
 def least_overlap(n_x: Column, n_y: Column, num: int, den: int) -> Column:
@@ -215,11 +224,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, num:
 def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
     """(_id, _text, _n, label, component_id) of every row; label is null for wordless texts."""
     ensure_checkpoint_dir(docs.sparkSession)
-    counts = count_table(docs, text_col, n)
-    rows = _profile(docs, id_col, text_col, n, num, den, counts).checkpoint()
+    counts, rows = _counted(docs, id_col, text_col, n)
     texts = docs.select(F.col(id_col).alias("_tid"), F.xxhash64(text_col).alias("_thash"), F.col(text_col).cast("string").alias("_raw"))
     classes = (
-        rows.where("_n > 0")
+        _profile(docs, id_col, text_col, n, num, den, counts)
+        .where("_n > 0")
         .groupBy("_key")
         .agg(F.min("_uid").alias("_node"), F.min("_id").alias("_least"), F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"), F.first("_sig").alias("_sig"), F.min_by(F.struct("_id", "_text"), "_uid").alias("_rep"))
         .select("_key", "_node", "_least", "_n", "_prefix", "_sig", F.col("_rep._id").alias("_id"), F.col("_rep._text").alias("_text"))
