@@ -270,9 +270,12 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
     if not found.isEmpty():
         label = components(found.unionByName(label.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))).checkpoint()
 
-    tagged = classes.join(label.withColumnRenamed("node", "_node"), "_node", "left").select("_key", "_node", "_least", own("_node", "label"))
-    least = tagged.groupBy("label").agg(F.min("_least").alias("component_id"))
-    named = tagged.select("_key", "label").join(least, "label").select("_key", "label", "component_id")
+    tagged = classes.join(label.withColumnRenamed("node", "_node"), "_node", "left").select("_key", "_least", own("_node", "label")).checkpoint()
+    every = tagged.count()
+    least = tagged.groupBy("label").agg(F.min("_least").alias("component_id"), F.count(F.lit(1)).alias("_c"))
+    large = F.broadcast(least.where(F.col("_c") * 1000 > F.lit(every)).drop("_c"))  # at most 1000 components
+    few = tagged.join(large.select("label"), "label", "left_anti").join(least.where(F.col("_c") * 1000 <= F.lit(every)).drop("_c"), "label")
+    named = tagged.join(large, "label").unionByName(few).select("_key", "label", "component_id")
     return rows.join(named, "_key", "left").select("_id", "_text", "_n", "label", F.coalesce("component_id", "_id").alias("component_id"))
 
 
