@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathe.errors import ValidationError
+from lathe.functions.ordered import global_rank
+from lathe.session import checkpointed
 
 
 def estimator(family: str, task: str, params: dict, rows: int, classes: int = 2):
@@ -56,3 +58,21 @@ def fit(df: DataFrame, features: list[str], y: str | None, family: str, task: st
         raise ValidationError("nothing to fit on")
     stage = estimator(family, task, params, row["n"], row["k"] if y else 0)
     return SparkPipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), stage]).fit(named)
+
+
+def permutation_importance(model, df: DataFrame, row_id: str, features: list[str], y: str, seed: int = 0) -> DataFrame:
+    """(feature, importance): the accuracy over all rows, less that with the feature's values permuted.
+
+    Rows are put in a hash order of their ids; a feature's values move along it by an own distance.
+    """
+    named = df.select(F.col(row_id).alias("_id"), *features, F.col(y).cast("double").alias("_y"))
+    ranked = checkpointed(global_rank(named, F.sha2(F.concat_ws(" ", F.lit(seed), "_id"), 256), ["_id"], out="_rank"))
+    n = ranked.count()
+    steps = {f: 1 + (i * n) // (len(features) + 1) % max(1, n - 1) for i, f in enumerate(features)}
+    moved = F.array(*[F.struct((F.pmod(F.col("_rank") - 1 + F.lit(steps[f]), F.lit(n)) + 1).alias("_rank"), F.lit(i).alias("i"), F.col(f).alias("v")) for i, f in enumerate(features)])
+    others = ranked.select(F.explode(moved).alias("x")).groupBy("x._rank").agg(*[F.max(F.when(F.col("x.i") == i, F.col("x.v"))).alias(f"_v{i}") for i in range(len(features))])
+    kinds = [F.struct(F.lit(k).alias("k"), *[F.col(f"_v{i}" if i == k else f).alias(f) for i, f in enumerate(features)]) for k in range(-1, len(features))]
+    rows = ranked.join(others, "_rank").select("_y", F.explode(F.array(*kinds)).alias("x")).select("_y", "x.*")
+    right = model.transform(rows).groupBy("k").agg(F.avg((F.col("prediction") == F.col("_y")).cast("double")).alias("score"))
+    scores = {r["k"]: r["score"] for r in right.collect()}
+    return df.sparkSession.createDataFrame([(f, scores[-1] - scores[i]) for i, f in enumerate(features)], "feature string, importance double")

@@ -11,7 +11,6 @@ from lathe.functions import expressions as X
 from lathe.operators import automl as am
 from lathe.operators import clustering as cl
 from lathe.operators import distributed as ds
-from lathe.operators import estimators as es
 from lathe.plans.util import query, r6
 from lathe.session import table
 from lathe.streaming.scoring import read_stream, score_available
@@ -117,11 +116,9 @@ def probit_proba(spark, d):
 
 @query()
 def forest_importance(spark, d):
-    """Permutation importances of a forest on a gathered sample of 400 rows."""
-    rows = _points(spark, d).orderBy("row_id").limit(400).toPandas()
-    x, y = rows[FEATURES].to_numpy(float), rows["y"].to_numpy()
-    m = es.create("forest", n_estimators=15, max_depth=5).fit(x, y)
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(FEATURES, m.permutation_importance(x, y), strict=True)], "feature string, importance double")
+    """Permutation importances of a forest that is fitted and scored on all rows."""
+    df = _points(spark, d)
+    return ds.permutation_importance(ds.fit(df, FEATURES, "y", "forest", n_estimators=15, max_depth=5), df, "row_id", FEATURES, "y")
 
 
 @query("SELECT event_id, round(1 / (1 + exp(-(value / 100 - 0.5))), 6) + 0.0::DOUBLE AS p FROM events")

@@ -20,6 +20,7 @@ from lathe.operators import search as se
 from lathe.operators.estimators import FAMILIES, create
 from lathe.operators.pipeline import Pipeline
 from lathe.operators.scaling import MinMaxScaler, Preprocessor, Scaler, StandardScaler, column_types, quantile_thresholds
+from lathe.plans.catalogue import QUERIES
 from lathe.sources import bundle as bn
 from lathe.sources.registry import load, register
 
@@ -297,6 +298,14 @@ def test_distributed(spark, points):
         ds.fit(points.limit(0), ["a"], "y", "linear")
 
 
+def test_importances_count_all_rows(spark, tmp_path):
+    """The first 400 ids hold one label; only later rows show that x0 tells the labels apart."""
+    rows = [(i, [float(i < 400 or i % 2), *[float(i * k % 7) for k in range(3, 10)]], 9 if i < 400 or i % 2 else 0) for i in range(1000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["feature"]: r["importance"] for r in QUERIES["forest_importance"](spark, str(tmp_path)).collect()}
+    assert list(got) == [f"x{i}" for i in range(8)] and got["x0"] > 0.2 and max(v for f, v in got.items() if f != "x0") < 0.1
+
+
 def test_thresholds(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 6)], "x double")
     assert quantile_thresholds(df, "x", 3) == [2, 3, 4]
