@@ -182,6 +182,24 @@ def test_url_model_tells_kinds_apart(spark):
     assert d3.fit(spark.createDataFrame([], "page_id long, url string")).ratio(b"x") == float("-inf")
 
 
+def test_url_models_count_all_urls(spark):
+    """Beyond the calibrating sample, each url counts; contexts in a table give the same ratios."""
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k))  # noqa: E731  digits are one
+    urls = [f"http://www.{word(i)}.example.com/{'q' if i == 7 else 'en'}/{word(i * 7)}" for i in range(300)] + [f"http://casino{word(i)}.example.com/win/{word(i * 3)}" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate([*urls, None, "no url"])), "page_id long, url string").repartition(3)
+    m, joined = d3.fit(df, sample_rows=20), d3.fit(df, sample_rows=20, max_counts=0)
+    kinds = lambda n: [(u[7:].encode(), "casino" in u) for u in urls[:n]]
+    for model, kind in ((m.accepted, False), (m.rejected, True)):
+        assert model.table == d3.MarkovModel([t for t, r in kinds(500) if r == kind]).table
+    assert joined.counts is not None and joined.limit == pytest.approx(m.limit)
+    got, want = ({r["page_id"]: (r["verdict"], r["ratio"]) for r in d3.filter_urls(df, x).collect()} for x in (joined, m))
+    assert len(got) == 502 and {k: v for k, (v, _) in got.items()} == {k: v for k, (v, _) in want.items()}
+    for k, (_, r) in want.items():
+        assert got[k][1] == (r if r is None else pytest.approx(r))
+    left_out = d3.MarkovModel([t for t, r in kinds(500) if not r][1:])
+    assert m.accepted.log_likelihood(kinds(1)[0][0], own=True) == pytest.approx(left_out.log_likelihood(kinds(1)[0][0]))
+
+
 def test_url_query_covers_all_pages(spark):
     got = Q.OPS["op3_url_filter"](spark, "/root/testdata/sf0.01").collect()
     assert len(got) == 250
