@@ -9,9 +9,10 @@ sidebar, notice, advert, form, comment or hidden element, or outside the article
 
 All pages take part. Each task merges its own pages into a wrapper for each host first, and those
 meet in two steps, so a host that has a third of all pages is merged from a few small rows. A
-wrapper's size is bounded by the host's layouts: repeated siblings are one node, and a node keeps 64
-texts (counts by Misra-Gries, so a frequent text is never lost to rare ones). While all wrappers
-together are below `broadcast_bytes` they go to the tasks at once; beyond that they are joined to
+wrapper's size is bounded by the host's layouts: repeated siblings are one node, and a node counts its
+texts by Misra-Gries: 64 of them, or as many more as it takes to miss no count by over a quarter of the
+node's pages. These counts only nominate texts (by count plus error); a second pass aligns all pages
+with the wrappers and counts the nominated texts exactly. While all wrappers together are below `broadcast_bytes` they go to the tasks at once; beyond that they are joined to
 the pages by host, where adaptive execution splits a hot host.
 
 Defined results: null or empty html gives an empty text; a page without an article gives all varying
@@ -61,6 +62,8 @@ _HEAD = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table article section div body td th form aside nav header footer main blockquote".split())
 TEXTS = 64
+#: Sixteenths of a node's pages that counts may miss after each step: pages, task, tasks, host.
+ERRORS = (1, 2, 3, 4)
 
 
 class Page:
@@ -158,14 +161,14 @@ def text_hash(text: str) -> int:
 
 
 class Wrapper:
-    """Aligned pages of a host: a tree of nodes [key, pages, {text hash: pages}, children]."""
+    """Aligned pages of a host: a tree of nodes [key, pages, {text hash: pages}, children, most that a count misses]."""
 
     def __init__(self, root=None):
-        self.root = root or ["#root", 0, {}, []]
+        self.root = root or ["#root", 0, {}, [], 0]
 
     @staticmethod
-    def tree(nodes: tuple, pages: int, texts: list[dict[int, int]]) -> list:
-        made = [[key, pages, texts[i], []] for i, (_, key) in enumerate(nodes)]
+    def tree(nodes: tuple, pages: int, texts: list[dict[int, int]], errors: list[int] | None = None) -> list:
+        made = [[key, pages, texts[i], [], errors[i] if errors else 0] for i, (_, key) in enumerate(nodes)]
         for i, (parent, _) in enumerate(nodes):
             if parent >= 0:
                 made[parent][3].append(made[i])
@@ -194,13 +197,14 @@ class Wrapper:
         memo[id(a), id(b)] = result = (1 + best[-1][-1], pairs[::-1])
         return result
 
-    def merge(self, other: list) -> None:
+    def merge(self, other: list, error: int = ERRORS[1]) -> None:
         memo: dict = {}
 
         def into(a, b):
             a[1] += b[1]
-            a[2] = lessened(a[2], b[2])
-            pairs = self.match(a[3] and a or ["", 0, {}, []], b, memo)[1] if a[3] else []
+            a[2], cut = lessened(a[2], b[2], a[1] * error // 16 - a[4] - b[4])
+            a[4] += b[4] + cut
+            pairs = self.match(a, b, memo)[1] if a[3] else []
             partner = {j: i for i, j in pairs}
             merged, done = [], 0
             for j, child in enumerate(b[3]):
@@ -215,46 +219,71 @@ class Wrapper:
 
         into(self.root, other)
 
-    def constants(self, nodes: tuple, share: float, least_pages: int) -> list[frozenset[int]]:
-        """For each node of a page's tree, the texts that are template there."""
+    def aligned(self, nodes: tuple) -> list[tuple[list, int]]:
+        """(node of the wrapper, number of the page's node) of each pair that matches."""
         page = self.tree(nodes, 0, [{} for _ in nodes])
-        number = {id(page): 0}
         order = [[] for _ in nodes]
         for i, (parent, _) in enumerate(nodes):
             if parent >= 0:
                 order[parent].append(i)
-        out, memo = [frozenset()] * len(nodes), {}
+        out, memo = [], {}
 
         def walk(a, b, i):
-            if a[1] >= least_pages:
-                out[i] = frozenset(int(k) for k, v in a[2].items() if v >= share * a[1])
+            out.append((a, i))
             for x, y in self.match(a, b, memo)[1]:
                 walk(a[3][x], b[3][y], order[i][y])
 
-        del number
         walk(self.root, page, 0)
         return out
 
+    def constants(self, nodes: tuple, share: float, least_pages: int) -> list[frozenset[int] | None]:
+        """For each node of a page's tree, the texts that are template there; null where too few pages tell."""
+        out: list[frozenset[int] | None] = [None] * len(nodes)
+        for a, i in self.aligned(nodes):
+            if a[1] >= least_pages:
+                out[i] = frozenset(k for k, v in a[2].items() if v >= share * a[1])
+        return out
+
+    def all_nodes(self) -> Iterator[list]:
+        """The nodes, parents first; a node's place is its number."""
+        left = [self.root]
+        while left:
+            yield (node := left.pop())
+            left += reversed(node[3])
+
+    def nominate(self, share: float, least_pages: int) -> None:
+        """Keeps the texts that may be template."""
+        for node in self.all_nodes():
+            node[2] = {k: v for k, v in node[2].items() if v + node[4] >= share * node[1]} if node[1] >= least_pages else {}
+
+    def settle(self, counts: dict[tuple[int, int | None], int]) -> None:
+        """Puts exact counts, {(node, text): pages} and {(node, None): pages}, for the nominated."""
+        for number, node in enumerate(self.all_nodes()):
+            if node[2]:
+                node[1] = counts.get((number, None), 0)
+                node[2] = {k: counts[number, k] for k in node[2] if (number, k) in counts}
+            node[4] = 0
+
     def dump(self) -> bytes:
         return zlib.compress(json.dumps(self.root, separators=(",", ":")).encode(), 1)
 
     @classmethod
     def load(cls, raw: bytes) -> Wrapper:
         def fix(node):
-            return [node[0], node[1], {int(k): v for k, v in node[2].items()}, [fix(c) for c in node[3]]]
+            return [node[0], node[1], {int(k): v for k, v in node[2].items()}, [fix(c) for c in node[3]], node[4]]
 
         return cls(fix(json.loads(zlib.decompress(raw))))
 
 
-def lessened(a: dict[int, int], b: dict[int, int]) -> dict[int, int]:
-    """Two counts as one, by Misra-Gries: at most TEXTS texts, the frequent ones among them."""
+def lessened(a: dict[int, int], b: dict[int, int], room: int) -> tuple[dict[int, int], int]:
+    """Two counts as one, by Misra-Gries, and what each lost: TEXTS texts, or as many more as a loss of at most `room` leaves."""
     out = dict(a)
     for k, v in b.items():
         out[k] = out.get(k, 0) + v
-    if len(out) > TEXTS:
-        cut = sorted(out.values(), reverse=True)[TEXTS]
-        out = {k: v - cut for k, v in out.items() if v > cut}
-    return out
+    if len(out) <= TEXTS or room <= 0:
+        return out, 0
+    cut = min(room, sorted(out.values(), reverse=True)[TEXTS])
+    return {k: v - cut for k, v in out.items() if v > cut}, cut
 
 
 class Gathering:
@@ -268,20 +297,20 @@ class Gathering:
         nodes = tuple(page.nodes)
         entry = by_tree.get(nodes)
         if entry is None:
-            entry = by_tree[nodes] = [0, [{} for _ in nodes]]
+            entry = by_tree[nodes] = [0, [{} for _ in nodes], [0] * len(nodes)]
         entry[0] += 1
         for node, h in {(node, text_hash(text)) for node, text in page.runs if not page.dropped[node]}:
             counts = entry[1][node]
             counts[h] = counts.get(h, 0) + 1
-            if len(counts) > 4 * TEXTS:
-                entry[1][node] = lessened(counts, {})
+            if len(counts) > 4 * TEXTS and (room := entry[0] * ERRORS[0] // 16 - entry[2][node]) > 0:
+                entry[1][node], cut = lessened(counts, {}, room)
+                entry[2][node] += cut
 
     def wrappers(self) -> Iterator[tuple[object, Wrapper]]:
         for host, by_tree in self.found.items():
             w = Wrapper()
             for nodes in sorted(by_tree, key=lambda n: (-by_tree[n][0], n)):
-                pages, texts = by_tree[nodes]
-                w.merge(Wrapper.tree(nodes, pages, [lessened(t, {}) for t in texts]))
+                w.merge(Wrapper.tree(nodes, *by_tree[nodes]))
             yield host, w
 
 
@@ -294,8 +323,8 @@ def main_text(page: Page, constants: list[frozenset[int]] | None) -> str:
     )
 
 
-def induce(pages: DataFrame, host_col: str = "_host", html_col: str = "html") -> DataFrame:
-    """(host, wrapper) for every host, from all its pages."""
+def induce(pages: DataFrame, host_col: str = "_host", html_col: str = "html", share: float = 0.75, least_pages: int = 8) -> DataFrame:
+    """(host, wrapper) for every host, from all its pages; a wrapper's texts are nominated, not yet counted."""
     schema = "host string, part int, wrapper binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,23 +337,97 @@ def induce(pages: DataFrame, host_col: str = "_host", html_col: str = "html") ->
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([part] * len(rows), pa.int32()), pa.array([w for _, w in rows], pa.binary())], ["host", "part", "wrapper"])
 
-    def add(group: pa.Table) -> pa.Table:
-        total = Wrapper()
-        for raw in sorted(group["wrapper"].to_pylist()):
-            total.merge(Wrapper.load(raw).root)
-        return pa.Table.from_arrays([group["host"].slice(0, 1), pa.array([group["part"][0].as_py() >> 6], pa.int32()), pa.array([total.dump()], pa.binary())], ["host", "part", "wrapper"])
+    def added(error: int, last: bool):
+        def add(group: pa.Table) -> pa.Table:
+            total = Wrapper()
+            for raw in sorted(group["wrapper"].to_pylist()):
+                total.merge(Wrapper.load(raw).root, error)
+            if last:
+                total.nominate(share, least_pages)
+            return pa.Table.from_arrays([group["host"].slice(0, 1), pa.array([group["part"][0].as_py() >> 6], pa.int32()), pa.array([total.dump()], pa.binary())], ["host", "part", "wrapper"])
+
+        return add
 
     step = pages.select(F.col(host_col), F.col(html_col)).mapInArrow(run, schema)
-    return step.groupBy("host", "part").applyInArrow(add, schema).groupBy("host").applyInArrow(add, schema).select("host", "wrapper")
+    return step.groupBy("host", "part").applyInArrow(added(ERRORS[2], False), schema).groupBy("host").applyInArrow(added(ERRORS[3], True), schema).select("host", "wrapper")
+
+
+def few(wrappers: DataFrame, broadcast_bytes: int) -> dict[str, bytes] | None:
+    """The wrappers by host, if they are below `broadcast_bytes`."""
+    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host") + 64), F.lit(0)).alias("n")).first()["n"]
+    return {r["host"]: bytes(r["wrapper"]) for r in wrappers.collect()} if size <= broadcast_bytes else None
+
+
+def with_wrappers(hosted: DataFrame, wrappers: DataFrame) -> DataFrame:
+    return hosted.join(wrappers.withColumnRenamed("host", "_host").withColumnRenamed("wrapper", "_wrapper"), "_host", "left")
+
+
+def recounted(hosted: DataFrame, wrappers: DataFrame, html_col: str = "html", broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """`wrappers` with the nominated texts counted over all pages of `hosted`."""
+    small = few(wrappers, broadcast_bytes)
+    names = ["host", "node", "text", "n"]
+
+    def rows_of(counts: dict) -> pa.RecordBatch:
+        hosts, nodes, texts = zip(*counts, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(["" if t is None else str(t) for t in texts]), pa.array(list(counts.values()), pa.int64())], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, int, int | None], int] = {}
+        loaded: dict[bytes, tuple[Wrapper, dict[int, int]]] = {}
+        places: dict[tuple, dict[int, tuple[int, dict]]] = {}
+        for batch in batches:
+            raws = batch.column(2).to_pylist() if small is None else map(small.get, batch.column(0).to_pylist())
+            for host, source, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raws, strict=True):
+                if raw is None:
+                    continue
+                if raw not in loaded:
+                    if len(loaded) > 2000:
+                        loaded.clear(), places.clear()
+                    w = Wrapper.load(raw)
+                    loaded[raw] = w, {id(node): number for number, node in enumerate(w.all_nodes()) if node[2]}
+                w, nominated = loaded[raw]
+                if not nominated:
+                    continue
+                page = Page(source)
+                nodes = tuple(page.nodes)
+                if (at := places.get((raw, nodes))) is None:
+                    if len(places) > 20_000:
+                        places.clear()
+                    at = places[raw, nodes] = {i: (nominated[id(a)], a[2]) for a, i in w.aligned(nodes) if id(a) in nominated}
+                found = {(number, None) for number, _ in at.values()}
+                for node, text in page.runs:
+                    if node in at and not page.dropped[node] and (h := text_hash(text)) in at[node][1]:
+                        found.add((at[node][0], h))
+                for number, h in found:
+                    counts[host, number, h] = counts.get((host, number, h), 0) + 1
+            if len(counts) > 100_000:
+                yield rows_of(counts)
+                counts.clear()
+        if counts:
+            yield rows_of(counts)
+
+    @F.arrow_udf("binary")
+    def settled(raws: pa.Array, counts: pa.Array) -> pa.Array:
+        out = []
+        for raw, rows in zip(raws.to_pylist(), counts.to_pylist(), strict=True):
+            w = Wrapper.load(raw)
+            w.settle({(r["node"], int(r["text"]) if r["text"] else None): r["n"] for r in rows or ()})
+            out.append(w.dump())
+        return pa.array(out, pa.binary())
+
+    paged = hosted.select("_host", html_col) if small is not None else with_wrappers(hosted.select("_host", html_col), wrappers).select("_host", html_col, "_wrapper")
+    exact = paged.mapInArrow(run, "host string, node int, text string, n long").groupBy("host", "node", "text").agg(F.sum("n").alias("n"))
+    by_host = exact.groupBy("host").agg(F.collect_list(F.struct("node", "text", "n")).alias("counts"))
+    return wrappers.join(by_host, "host", "left").select("host", settled("wrapper", "counts").alias("wrapper"))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "text", share: float = 0.75, least_pages: int = 8, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """`pages` with the main text of each in `out_col`."""
     ensure_checkpoint_dir(pages.sparkSession)
     hosted = pages.withColumn("_host", F.coalesce(host_of(F.col(url_col)), F.lit("")))
-    wrappers = induce(hosted, "_host", html_col).checkpoint()
-    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host") + 64), F.lit(0)).alias("n")).first()["n"]
-    small = {r["host"]: bytes(r["wrapper"]) for r in wrappers.collect()} if size <= broadcast_bytes else None
+    wrappers = induce(hosted, "_host", html_col, share, least_pages).checkpoint()
+    wrappers = recounted(hosted, wrappers, html_col, broadcast_bytes).checkpoint()
+    small = few(wrappers, broadcast_bytes)
     loaded: dict[bytes, Wrapper] = {}
     decided: dict[tuple, list] = {}
 
@@ -355,5 +458,4 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_
     def by_wrapper(raws: pa.Array, sources: pa.Array) -> pa.Array:
         return pa.array([text_of(s, w) for w, s in zip(raws.to_pylist(), sources.to_pylist(), strict=True)], pa.string())
 
-    joined = hosted.join(wrappers.withColumnRenamed("host", "_host").withColumnRenamed("wrapper", "_wrapper"), "_host", "left")
-    return joined.withColumn(out_col, by_wrapper(F.col("_wrapper"), F.col(html_col))).drop("_host", "_wrapper")
+    return with_wrappers(hosted, wrappers).withColumn(out_col, by_wrapper(F.col("_wrapper"), F.col(html_col))).drop("_host", "_wrapper")

@@ -297,6 +297,20 @@ def test_constant_slots_are_template(spark):
     assert d5.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tasks", [2, 70])
+def test_a_notice_among_many_paragraphs_is_template(spark, tasks):
+    """Every page has the notice among 70 paragraphs of its own; 7 of 10 pages have another one."""
+    rows = []
+    for i in range(210):
+        own = [f"<p>text {i} {k}</p>" for k in range(70)]
+        rows.append((i, f"http://h.example/{i}", f"<body><article>{''.join(own[:35])}<p>Notice</p>{''.join(own[35:])}{'<p>Often</p>' if i % 10 < 7 else ''}</article>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(tasks)
+    for limit in (16 << 20, 0):
+        for r in d5.extract(df, broadcast_bytes=limit).collect():
+            lines = r["text"].split("\n")
+            assert "Notice" not in lines and ("Often" in lines) == (r["page_id"] % 10 < 7) and len(lines) == 70 + (r["page_id"] % 10 < 7)
+
+
 def test_tree_matching_is_largest():
     tree = lambda *c: ["r", 1, {}, [[k, 1, {}, []] for k in c]]
     size, pairs = d5.Wrapper.match(tree("a", "b", "c", "b"), tree("b", "c", "x", "b"), {})
