@@ -6,6 +6,8 @@ order-preserving match of children, recursively. The aligned tree is the host's
 the pages that have a node and the texts found in it. A text that most of a host's pages have in
 the same node is template; what varies is content, unless it stands in a navigation, header, footer,
 sidebar, notice, advert, form, comment or hidden element, or outside the article where there is one.
+Inside an article a class, id or role that names such an element is a prior only, for nodes that too
+few pages have: elsewhere the wrapper decides. The ids of its headings and sections name nothing.
 
 All pages take part. Each task merges its own pages into a wrapper for each host first, and those
 meet in two steps, so a host that has a third of all pages is merged from a few small rows. A
@@ -58,6 +60,8 @@ _BOILERPLATE = re.compile(
 )
 #: Boilerplate outside an article; inside, it's the article's own head.
 _HEAD = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
+#: Elements whose ids, inside an article, are those of its subjects.
+_SUBJECTS = frozenset("section h1 h2 h3 h4 h5 h6".split())
 #: Start tags that close an open element of these names first.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table article section div body td th form aside nav header footer main blockquote".split())
@@ -67,19 +71,23 @@ ERRORS = (1, 2, 3, 4)
 
 
 class Page:
-    """A page's nodes [(parent, tag, class)], flags of each, and runs [(node, text)] in page order."""
+    """A page's nodes [(parent, tag, class)], flags of each, and runs [(node, text)] in page order.
 
-    __slots__ = ("nodes", "dropped", "inside", "runs")
+    `dropped` nodes are boilerplate; `named` ones, inside an article, are so by name only.
+    """
+
+    __slots__ = ("nodes", "dropped", "named", "inside", "runs")
 
     def __init__(self, source: str | None):
         self.nodes: list[tuple[int, str]] = [(-1, "#root")]
-        self.dropped, self.inside, self.runs = [False], [False], []
+        self.dropped, self.named, self.inside, self.runs = [False], [False], [False], []
         if source:
             self._read(source)
 
     def _read(self, source: str) -> None:
         children: dict[tuple[int, str], int] = {}
-        nodes, dropped, inside, runs = self.nodes, self.dropped, self.inside, self.runs
+        nodes, dropped, named, inside, runs = self.nodes, self.dropped, self.named, self.inside, self.runs
+        article = [False]
         stack: list[tuple[str, int]] = [("#root", 0)]
         buffer: list[str] = []
 
@@ -122,7 +130,7 @@ class Page:
                 else:
                     buffer.append(" " if name == "br" else "")
                 continue
-            token, hide = "", False
+            token, hide, prior = "", False, False
             if attributes and not attributes.isspace():
                 for key, value in _ATTRIBUTE.findall(attributes):
                     key, value = key.lower(), value.strip("\"'")
@@ -132,10 +140,13 @@ class Page:
                         hide = hide or "display:none" in value.replace(" ", "").lower()
                     elif value:
                         token = token or value.split()[0] if value.split() else token
-                        hide = hide or bool(_BOILERPLATE.search(value)) or not inside[stack[-1][1]] and bool(_HEAD.search(value))
+                        if not (key == "id" and name in _SUBJECTS and article[stack[-1][1]]):
+                            prior = prior or bool(_BOILERPLATE.search(value)) or not inside[stack[-1][1]] and bool(_HEAD.search(value))
             parent = stack[-1][1]
+            if not article[parent]:
+                hide, prior = hide or prior, False
             hide = hide or name in _BOILERPLATE_TAGS or name == "header" and not inside[parent]
-            if name not in _BLOCKS and not hide:
+            if name not in _BLOCKS and not hide and not prior:
                 continue
             flush()
             if name in _BLOCKS and name not in ("li", "dt", "dd", "tr", "td", "th", "option"):
@@ -149,6 +160,8 @@ class Page:
                 own = children[parent, key] = len(nodes)
                 nodes.append((parent, key))
                 dropped.append(dropped[parent] or (hide and name not in ("body", "html", "article", "main")) or (hide and name in ("article", "main") and inside[parent]))
+                named.append(named[parent] or prior)
+                article.append(article[parent] or (name == "article" and not dropped[-1]))
                 inside.append(inside[parent] or (name in ("article", "main") and not dropped[-1]))
             stack.append((name, own))
         if at < len(source):
@@ -319,7 +332,10 @@ def main_text(page: Page, constants: list[frozenset[int]] | None) -> str:
     return "\n".join(
         text
         for node, text in page.runs
-        if not page.dropped[node] and (page.inside[node] or not article) and not (constants and constants[node] and text_hash(text) in constants[node])
+        if not page.dropped[node]
+        and (page.inside[node] or not article)
+        and (not page.named[node] or constants and constants[node] is not None)
+        and not (constants and constants[node] and text_hash(text) in constants[node])
     )
 
 

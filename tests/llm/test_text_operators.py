@@ -311,6 +311,14 @@ def test_a_notice_among_many_paragraphs_is_template(spark, tasks):
             assert "Notice" not in lines and ("Often" in lines) == (r["page_id"] % 10 < 7) and len(lines) == 70 + (r["page_id"] % 10 < 7)
 
 
+def test_names_inside_an_article_are_a_prior(spark):
+    """What varies in an article is text, whatever its elements are called; what doesn't is template."""
+    page = '<body><div class="comments">no {0}</div><article><p>text {0}</p><h2 id="related-work">head {0}</h2><section id="discussion"><p>said {0}</p></section><div class="legal">law {0}</div><span class="share">Share this</span><nav>next {0}</nav></article>'
+    rows = [(i, f"http://h.example/{i}", page.format(i)) for i in range(20)] + [(99, "http://lonely.example/", page.format(99))]
+    got = {r["page_id"]: r["text"] for r in d5.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[4] == "text 4\nhead 4\nsaid 4\nlaw 4" and got[99] == "text 99\nhead 99\nsaid 99"
+
+
 def test_tree_matching_is_largest():
     tree = lambda *c: ["r", 1, {}, [[k, 1, {}, []] for k in c]]
     size, pairs = d5.Wrapper.match(tree("a", "b", "c", "b"), tree("b", "c", "x", "b"), {})
