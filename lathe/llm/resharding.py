@@ -5,9 +5,10 @@ transport problem that moves the fewest bytes (a byte that stays in the shard of
 costs nothing). Within an old shard the rows lie on a line: blocks in order of their number, rows
 in order of their id within a block. Each flow takes the next stretch of that line, so whole blocks
 move together and only blocks at the ends of stretches are split; a row belongs to the stretch that
-holds its middle byte. Rows that are large against a shard are placed first, in classes of size;
-each class after them goes where it makes the shards level, so the shards end even to within a row of
-the smallest class that has bytes enough, not of the largest.
+holds its middle byte. Rows that are large against a shard are placed first, in classes of size.
+Each class takes its part, in proportion, of one flow over all bytes that aren't placed yet, so the
+first flow, over the sums of the shards, sets what moves; those after it make up for what whole rows
+left uneven, so the shards end even to within a row of the smallest class that has bytes enough.
 
 Only the sums of the old shards (a number fixed by the layout) reach the driver. Blocks are about
 sqrt(rows) / 2 rows long, so neither the table of blocks nor a block grows as the rows do; a source
@@ -136,6 +137,18 @@ def level(filled: list[int], amount: int) -> list[int]:
     return out
 
 
+def part_of(to: list[tuple[int, int]], amount: int) -> list[tuple[int, int]]:
+    """`amount` bytes in the proportions of a shard's flow."""
+    every, at, done, out = sum(b for _, b in to), 0, 0, []
+    for j, b in to:
+        at += b
+        end = amount * at // every
+        if end > done:
+            out.append((j, end - done))
+        done = end
+    return out
+
+
 def _destination(moves: dict[int, list[tuple[int, int]]], line: Column, middle: Column) -> Column:
     by_line = None
     for i, to in moves.items():
@@ -188,7 +201,12 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 40, id_col: str =
     long = max(1, math.isqrt(total["n"]) // 2)
     filled, moves, parts = [0] * shards, {}, []
     for c in sorted(sums):  # large rows first; the smaller ones make up for what those leave uneven
-        flow = minimum_cost_moves({i: b for i, (_, b) in sums[c].items()}, level(filled, sum(b for _, b in sums[c].values())), cost)
+        left: dict[int, int] = {}
+        for k in sums:
+            for i, (_, b) in sums[k].items() if k >= c else ():
+                left[i] = left.get(i, 0) + b
+        whole = minimum_cost_moves(left, level(filled, sum(left.values())), cost)
+        flow = {i: part_of(whole[i], b) for i, (_, b) in sums[c].items()}
         parts.append(_placed(rows.where(F.col("_class") == c), flow, {i: n for i, (n, _) in sums[c].items()}, long))
         for r in parts[-1].groupBy("_shard").agg(F.sum("_size").alias("b")).collect():
             filled[r["_shard"]] += r["b"]

@@ -384,6 +384,13 @@ def test_resharding_query(spark):
         assert abs(sum(r["size"] for r in part) - mean) <= largest + 1
 
 
+def test_full_shards_of_unlike_rows_stay(spark):
+    """One shard of large rows and one of small ones, both as large as they should be: nothing moves."""
+    df = spark.createDataFrame([(i, "t" * 984, 0) for i in range(40)] + [(100 + i, "t" * 84, 1) for i in range(400)], "doc_id long, text string, old int")
+    placed, moves = d6.reshard(df, F.col("old"), 2)
+    assert placed.where("shard <> old_shard").count() == 0 and moves == {0: [(0, 40_000)], 1: [(1, 40_000)]}
+
+
 def test_resharding_takes_odd_rows_and_rewrites_files(spark, tmp_path):
     df = frame(spark, ODD)
     placed, _ = d6.reshard(df, F.pmod(F.xxhash64("source"), F.lit(3)), 4)
