@@ -3,8 +3,8 @@
 A word (letters and bytes of non-ASCII characters, lower-cased) has the byte n-grams of 2 to 5 of
 `<word>`, hashed into a fixed number of buckets. A text's vector is the mean of the embeddings of
 all n-grams of all its words; a linear softmax gives the languages. Trained by stochastic gradient
-descent in numpy on a bounded sample (`per_class` texts of each language, of each `train_words`
-words drawn evenly); scoring reads whole texts. As the model is linear after the mean, scoring keeps
+descent in numpy on a bounded sample (`per_class` texts of each language); training, as scoring, reads
+whole texts, of which the counts of distinct buckets are kept. As the model is linear after the mean, scoring keeps
 the product of embeddings and softmax weights, one row of it for each bucket.
 
 A temperature is fitted on a fifth of the sample that training leaves out, on its whole texts and on
@@ -124,7 +124,7 @@ class _Words:
         self.index.update(zip(words, range(n, n + len(words)), strict=True))
 
 
-def train(sample: list[tuple[str | None, str]], buckets: int = 1 << 16, dim: int = 16, epochs: int = 6, rate: float = 0.5, train_words: int = 64, reject_share: float = 0.001, seed: int = 7) -> LanguageModel:
+def train(sample: list[tuple[str | None, str]], buckets: int = 1 << 16, dim: int = 16, epochs: int = 6, rate: float = 0.5, reject_share: float = 0.001, seed: int = 7) -> LanguageModel:
     """A model from (text, language) pairs, by stochastic gradient descent."""
     rng = np.random.default_rng(seed)
     sample = [(t, y) for t, y in sample if t and _LETTER.search(t) and y is not None]
@@ -136,9 +136,7 @@ def train(sample: list[tuple[str | None, str]], buckets: int = 1 << 16, dim: int
     held = [sample[i] for i in order[: len(sample) // 5]]
     rows = []
     for i in order[len(sample) // 5 :]:
-        w = words_of(sample[i][0])
-        pick = w if len(w) <= train_words else [w[k] for k in np.linspace(0, len(w) - 1, train_words).astype(int)]
-        g, c = np.unique(subwords(pick, buckets)[0], return_counts=True)
+        g, c = np.unique(subwords(words_of(sample[i][0]), buckets)[0], return_counts=True)
         if len(g):
             rows.append((g, (c / c.sum()).astype(np.float32)[:, None], number[sample[i][1]]))
     emb = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)

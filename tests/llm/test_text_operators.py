@@ -454,6 +454,22 @@ def test_language_of_odd_rows(spark):
     assert df.limit(0).select(d9.predict(none, F.col("text"))).count() == 0
 
 
+def test_language_training_reads_whole_texts():
+    """Words that tell the languages apart stand where 64 evenly spaced words of a text don't."""
+    rng = np.random.default_rng(1)
+    own = {"aa": ["qibbol", "qazzem", "qoffur"], "bb": ["wurtle", "wimmpa", "woxxen"]}
+    skipped = sorted(set(range(640)) - set(np.linspace(0, 639, 64).astype(int).tolist()))
+    sample = []
+    for i in range(200):
+        lang = ("aa", "bb")[i % 2]
+        words = list(rng.choice(["lor", "ips", "dol", "sit"], 640))
+        for k in skipped:
+            words[k] = str(rng.choice(own[lang]))
+        sample.append((" ".join(words), lang))
+    p = d9.train(sample).probabilities(["qibbol qoffur", "wurtle woxxen"])
+    assert p[0, 0] > 0.9 and p[1, 1] > 0.9
+
+
 def test_subwords():
     grams, sizes = d9.subwords([b"ab", b"c"], 1 << 16)
     assert sizes.tolist() == [3 + 2 + 1, 2 + 1] and len(grams) == 9
