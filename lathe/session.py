@@ -32,9 +32,20 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """The shared folder that spark.checkpoint.dir names; one of our own only on a single machine that names none."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lathe-checkpoint-")
+    context.setCheckpointDir(folder)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` cut from its lineage, in the cluster's checkpoint folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lathe-checkpoint-"))
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
