@@ -37,8 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.resharding import ensure_checkpoint_dir
 from lathe.llm.url_filter import host_of
+from lathe.session import ensure_checkpoint_dir
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"

@@ -24,23 +24,17 @@ from __future__ import annotations
 
 import heapq
 import math
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lathe.session import ensure_checkpoint_dir
+
 #: A row is in the first class if larger than a shard's share over the first number, and so on.
 SIZE_CLASSES = (8, 32, 128, 512)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder from spark.checkpoint.dir; a folder of our own only where none is set."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lathe-checkpoint-"))
-
-
 def capacities(total: int, shards: int) -> list[int]:
     """`total` in `shards` whole parts that differ by one at most."""
     return [total // shards + (i < total % shards) for i in range(shards)]
