@@ -45,6 +45,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect what no plan refers to any more; Spark's cleaner then deletes its shuffle files."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` cut from its lineage, in the cluster's checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
