@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathe.llm.textops import utf8
-from lathe.session import ensure_checkpoint_dir
+from lathe.session import ensure_checkpoint_dir, release
 
 #: N-grams that a task sorts at once.
 CHUNK = 1 << 21
@@ -235,6 +235,8 @@ def index(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: in
             yield flush()
 
     both = texts.mapInArrow(run, f"chunk long, r int, at long, a binary, b binary, c binary, d binary, _h1 long, _h2 long, _least {kind}, _node long, _n long").checkpoint()
+    del texts
+    release(docs.sparkSession)  # the texts' shuffle
     low = bits - ranges.bit_length() + 1
 
     def add(group: pa.Table) -> pa.Table:
@@ -262,6 +264,8 @@ def index(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: in
         return pa.Table.from_arrays([*(pa.array(x, pa.int64()) for x in columns), pa.ListArray.from_arrays(offsets, pa.array(bins.ravel(), pa.int32()))], ["_gram", "_node", "_n", "_pos", "_rest", "_slack", "_bins"])
 
     postings = both.where("r = -1").select(*names).unionByName(answers).groupBy("chunk").applyInArrow(order, fields).checkpoint()
+    del answers
+    release(docs.sparkSession)
     return both.where("r is null").select("_node", "_h1", "_h2", "_n", "_least"), postings
 
 
@@ -344,6 +348,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_raw"), *_hashes(text_col))
     same = (texts["_h1"] == wanted["_h1"]) & (texts["_h2"] == wanted["_h2"]) & texts["_id"].eqNullSafe(wanted["_least"])
     texts = texts.join(wanted, same).groupBy("_node").agg(F.first("_raw").alias("_raw")).checkpoint()
+    release(docs.sparkSession)
     hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") * 500 > total).select("a", F.ceil(F.col("_c") * 500 / total).cast("int").alias("_salts"))
     hot = F.broadcast(hot)
     salt = F.pmod(F.xxhash64("b"), F.coalesce("_salts", F.lit(1)).cast("long")).cast("int")
@@ -404,15 +409,17 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
     if not found.isEmpty():
         label = components(found.unionByName(label.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))).checkpoint()
 
-    own = nodes.join(label.withColumnRenamed("node", "_node"), "_node", "left").withColumn("label", F.when(F.col("_n") > 0, F.coalesce("label", "_node"))).checkpoint()
-    linked = own.join(label.select("label").distinct(), "label", "left_semi")
+    release(docs.sparkSession)
+    own = nodes.join(label.withColumnRenamed("node", "_node"), "_node", "left").checkpoint()
+    linked, alone = own.where("label is not null"), own.where("label is null")
     every = label.count()
     least = linked.groupBy("label").agg(F.min("_least").alias("component_id"), F.count(F.lit(1)).alias("_c")).checkpoint()
     large = F.broadcast(least.where(F.col("_c") * 1000 > F.lit(every)).drop("_c"))  # at most 1000 components
     few = least.where(F.col("_c") * 1000 <= F.lit(every)).drop("_c")
-    others = own.join(large.select("label"), "label", "left_anti").join(few, "label", "left")
     columns = [*nodes.columns, "label", "component_id"]
-    return own.join(large, "label").select(*columns).unionByName(others.select(*columns)).withColumn("component_id", F.when(F.col("_n") > 0, F.coalesce("component_id", "_least")))
+    alone = alone.withColumn("label", F.when(F.col("_n") > 0, F.col("_node"))).withColumn("component_id", F.when(F.col("_n") > 0, F.col("_least")))
+    named = linked.join(large, "label").select(*columns).unionByName(linked.join(large.select("label"), "label", "left_anti").join(few, "label").select(*columns))
+    return named.unionByName(alone.select(*columns))
 
 
 def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
