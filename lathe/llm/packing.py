@@ -1,12 +1,13 @@
 """Vector bin packing of token sequences, by the dot-product heuristic.
 
-A row's tokens are those of its prompt (which bear no loss) and its text, then one end id. Rows
-longer than a sequence first give whole sequences; the rest of each goes into a buffer of bounded
-size. Bins are filled one at a time: the piece with the largest weighted dot product of its demand
-(tokens, segments, loss-bearing tokens) and the bin's remaining capacity goes in, until nothing
-fits; then the longest piece is cut to fill the gap. What a task has left over at its end becomes
-sequences whose lengths are powers of two, which take no padding. Each task packs its own rows as
-they stream by: there is no shuffle, and a task holds a batch and the buffer.
+A row's tokens are those of its prompt (which bear no loss) and its text, then one end id. Parts of
+long rows that fill a sequence by themselves, within all limits, become one; the rest goes into a
+buffer of bounded size. Sequences are filled one at a time under limits on tokens, segments and
+loss-bearing tokens: the piece with the largest weighted dot product of its demand and the room left
+goes in, until nothing fits or one segment is left; then pieces are cut to fill the gap. Where segments or loss-bearing
+tokens run out first, or a task's rows end, the sequence's length is a power of two, which takes no
+padding. Each task packs its own rows as they stream by: there is no shuffle, and a task holds a batch
+and the buffer.
 
 Defined results: null texts and prompts are empty (a row has its end id at least); repeated rows
 are packed each by itself; an empty table gives no pieces; extra columns are left out.
@@ -20,10 +21,12 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +34,10 @@ from pyspark.sql import functions as F
 _TOKENIZERS: dict[str, _Encoder] = {}
 #: Characters whose normal form, lower case and class are the same in every Unicode version.
 _PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+")
+_ALL_PLAIN = re.compile(rb"(?:[\n\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+")
 _ODD = re.compile(rb"\xc4[\xb0\xb1]|\xc5[\x89\xbf]|<\|")
+#: Bytes of text that are split at once.
+_SLICE = 8 << 20
 _LETTERS = "a-z\u00df-\u00f6\u00f8-\u017e"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+|\n")
 
@@ -76,8 +82,8 @@ class _Merges:
             found[miss] = self.keys[at[miss]]
         return np.where(found == keys, self.rank[at], self.none), at
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word as little-endian unsigned 32-bit numbers."""
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in turn, and how many each has."""
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         raw = np.frombuffer(b"".join(words), dtype=np.uint8)
         ends = np.cumsum(sizes) - 1
@@ -103,65 +109,112 @@ class _Merges:
             keep[pair[best] + 1] = False
             ids, word = ids[keep], word[keep]
         ids, word = np.concatenate(done_ids), np.concatenate(done_word)
-        ids = ids[np.argsort(word, kind="stable")].astype("<u4").tobytes()
-        cut = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))]) * 4
-        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return ids[np.argsort(word, kind="stable")].astype("<u4"), np.bincount(word, minlength=len(words))
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. for each (start, length) in turn."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class _Encoder:
     """Token ids of whole texts.
 
     Where the vocabulary's normaliser, splitter and merges all stop at white space, a text's ids are
-    those of its stretches, joined: stretches met before are looked up, new ones of plain characters
-    are merged many at once, and the tokenizer itself encodes what is left.
+    those of its stretches, joined: Arrow splits a batch and finds its distinct stretches, those met
+    before are looked up, new ones of plain characters are merged many at once, and the tokenizer
+    itself encodes what is left. The ids known lie in one array, `size` stretches at most.
     """
 
     def __init__(self, path: str, size: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
         self.size, self.merges = size, None
+        self._forget()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["model"].get("end_of_word_suffix") and [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.merges = _Merges(spec["model"])
 
+    def _forget(self) -> None:
+        self.memo: dict[bytes, int] = {}
+        self.flat, self.starts, self.lengths, self.used = np.empty(1 << 16, "<u4"), np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), 0
+
     def _whole(self, raw: bytes) -> bytes:
         return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _store(self, stretches: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        known = len(self.memo)
+        for name, need in (("flat", self.used + len(ids)), ("starts", known + len(stretches)), ("lengths", known + len(stretches))):
+            if need > len(old := getattr(self, name)):
+                grown = np.empty(max(need, 2 * len(old)), old.dtype)
+                grown[: len(old)] = old
+                setattr(self, name, grown)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[known : known + len(stretches)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[known : known + len(stretches)] = lengths
+        self.used += len(ids)
+        self.memo.update(zip(stretches, range(known, known + len(stretches)), strict=True))
+
     def _learn(self, stretches: list[bytes]) -> None:
-        plain = [x for x in stretches if _PLAIN.fullmatch(x) and not _ODD.search(x)]
-        rest = set(stretches).difference(plain)
+        plain, rest, joined = stretches, [], b"\n".join(stretches)
+        if not _ALL_PLAIN.fullmatch(joined) or _ODD.search(joined):
+            plain = [x for x in stretches if _PLAIN.fullmatch(x) and not _ODD.search(x)]
+            rest = list(set(stretches).difference(plain))
+            joined = b"\n".join(plain)
         if plain:
-            parts = _SPLIT.findall(b"\n".join(plain).decode().lower())
-            words = list(set(parts))
-            ids = dict(zip(words, self.merges.encode([w.encode() for w in words]), strict=True))
-            ids["\n"], out, at = None, [], 0
-            for p in map(ids.__getitem__, parts):
-                if p is None:
-                    self.memo[plain[at]] = b"".join(out)
-                    out, at = [], at + 1
-                else:
-                    out.append(p)
-            self.memo[plain[at]] = b"".join(out)
-        for x in rest:
-            self.memo[x] = self._whole(x)
-
-    def ids_of(self, texts: list[bytes | None]) -> list[bytes]:
+            parts = _SPLIT.findall(joined.decode().lower())
+            words = list(set(parts).difference("\n"))
+            number = dict(zip(words, range(len(words)), strict=True)) | {"\n": -1}
+            at = np.fromiter(map(number.__getitem__, parts), dtype=np.int64, count=len(parts))
+            ids, sizes = self.merges.encode([w.encode() for w in words])
+            of = np.cumsum(at < 0)[at >= 0]
+            at = at[at >= 0]
+            self._store(plain, ids[_spread((np.cumsum(sizes) - sizes)[at], sizes[at])], np.bincount(of, sizes[at], len(plain)).astype(np.int64))
+        if rest:
+            ids = [np.frombuffer(self._whole(x), "<u4") for x in rest]
+            self._store(rest, np.concatenate(ids), np.array([len(x) for x in ids]))
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a string column."""
         if self.merges is None:
-            return [self._whole(t) if t else b"" for t in texts]
-        out = []
-        for a in range(0, len(texts), 256):
-            split = [t.split() if t else [] for t in texts[a : a + 256]]
-            fresh = set().union(*split).difference(self.memo)
+            yield from (np.frombuffer(self._whole(t.encode()), "<u4") if t else np.empty(0, "<u4") for t in texts.to_pylist())
+            return
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        bounds, most, a = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0, 0
+        while a < len(texts):
+            most = (bounds[a - 1] if a else 0) + _SLICE
+            b = max(a + 1, int(np.searchsorted(bounds, most, "right")))
+            yield from self._slice(texts.slice(a, b - a))
+            a = b
+
+    def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        found = np.fromiter(map(self.memo.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        fresh = [distinct[i] for i in np.flatnonzero(found < 0).tolist()]
+        if fresh:
             if len(self.memo) + len(fresh) > self.size:
-                self.memo.clear()
-                fresh = set().union(*split)
+                self._forget()
+                fresh = distinct
+            if b"" in fresh:
+                fresh.remove(b"")
+                self._store([b""], np.empty(0, "<u4"), np.zeros(1, np.int64))
             if fresh:
-                self._learn(list(fresh))
-            out += [b"".join(map(self.memo.__getitem__, s)) for s in split]
-        return out
+                self._learn(fresh)
+            found = np.fromiter(map(self.memo.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        at = found[coded.indices.to_numpy(zero_copy_only=False)]
+        lengths = self.lengths[at]
+        ids = self.flat[_spread(self.starts[at], lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield ids[a:b]
+
+    def ids_of(self, texts: list[bytes | None]) -> list[bytes]:
+        return [x.tobytes() for x in self.encode(pa.array([None if t is None else t.decode() for t in texts], pa.large_string()))]
 
 
 def encoder(path: str) -> _Encoder:
@@ -182,102 +235,123 @@ class Limits:
     end_id: int = 1
 
 
-@dataclass
 class Piece:
-    row: int
-    key: object
-    ids: bytes
-    start: int
-    prompt: int
-    total: int
+    """Ids of a row from `start` on; those before `prompt` bear no loss."""
 
-    @property
-    def length(self) -> int:
-        return len(self.ids) // 4
+    __slots__ = ("key", "ids", "start", "prompt", "total", "length")
 
-    def loss(self, length: int | None = None) -> int:
-        end = self.start + (self.length if length is None else length)
-        return max(0, end - max(self.start, self.prompt))
+    def __init__(self, key: object, ids: bytes, start: int, prompt: int, total: int):
+        self.key, self.ids, self.start, self.prompt, self.total, self.length = key, ids, start, prompt, total, len(ids) // 4
+
+    def loss(self) -> int:
+        return max(0, self.start + self.length - max(self.start, self.prompt))
 
     def cut(self, n: int) -> tuple[Piece, Piece]:
-        return Piece(self.row, self.key, self.ids[: 4 * n], self.start, self.prompt, self.total), Piece(self.row, self.key, self.ids[4 * n :], self.start + n, self.prompt, self.total)
+        return Piece(self.key, self.ids[: 4 * n], self.start, self.prompt, self.total), Piece(self.key, self.ids[4 * n :], self.start + n, self.prompt, self.total)
 
 
-@dataclass
 class Packer:
-    limits: Limits
-    buffer: list[Piece] = field(default_factory=list)
+    """Fills sequences from a buffer of pieces.
 
-    def add(self, piece: Piece) -> Iterator[list[Piece]]:
-        size = min(self.limits.tokens, self.limits.loss_tokens)
-        while piece.length >= size and piece.loss(size) <= self.limits.loss_tokens and size == self.limits.tokens:
-            whole, piece = piece.cut(size)
-            yield [whole]
-            if not piece.length:
-                return
-        while piece.length > size:  # loss-bearing tokens are the tighter limit
-            part, piece = piece.cut(size)
-            self.buffer.append(part)
+    `choose`: "dot" takes the piece whose demand, in units of the buffer's average piece and at length
+    one, has the largest dot product with the room left; "first" the first that fits (for comparison).
+    A cut takes the front or the back of a piece, whichever keeps the share of loss-bearing tokens.
+    """
+
+    def __init__(self, limits: Limits, choose: str = "dot"):
+        self.limits, self.choose = limits, choose
+        self.buffer: list[Piece] = []
+        self.demand = np.zeros((limits.buffer + 1, 3))  # tokens, segments, loss-bearing tokens
+
+    def _hold(self, piece: Piece) -> None:
+        if len(self.buffer) == len(self.demand):
+            self.demand = np.concatenate([self.demand, np.zeros_like(self.demand)])
+        self.demand[len(self.buffer)] = piece.length, 1, piece.loss()
         self.buffer.append(piece)
-        while len(self.buffer) >= self.limits.buffer:
-            yield self._bin()
+
+    def add(self, piece: Piece) -> Iterator[list[Piece]]:
+        while piece.length:
+            bare = max(0, piece.prompt - piece.start)
+            n = min(piece.length, self.limits.tokens, bare + self.limits.loss_tokens)
+            part, piece = piece.cut(n) if n < piece.length else (piece, Piece(piece.key, b"", 0, 0, 0))
+            if n == self.limits.tokens:
+                yield [part]
+                continue
+            self._hold(part)
+            if len(self.buffer) >= self.limits.buffer:
+                yield self._bin()
 
     def flush(self) -> Iterator[list[Piece]]:
         while self.buffer:
-            if sum(p.length for p in self.buffer) >= self.limits.tokens:
-                yield self._bin()
-                continue
-            left = sum(p.length for p in self.buffer)
-            yield self._bin(1 << (left.bit_length() - 1))
+            left = int(self.demand[: len(self.buffer), 0].sum())
+            yield self._bin(None if left >= self.limits.tokens else 1 << (left.bit_length() - 1))
 
     def _bin(self, tokens: int | None = None) -> list[Piece]:
         """The next sequence: `tokens` long, or a power of two where another limit comes first."""
-        lim, tokens = self.limits, tokens or self.limits.tokens
+        lim, tokens, n = self.limits, tokens or self.limits.tokens, len(self.buffer)
+        demand = self.demand[:n]
         cap = np.array([tokens, lim.segments, lim.loss_tokens], dtype=np.float64)
-        demand = np.array([(p.length, 1, p.loss()) for p in self.buffer], dtype=np.float64)
-        weights = demand.mean(axis=0) / cap
-        open_, left, chosen = np.ones(len(self.buffer), dtype=bool), cap.copy(), []
-        while True:
-            fits = open_ & (demand <= left).all(axis=1)
-            if not fits.any():
+        shape = demand / cap
+        shape /= np.maximum(shape.mean(axis=0), 1e-12)  # as multiples of what a piece takes on average
+        shape /= np.sqrt((shape * shape).sum(axis=1, keepdims=True))
+        length, loss, open_ = demand[:, 0], demand[:, 2], np.ones(n, dtype=bool)
+        left, chosen = cap.copy(), []
+        while left[1] >= 2 or left[1] >= 1 and self.choose != "dot":  # the last segment is for a cut
+            fits = open_ & (length <= left[0]) & (loss <= left[2])
+            if self.choose == "dot":
+                score = np.where(fits, shape @ (left / cap), -1.0)
+                i = int(score.argmax())
+            else:
+                i = int(fits.argmax())
+            if not fits[i]:
                 break
-            score = np.where(fits, (demand / cap * weights) @ (left / cap), -1.0)
-            i = int(score.argmax())
             chosen.append(self.buffer[i])
             open_[i] = False
             left -= demand[i]
-        rest = [p for p, o in zip(self.buffer, open_, strict=True) if o]
-        gap, room = int(left[0]), int(left[2])
-        if gap and rest and left[1] >= 1 and room:
-            i = max(range(len(rest)), key=lambda k: rest[k].length)
-            n = min(gap, rest[i].length - 1)
-            while n and rest[i].loss(n) > room:
-                n -= rest[i].loss(n) - room
-            if n > 0:
-                part, rest[i] = rest[i].cut(n)
-                chosen.append(part)
-                gap -= n
-        used = tokens - gap
-        if gap and used & (used - 1):  # shorter than asked: give back what is beyond a power of two
+        rest = list(compress(self.buffer, open_))
+        self.demand[: len(rest)] = demand[open_]
+        self.buffer = rest
+        while left[0] >= 1 and left[1] >= 1 and rest:  # cut pieces to fill the gap
+            length, loss = self.demand[: len(rest), 0], self.demand[: len(rest), 2]
+            mine = left[0] * loss.sum() / length.sum()  # what the gap would bear on average
+            front = np.minimum(np.minimum(left[0], length), length - loss + left[2])
+            back = np.minimum(np.minimum(left[0], length), np.where(loss <= left[2], length, left[2]))
+            takes = np.concatenate([front, back])
+            bears = np.concatenate([np.maximum(0, front - length + loss), np.minimum(back, loss)])
+            i = int(np.lexsort((np.abs(bears - mine), -takes))[0])
+            if (n := int(takes[i])) < 1:
+                break
+            i, last = i % len(rest), i >= len(rest)
+            if n < rest[i].length:
+                part, rest[i] = rest[i].cut(rest[i].length - n)[::-1] if last else rest[i].cut(n)
+                self.demand[i] = rest[i].length, 1, rest[i].loss()
+            else:
+                part = rest.pop(i)
+                self.demand[i : len(rest)] = self.demand[i + 1 : len(rest) + 1]
+            chosen.append(part)
+            left -= part.length, 1, part.loss()
+        used = tokens - int(left[0])
+        if used & (used - 1) and used < lim.tokens:  # shorter than asked: give back what is beyond a power of two
             beyond = used - (1 << (used.bit_length() - 1))
             while beyond:
                 last = chosen.pop()
                 if last.length <= beyond:
                     beyond -= last.length
-                    rest.append(last)
+                    self._hold(last)
                 else:
                     keep, back = last.cut(last.length - beyond)
                     chosen.append(keep)
-                    rest.append(back)
+                    self._hold(back)
                     beyond = 0
-        self.buffer = rest
         return chosen
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, limits: Limits | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, prompt_share: float = 0.0, limits: Limits | None = None, with_ids: bool = False) -> DataFrame:
     """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
-    `with_ids` adds the piece's token ids. Every token of every row lies in exactly one piece.
+    The prompt is the text of `prompt_col`; without one, it's `prompt_share` of the text's own ids,
+    rounded down, from the first on. `with_ids` adds the piece's token ids. Every token of every row
+    lies in exactly one piece.
     """
     limits = limits or Limits()
     key = docs.schema[id_col].dataType.simpleString()
@@ -288,39 +362,38 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         end = np.array([limits.end_id], dtype="<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
         kind = None
+        names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", *(["ids"] if with_ids else [])]
+        out: list[list] = []
 
-        def rows(bins) -> pa.RecordBatch | None:
+        def rows() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            out.clear()
+            arrays = [pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:8])]
+            if with_ids:
+                arrays.append(pa.array([np.frombuffer(x, "<i4") for x in columns[8]], pa.list_(pa.int32())))
+            return pa.RecordBatch.from_arrays(arrays, names)
+
+        def take(bins) -> None:
             nonlocal sequence
-            out = {k: [] for k in ("key", "start", "length", "crc", "total", "sequence", "offset", "loss", "ids")}
             for pieces in bins:
                 at = 0
                 for p in pieces:
-                    for name, v in zip(out, (p.key, p.start, p.length, zlib.crc32(p.ids), p.total, sequence, at, p.loss(), np.frombuffer(p.ids, "<i4") if with_ids else None), strict=True):
-                        out[name].append(v)
+                    row = (p.key, p.start, p.length, zlib.crc32(p.ids), p.total, sequence, at, p.loss())
+                    out.append((*row, p.ids) if with_ids else row)
                     at += p.length
                 sequence += 1
-            if not out["key"]:
-                return None
-            arrays = [pa.array(out["key"], kind), *(pa.array(out[k], pa.int64()) for k in ("start", "length", "crc", "total", "sequence", "offset", "loss"))]
-            names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
-            if with_ids:
-                arrays.append(pa.array(out["ids"], pa.list_(pa.int32())))
-                names.append("ids")
-            return pa.RecordBatch.from_arrays(arrays, names)
 
-        n = 0
         for batch in batches:
             kind = batch.column(0).type
-            heads, tails = (enc.ids_of(c.cast(pa.large_binary()).to_pylist()) for c in batch.columns[1:])
-            bins = []
-            for k, head, tail in zip(batch.column(0).to_pylist(), heads, tails, strict=True):
-                ids = head + tail + end
-                bins += packer.add(Piece(n, k, ids, 0, len(head) // 4, len(ids) // 4))
-                n += 1
-            if (out := rows(bins)) is not None:
-                yield out
-        if (out := rows(packer.flush())) is not None:
-            yield out
-
-    prompt = F.col(prompt_col).cast("string") if prompt_col else F.lit(None).cast("string")
-    return docs.select(F.col(id_col), prompt.alias("_prompt"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+            heads = (x.tobytes() for x in enc.encode(batch.column(2))) if prompt_col else repeat(b"")
+            for k, head, tail in zip(batch.column(0).to_pylist(), heads, enc.encode(batch.column(1)), strict=bool(prompt_col)):
+                ids = head + tail.tobytes() + end
+                take(packer.add(Piece(k, ids, 0, len(head) // 4 if prompt_col else int(len(ids) // 4 * prompt_share), len(ids) // 4)))
+            if out:
+                yield rows()
+        take(packer.flush())
+        if out:
+            yield rows()
+
+    columns = [F.col(id_col), F.col(text_col).cast("string").alias("_text"), *([F.col(prompt_col).cast("string").alias("_prompt")] if prompt_col else [])]
+    return docs.select(*columns).mapInArrow(run, schema)

@@ -61,8 +61,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), d9.predict(model, F.col("text")).alias("r")).select("doc_id", "held_out", "r.lang_pred", "r.score", "r.rejected")
 
 
+#: Of a sequence of operator 4; the first third of a document's ids is its prompt and bears no loss.
+PACKED = d4.Limits(tokens=2048, segments=5, loss_tokens=1536)
+PROMPT_SHARE = 1 / 3
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d4.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+    return d4.pack(table(spark, sf_dir, "documents"), tokenizer_file(), prompt_share=PROMPT_SHARE, limits=PACKED)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,30 @@ def test_near_duplicates_take_odd_rows(spark):
     assert d2.linked_classes(df.limit(0)).count() == 0
 
 
+def test_each_pair_is_verified_once_and_lone_ngrams_give_no_postings(spark):
+    """Postings shuffled are at most twice those that exact counts would leave; no pair comes in both orders."""
+    docs = texts_of(spark, "/root/testdata/sf0.01")
+    nodes, postings = d2.index(docs, "doc_id", "text", 3, 90, 100)
+    sets = [set(d2.gram_set(t.encode(), 3).tolist()) for t in {r["text"] for r in docs.collect() if r["text"]}]
+    held = {}
+    for x in sets:
+        for g in x:
+            held[g] = held.get(g, 0) + 1
+    exact = sum(held[g] > 1 for x in sets for g in sorted(x, key=lambda g: (held[g], g))[: len(x) - -(-90 * len(x) // 100) + 1])
+    assert exact <= postings.count() <= 2 * exact
+    shared, hot, pairs = d2.star_pairs(postings, 90, 100)
+    rows = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert rows and len({tuple(sorted(p)) for p in rows}) == len(rows)
+    label = d2.components(d2.verified(pairs, nodes, docs, "doc_id", "text", 3, 90, 100))
+    more = {tuple(sorted((r["a"], r["b"]))) for r in d2.residual_pairs(shared, hot, label, pairs, 90, 100).collect()}
+    assert not more & {tuple(sorted(p)) for p in rows}
+
+
+def test_packed_numbers():
+    for x in ([], [0], [1, 2**63], list(range(0, 70000, 7))):
+        assert d2.unpacked(d2.packed(np.array(x, np.uint64))).tolist() == x and d2.climbed(d2.steps(np.array(x, np.uint64))).tolist() == x
+
+
 def test_components_of_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101)], "a long, b long")
     got = {r["node"]: r["label"] for r in d2.components(edges).collect()}
@@ -262,6 +286,24 @@ def test_limits_hold_for_instruction_data(spark):
     assert all(total[r["doc_id"]] == r["doc_tokens"] for r in rows) and len(total) == 301
 
 
+def test_the_querys_limits_bind_and_the_dot_product_beats_first_fit(spark):
+    """Segments and loss-bearing tokens run out in some sequences; choosing by dot product needs fewer."""
+    enc = d4.encoder(Q.tokenizer_file())
+    ids = enc.ids_of([t.encode() if t else t for t in (r["text"] for r in texts_of(spark, "/root/testdata/sf0.01").orderBy("doc_id").collect())])
+    made = {}
+    for choose in ("dot", "first"):
+        p, bins = d4.Packer(Q.PACKED, choose), []
+        for i, x in enumerate(ids):
+            bins += p.add(d4.Piece(i, x + b"\1\0\0\0", 0, int((len(x) // 4 + 1) * Q.PROMPT_SHARE), len(x) // 4 + 1))
+        bins += p.flush()
+        made[choose] = bins
+        lengths = [sum(x.length for x in b) for b in bins]
+        assert sum(lengths) == sum(len(x) // 4 + 1 for x in ids) and all(n == 2048 or n & (n - 1) == 0 for n in lengths)
+        assert all(len(b) <= Q.PACKED.segments and sum(x.loss() for x in b) <= Q.PACKED.loss_tokens for b in bins)
+    assert any(len(b) == Q.PACKED.segments for b in made["dot"]) and any(sum(x.loss() for x in b) == Q.PACKED.loss_tokens for b in made["dot"])
+    assert len(made["dot"]) < len(made["first"])
+
+
 def test_packing_takes_odd_rows(spark):
     df = frame(spark, ODD)
     assert d4.pack(df, Q.tokenizer_file()).agg(F.sum("length")).first()[0] == sum(len(d4.encoder(Q.tokenizer_file())._whole((t or "").encode())) // 4 + 1 for _, t, *_ in ODD)
