@@ -3,24 +3,34 @@
 A page becomes a tree of block elements (siblings of equal tag and class are one repeated node) and
 runs of text, each in a node. Pages of a host are aligned by simple tree matching: the largest
 order-preserving match of children, recursively. The aligned tree is the host's wrapper; it counts
-the pages that have a node and the texts found in it. A text that most of a host's pages have in
-the same node is template; what varies is content, unless it stands in a navigation, header, footer,
-sidebar, notice, advert, form, comment or hidden element, or outside the article where there is one.
-Inside an article a class, id or role that names such an element is a prior only, for nodes that too
-few pages have: elsewhere the wrapper decides. The ids of its headings and sections name nothing.
-
-All pages take part. Each task merges its own pages into a wrapper for each host first, and those
-meet in two steps, so a host that has a third of all pages is merged from a few small rows. A
-wrapper's size is bounded by the host's layouts: repeated siblings are one node, and a node counts its
-texts by Misra-Gries: 64 of them, or as many more as it takes to miss no count by over a quarter of the
-node's pages. These counts only nominate texts (by count plus error); a second pass aligns all pages
-with the wrappers and counts the nominated texts exactly. While all wrappers together are below `broadcast_bytes` they go to the tasks at once; beyond that they are joined to
-the pages by host, where adaptive execution splits a hot host.
-
-Defined results: null or empty html gives an empty text; a page without an article gives all varying
-text outside boilerplate; broken markup is closed as browsers do for paragraphs, items and cells; a
-host with fewer than `least_pages` pages has no template texts; repeated rows each get a result; a
-null url is a host of its own. Extra columns pass through.
+the pages that have a node, the texts found in it, their characters and those of them in links.
+
+Constant texts are template: those that most of a host's pages have in the same node. Varying slots
+are content, unless their size says otherwise: from the root down, a child that holds under a tenth
+of its parent's varying text outside links (menus, adverts, footers) goes, but for headings; what is
+left is followed down while one child, found once a page, holds nearly all of it and has its text in
+blocks of its own. Below that nothing goes but template. So neither the tag of an article nor a class
+name is needed; `hints=False` leaves all such names out.
+
+With hints, navigation, footers, sidebars, forms and hidden elements go by tag, and outside an article
+elements that a class, id or role names as boilerplate. Hosts with fewer than `least_pages` pages have
+no templates; there the article, where a page has one, is the content, without elements in it whose
+class is exactly such a name. Elsewhere a name drops nothing in an article: the wrapper decides.
+
+All pages take part. Each task merges its pages into wrappers, of which it holds at most HELD nodes
+at once, and those meet in two steps, so a host that has a third of all pages is merged from a few
+small rows. A wrapper's size is bounded by the host's layouts: repeated siblings are one node, what is
+nested deeper than DEPTH blocks counts as its ancestor there, and a node counts its texts by
+Misra-Gries: 64 of them, or as many more as it takes to miss no count by over a quarter of the node's
+pages. These counts only nominate texts (by count plus error); a second pass aligns all pages with the
+wrappers and counts the nominated texts exactly. While all wrappers together are below
+`broadcast_bytes` they go to the tasks at once; beyond that they are joined to the pages by host, where
+adaptive execution splits a hot host.
+
+Defined results: null or empty html gives an empty text; broken markup is closed as browsers do for
+paragraphs, items and cells; blocks may be nested to any depth; repeated rows each get a result; a
+null url is a host of its own. Extra columns pass through, and one of the name asked for as output is
+replaced.
 """
 
 from __future__ import annotations
@@ -58,6 +68,8 @@ _BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?<!with[_-])(?<!has[_-])(?<!no[_-])(?:ads?|adverts?|advert[a-z]*|adsense|sponsor(?:ed|s)?|promos?|promotion|banner|menus?|nav|navbar|navigation|breadcrumbs?|sidebar|side|widgets?|footer|foot|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|comments?|commentlist|replies|reply|respond|disqus|discussion|form|skip|pagination|pager|copyright|legal|disclaimer|toolbar|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
+#: Classes, ids and roles that, as they stand, name boilerplate within an article of a host too small to align.
+_INSIDE = frozenset("ad ads advert advertisement sponsored promo banner share sharing social newsletter subscribe comments comment-list related breadcrumb breadcrumbs pagination nav nav-links navigation menu sidebar footer cookie-notice popup modal legal".split())
 #: Boilerplate outside an article; inside, it's the article's own head.
 _HEAD = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 #: Elements whose ids, inside an article, are those of its subjects.
@@ -65,64 +77,90 @@ _SUBJECTS = frozenset("section h1 h2 h3 h4 h5 h6".split())
 #: Start tags that close an open element of these names first.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table article section div body td th form aside nav header footer main blockquote".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXTS = 64
+#: Nested blocks that are told apart.
+DEPTH = 64
+#: Nodes that a task holds before it passes its wrappers on.
+HELD = 200_000
+#: A slot with less than this share of what its parent's slots hold is no content.
+LEAST_SLOT = 0.1
 #: Sixteenths of a node's pages that counts may miss after each step: pages, task, tasks, host.
 ERRORS = (1, 2, 3, 4)
 
 
 class Page:
-    """A page's nodes [(parent, tag, class)], flags of each, and runs [(node, text)] in page order.
+    """A page's nodes [(parent, key)], flags and sizes of each, and runs [(node, text)] in page order.
 
-    `dropped` nodes are boilerplate; `named` ones, inside an article, are so by name only.
+    `dropped` nodes are boilerplate; `named` ones, inside an article, are so by name only. `sizes` are
+    [characters, those in links, elements] of a node's own texts. Without `hints` no name of a tag or
+    class counts but that of the head.
     """
 
-    __slots__ = ("nodes", "dropped", "named", "inside", "runs")
+    __slots__ = ("nodes", "dropped", "named", "inside", "runs", "sizes")
 
-    def __init__(self, source: str | None):
+    def __init__(self, source: str | None, hints: bool = True):
         self.nodes: list[tuple[int, str]] = [(-1, "#root")]
-        self.dropped, self.named, self.inside, self.runs = [False], [False], [False], []
+        self.dropped, self.named, self.inside, self.runs, self.sizes = [False], [False], [False], [], [[0, 0, 1]]
         if source:
-            self._read(source)
+            self._read(source, hints)
 
-    def _read(self, source: str) -> None:
+    def _read(self, source: str, hints: bool) -> None:
         children: dict[tuple[int, str], int] = {}
-        nodes, dropped, named, inside, runs = self.nodes, self.dropped, self.named, self.inside, self.runs
-        article = [False]
+        nodes, dropped, named, inside, runs, sizes = self.nodes, self.dropped, self.named, self.inside, self.runs, self.sizes
+        article, depth = [False], [0]
         stack: list[tuple[str, int]] = [("#root", 0)]
+        open_: dict[str, int] = {}
         buffer: list[str] = []
+        linked = links = 0
 
         def flush():
+            nonlocal linked
             if buffer:
                 if text := " ".join(entities.unescape("".join(buffer)).split()):
-                    runs.append((stack[-1][1], text))
+                    node = stack[-1][1]
+                    runs.append((node, text))
+                    sizes[node][0] += len(text)
+                    sizes[node][1] += min(linked, len(text))
                 buffer.clear()
+            linked = 0
+
+        def leave(i):
+            for name, _ in stack[i:]:
+                open_[name] -= 1
+            del stack[i:]
 
         def close(names, scope):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in names:
                     flush()
-                    del stack[i:]
-                    return True
+                    leave(i)
+                    return
                 if stack[i][0] in scope:
-                    return False
-            return False
+                    return
+
+        def say(text):
+            nonlocal linked
+            buffer.append(text)
+            if links:
+                linked += len(text)
 
         at = 0
         for m in _TOKEN.finditer(source):
             if m.start() > at:
-                buffer.append(source[at : m.start()])
+                say(source[at : m.start()])
             at = m.end()
             name = m[3] or m[6]
             if name is None:
                 continue
             name, attributes = name.lower(), m[4] if m[3] else m[7]
+            if name == "a":
+                links = int(not (m[2] or m[5]))
             if m[2] or m[5]:
-                if name in _BLOCKS or any(s[0] == name for s in stack):
+                if name in _BLOCKS or open_.get(name):
                     flush()
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == name:
-                            del stack[i:]
-                            break
+                    if open_.get(name):
+                        leave(max(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name) if stack[-1][0] != name else len(stack) - 1)
                 continue
             if name in _VOID:
                 if name == "hr":
@@ -130,6 +168,7 @@ class Page:
                 else:
                     buffer.append(" " if name == "br" else "")
                 continue
+            parent = stack[-1][1]
             token, hide, prior = "", False, False
             if attributes and not attributes.isspace():
                 for key, value in _ATTRIBUTE.findall(attributes):
@@ -138,14 +177,15 @@ class Page:
                         hide = True
                     elif key == "style":
                         hide = hide or "display:none" in value.replace(" ", "").lower()
-                    elif value:
-                        token = token or value.split()[0] if value.split() else token
-                        if not (key == "id" and name in _SUBJECTS and article[stack[-1][1]]):
-                            prior = prior or bool(_BOILERPLATE.search(value)) or not inside[stack[-1][1]] and bool(_HEAD.search(value))
-            parent = stack[-1][1]
-            if not article[parent]:
-                hide, prior = hide or prior, False
-            hide = hide or name in _BOILERPLATE_TAGS or name == "header" and not inside[parent]
+                    elif words := value.split():
+                        token = token or words[0]
+                        if not hints:
+                            continue
+                        if not article[parent]:
+                            hide = hide or bool(_BOILERPLATE.search(value)) or not inside[parent] and bool(_HEAD.search(value))
+                        elif not (key == "id" and name in _SUBJECTS):
+                            prior = prior or not _INSIDE.isdisjoint(value.lower().split())
+            hide = hide or name == "head" or hints and (name in _BOILERPLATE_TAGS or name == "header" and not inside[parent])
             if name not in _BLOCKS and not hide and not prior:
                 continue
             flush()
@@ -155,33 +195,43 @@ class Page:
                 close(_CLOSES[name], ("ul", "ol", "dl", "table", "select"))
             parent = stack[-1][1]
             key = name + "." + re.sub(r"\d+", "0", token) if token else name
-            own = children.get((parent, key))
+            gone = dropped[parent] or (hide and name not in ("body", "html", "article", "main")) or (hide and name in ("article", "main") and inside[parent])
+            if depth[parent] >= DEPTH:
+                key = "#deep" if gone and not dropped[parent] else None
+            own = parent if key is None else children.get((parent, key))
             if own is None:
                 own = children[parent, key] = len(nodes)
                 nodes.append((parent, key))
-                dropped.append(dropped[parent] or (hide and name not in ("body", "html", "article", "main")) or (hide and name in ("article", "main") and inside[parent]))
+                dropped.append(gone)
+                depth.append(depth[parent] + 1)
+                sizes.append([0, 0, 0])
                 named.append(named[parent] or prior)
-                article.append(article[parent] or (name == "article" and not dropped[-1]))
-                inside.append(inside[parent] or (name in ("article", "main") and not dropped[-1]))
+                article.append(article[parent] or (hints and name == "article" and not gone))
+                inside.append(inside[parent] or (hints and name in ("article", "main") and not gone))
+            if key is not None:
+                sizes[own][2] += 1
             stack.append((name, own))
+            open_[name] = open_.get(name, 0) + 1
         if at < len(source):
-            buffer.append(source[at:])
+            say(source[at:])
         flush()
 
 
 def text_hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode(errors="surrogatepass"))
+    """48 bits of hash and the text's length (at most 65535)."""
+    return xxhash.xxh3_64_intdigest(text.encode(errors="surrogatepass")) >> 16 << 16 | min(len(text), 0xFFFF)
 
 
 class Wrapper:
-    """Aligned pages of a host: a tree of nodes [key, pages, {text hash: pages}, children, most that a count misses]."""
+    """Aligned pages of a host: a tree of nodes [key, pages, {text hash: pages}, children, most that a
+    count misses, characters, those in links, elements]."""
 
     def __init__(self, root=None):
-        self.root = root or ["#root", 0, {}, [], 0]
+        self.root = root or ["#root", 0, {}, [], 0, 0, 0, 0]
 
     @staticmethod
-    def tree(nodes: tuple, pages: int, texts: list[dict[int, int]], errors: list[int] | None = None) -> list:
-        made = [[key, pages, texts[i], [], errors[i] if errors else 0] for i, (_, key) in enumerate(nodes)]
+    def tree(nodes: tuple, pages: int, texts: list[dict[int, int]], errors: list[int] | None = None, sizes: list | None = None) -> list:
+        made = [[key, pages, texts[i], [], errors[i] if errors else 0, *(sizes[i] if sizes else (0, 0, 0))] for i, (_, key) in enumerate(nodes)]
         for i, (parent, _) in enumerate(nodes):
             if parent >= 0:
                 made[parent][3].append(made[i])
@@ -217,6 +267,8 @@ class Wrapper:
             a[1] += b[1]
             a[2], cut = lessened(a[2], b[2], a[1] * error // 16 - a[4] - b[4])
             a[4] += b[4] + cut
+            for k in (5, 6, 7):
+                a[k] += b[k]
             pairs = self.match(a, b, memo)[1] if a[3] else []
             partner = {j: i for i, j in pairs}
             merged, done = [], 0
@@ -249,13 +301,48 @@ class Wrapper:
         walk(self.root, page, 0)
         return out
 
-    def constants(self, nodes: tuple, share: float, least_pages: int) -> list[frozenset[int] | None]:
-        """For each node of a page's tree, the texts that are template there; null where too few pages tell."""
-        out: list[frozenset[int] | None] = [None] * len(nodes)
+    def slots(self, share: float, least_pages: int) -> set[int]:
+        """Ids of the nodes that hold no content, by the size of their varying text."""
+        weight: dict[int, int] = {}
+        for node in reversed(list(self.all_nodes())):
+            fixed = sum(v * (k & 0xFFFF) for k, v in node[2].items() if v >= share * node[1]) if node[1] >= least_pages else 0
+            weight[id(node)] = max(0, node[5] - node[6] - fixed) + sum(weight[id(c)] for c in node[3])
+        out: set[int] = set()
+        node = self.root
+        while node[3] and weight[id(node)]:
+            best = max(node[3], key=lambda c: weight[id(c)])
+            whole, alone = weight[id(node)], best[7] <= 1.5 * max(1, best[1])
+            inner = sum(weight[id(c)] for c in best[3])
+            follow = weight[id(best)] >= (1 - LEAST_SLOT) * whole and alone and 2 * inner >= weight[id(best)]
+            if not follow and node[0].partition(".")[0] not in ("#root", "html", "body"):
+                break
+            out.update(id(c) for c in node[3] if c is not best and weight[id(c)] < LEAST_SLOT * whole and (follow or self._linked(c)) and c[0].partition(".")[0] not in _HEADINGS)
+            if not follow:
+                break
+            node = best
+        return out
+
+    @staticmethod
+    def _linked(node: list) -> bool:
+        left, chars, links = [node], 0, 0
+        while left:
+            n = left.pop()
+            chars, links = chars + n[5], links + n[6]
+            left += n[3]
+        return 2 * links > chars
+
+    def decide(self, nodes: tuple, share: float, least_pages: int, slots: set[int] | None) -> list[frozenset[int] | bool | None]:
+        """For each node of a page's tree: the texts that are template there, null where too few pages
+        tell, or False where nothing is content."""
+        out: list[frozenset[int] | bool | None] = [None] * len(nodes)
+        gone = [False] * len(nodes)
         for a, i in self.aligned(nodes):
+            gone[i] = slots is not None and id(a) in slots
             if a[1] >= least_pages:
                 out[i] = frozenset(k for k, v in a[2].items() if v >= share * a[1])
-        return out
+        for i, (parent, _) in enumerate(nodes):  # parents come first
+            gone[i] = gone[i] or parent >= 0 and gone[parent]
+        return [False if g else x for g, x in zip(gone, out, strict=True)]
 
     def all_nodes(self) -> Iterator[list]:
         """The nodes, parents first; a node's place is its number."""
@@ -283,7 +370,7 @@ class Wrapper:
     @classmethod
     def load(cls, raw: bytes) -> Wrapper:
         def fix(node):
-            return [node[0], node[1], {int(k): v for k, v in node[2].items()}, [fix(c) for c in node[3]], node[4]]
+            return [node[0], node[1], {int(k): v for k, v in node[2].items()}, [fix(c) for c in node[3]], *node[4:]]
 
         return cls(fix(json.loads(zlib.decompress(raw))))
 
@@ -304,14 +391,19 @@ class Gathering:
 
     def __init__(self):
         self.found: dict[object, dict[tuple, list]] = {}
+        self.held = 0
 
     def add(self, host, page: Page) -> None:
         by_tree = self.found.setdefault(host, {})
         nodes = tuple(page.nodes)
         entry = by_tree.get(nodes)
         if entry is None:
-            entry = by_tree[nodes] = [0, [{} for _ in nodes], [0] * len(nodes)]
+            entry = by_tree[nodes] = [0, [{} for _ in nodes], [0] * len(nodes), [[0, 0, 0] for _ in nodes]]
+            self.held += len(nodes)
         entry[0] += 1
+        for node, mine in enumerate(page.sizes):
+            if not page.dropped[node]:
+                entry[3][node] = [x + y for x, y in zip(entry[3][node], mine, strict=True)]
         for node, h in {(node, text_hash(text)) for node, text in page.runs if not page.dropped[node]}:
             counts = entry[1][node]
             counts[h] = counts.get(h, 0) + 1
@@ -327,31 +419,39 @@ class Gathering:
             yield host, w
 
 
-def main_text(page: Page, constants: list[frozenset[int]] | None) -> str:
-    article = any(page.inside)
-    return "\n".join(
-        text
-        for node, text in page.runs
-        if not page.dropped[node]
-        and (page.inside[node] or not article)
-        and (not page.named[node] or constants and constants[node] is not None)
-        and not (constants and constants[node] and text_hash(text) in constants[node])
-    )
+def main_text(page: Page, decided: list[frozenset[int] | bool | None] | None, sure: bool = False) -> str:
+    """The page's text. `sure`: the host's pages tell where content is; else an article does, if there is one."""
+    article = not sure and any(page.inside)
+    out = []
+    for node, text in page.runs:
+        known = decided[node] if decided else None
+        if page.dropped[node] or known is False or article and not page.inside[node] or not sure and page.named[node]:
+            continue
+        if not known or text_hash(text) not in known:
+            out.append(text)
+    return "\n".join(out)
 
 
-def induce(pages: DataFrame, host_col: str = "_host", html_col: str = "html", share: float = 0.75, least_pages: int = 8) -> DataFrame:
+def induce(pages: DataFrame, host_col: str = "_host", html_col: str = "html", share: float = 0.75, least_pages: int = 8, hints: bool = True) -> DataFrame:
     """(host, wrapper) for every host, from all its pages; a wrapper's texts are nominated, not yet counted."""
     schema = "host string, part int, wrapper binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = Gathering()
+        gathered, part = Gathering(), TaskContext.get().partitionId() >> 6
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            made = [(h, part, w.dump()) for h, w in gathered.wrappers()]
+            if made:
+                hosts, parts, wrappers = zip(*made, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(parts, pa.int32()), pa.array(wrappers, pa.binary())], ["host", "part", "wrapper"])
+
         for batch in batches:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                gathered.add(host, Page(source))
-        part = TaskContext.get().partitionId() >> 6
-        rows = [(h, w.dump()) for h, w in gathered.wrappers()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([part] * len(rows), pa.int32()), pa.array([w for _, w in rows], pa.binary())], ["host", "part", "wrapper"])
+                gathered.add(host, Page(source, hints))
+                if gathered.held > HELD:
+                    yield from rows()
+                    gathered = Gathering()
+        yield from rows()
 
     def added(error: int, last: bool):
         def add(group: pa.Table) -> pa.Table:
@@ -378,7 +478,7 @@ def with_wrappers(hosted: DataFrame, wrappers: DataFrame) -> DataFrame:
     return hosted.join(wrappers.withColumnRenamed("host", "_host").withColumnRenamed("wrapper", "_wrapper"), "_host", "left")
 
 
-def recounted(hosted: DataFrame, wrappers: DataFrame, html_col: str = "html", broadcast_bytes: int = 16 << 20) -> DataFrame:
+def recounted(hosted: DataFrame, wrappers: DataFrame, html_col: str = "html", broadcast_bytes: int = 16 << 20, hints: bool = True) -> DataFrame:
     """`wrappers` with the nominated texts counted over all pages of `hosted`."""
     small = few(wrappers, broadcast_bytes)
     names = ["host", "node", "text", "n"]
@@ -404,7 +504,7 @@ def recounted(hosted: DataFrame, wrappers: DataFrame, html_col: str = "html", br
                 w, nominated = loaded[raw]
                 if not nominated:
                     continue
-                page = Page(source)
+                page = Page(source, hints)
                 nodes = tuple(page.nodes)
                 if (at := places.get((raw, nodes))) is None:
                     if len(places) > 20_000:
@@ -437,30 +537,34 @@ def recounted(hosted: DataFrame, wrappers: DataFrame, html_col: str = "html", br
     return wrappers.join(by_host, "host", "left").select("host", settled("wrapper", "counts").alias("wrapper"))
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "text", share: float = 0.75, least_pages: int = 8, broadcast_bytes: int = 16 << 20) -> DataFrame:
-    """`pages` with the main text of each in `out_col`."""
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "text", share: float = 0.75, least_pages: int = 8, broadcast_bytes: int = 16 << 20, hints: bool = True) -> DataFrame:
+    """`pages` with the main text of each in `out_col`; without `hints`, hosts of any size go by their slots."""
     ensure_checkpoint_dir(pages.sparkSession)
-    hosted = pages.withColumn("_host", F.coalesce(host_of(F.col(url_col)), F.lit("")))
-    wrappers = induce(hosted, "_host", html_col, share, least_pages).checkpoint()
-    wrappers = recounted(hosted, wrappers, html_col, broadcast_bytes).checkpoint()
+    columns = [F.col("_row").getField(c).alias(c) for c in pages.columns if c != out_col]
+    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns])  # apart from the columns made here
+    hosted = pages.select(row.alias("_row"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("_host"), F.col(html_col).alias("_html"))
+    wrappers = induce(hosted, "_host", "_html", share, least_pages, hints).checkpoint()
+    wrappers = recounted(hosted, wrappers, "_html", broadcast_bytes, hints).checkpoint()
     small = few(wrappers, broadcast_bytes)
-    loaded: dict[bytes, Wrapper] = {}
+    loaded: dict[bytes, tuple[Wrapper, set[int] | None]] = {}
     decided: dict[tuple, list] = {}
 
     def text_of(source, raw) -> str:
-        page = Page(source)
+        page = Page(source, hints)
         if raw is None:
             return main_text(page, None)
+        if raw not in loaded:
+            if len(loaded) > 2000:
+                loaded.clear(), decided.clear()
+            w = Wrapper.load(raw)
+            loaded[raw] = w, w.slots(share, least_pages) if w.root[1] >= least_pages or not hints else None
+        w, slots = loaded[raw]
         nodes = tuple(page.nodes)
-        if (constants := decided.get((raw, nodes))) is None:
-            if raw not in loaded:
-                if len(loaded) > 2000:
-                    loaded.clear(), decided.clear()
-                loaded[raw] = Wrapper.load(raw)
+        if (decision := decided.get((raw, nodes))) is None:
             if len(decided) > 20_000:
                 decided.clear()
-            decided[raw, nodes] = constants = loaded[raw].constants(nodes, share, least_pages)
-        return main_text(page, constants)
+            decided[raw, nodes] = decision = w.decide(nodes, share, least_pages, slots)
+        return main_text(page, decision, slots is not None)
 
     if small is not None:
 
@@ -468,10 +572,10 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_
         def by_host(hosts: pa.Array, sources: pa.Array) -> pa.Array:
             return pa.array([text_of(s, small.get(h)) for h, s in zip(hosts.to_pylist(), sources.to_pylist(), strict=True)], pa.string())
 
-        return hosted.withColumn(out_col, by_host(F.col("_host"), F.col(html_col))).drop("_host")
+        return hosted.select(*columns, by_host(F.col("_host"), F.col("_html")).alias(out_col))
 
     @F.arrow_udf("string")
     def by_wrapper(raws: pa.Array, sources: pa.Array) -> pa.Array:
         return pa.array([text_of(s, w) for w, s in zip(raws.to_pylist(), sources.to_pylist(), strict=True)], pa.string())
 
-    return with_wrappers(hosted, wrappers).withColumn(out_col, by_wrapper(F.col("_wrapper"), F.col(html_col))).drop("_host", "_wrapper")
+    return with_wrappers(hosted, wrappers).select(*columns, by_wrapper(F.col("_wrapper"), F.col("_html")).alias(out_col))

@@ -212,7 +212,7 @@ def test_url_models_count_all_urls(spark):
     urls = [f"http://www.{word(i)}.example.com/{'q' if i == 7 else 'en'}/{word(i * 7)}" for i in range(300)] + [f"http://casino{word(i)}.example.com/win/{word(i * 3)}" for i in range(200)]
     df = spark.createDataFrame(list(enumerate([*urls, None, "no url"])), "page_id long, url string").repartition(3)
     m, joined = d3.fit(df, sample_rows=20), d3.fit(df, sample_rows=20, max_counts=0)
-    kinds = lambda n: [(u[7:].encode(), "casino" in u) for u in urls[:n]]
+    kinds = lambda n: [(u.encode(), "casino" in u) for u in urls[:n]]
     for model, kind in ((m.accepted, False), (m.rejected, True)):
         assert model.table == d3.MarkovModel([t for t, r in kinds(500) if r == kind]).table
     assert joined.counts is not None and joined.limit == pytest.approx(m.limit)
@@ -224,6 +224,30 @@ def test_url_models_count_all_urls(spark):
     assert m.accepted.log_likelihood(kinds(1)[0][0], own=True) == pytest.approx(left_out.log_likelihood(kinds(1)[0][0]))
 
 
+def test_hosts_without_a_seed_token_are_blocked(spark):
+    """With seed tokens left out one by one, and for hosts that hold none, the models still find rejected hosts."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    made_up = lambda h: re.search(r"-", h)
+    for seeds in (d3.SEED_TOKENS, tuple(x for x in d3.SEED_TOKENS if x != "pills")):
+        rows = [r for r in d3.filter_urls(pages, d3.fit(pages, seeds=seeds)).collect() if r["rule"] is None and r["host"]]
+        unseeded = [r for r in rows if not any(x in r["host"] for x in seeds)]
+        bad, good = [r for r in unseeded if made_up(r["host"])], [r for r in unseeded if not made_up(r["host"])]
+        assert len({r["host"] for r in bad}) >= 2 + (seeds != d3.SEED_TOKENS)
+        assert np.mean([r["verdict"] == "block" for r in bad]) >= 0.9 and np.mean([r["verdict"] == "allow" for r in good]) >= 0.99
+
+
+def test_urls_are_judged_whole(spark):
+    """Query and fragment count, a null url is the empty string, and one without a scheme is judged, too."""
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    urls = [f"http://{word(i)}.example.com/{word(i * 7)}" for i in range(300)] + [f"http://casino{word(i)}.example.com/{word(i * 3)}?win=bonus&xyz=jackpot" for i in range(200)]
+    odd = ["http://qqq.example.com/aa?win=bonus&xyz=jackpot", "http://qqq.example.com/aa", "win=bonus&xyz=jackpot?win=bonus&xyz=jackpot", None]
+    df = spark.createDataFrame(list(enumerate(urls + odd)), "page_id long, url string").withColumn("_verdict", F.lit("mine"))
+    m = d3.fit(df)
+    got = {r["page_id"]: r for r in d3.filter_urls(df, m).collect()}
+    assert got[500]["ratio"] > got[501]["ratio"] + 0.5 and got[502]["verdict"] == "block" and got[501]["verdict"] == "allow" and got[0]["_verdict"] == "mine"
+    assert got[503]["ratio"] == pytest.approx(m.ratio(b"")) and got[503]["verdict"] == ("block" if m.ratio(b"") > m.limit else "allow")
+
+
 def test_url_query_covers_all_pages(spark):
     got = Q.OPS["op3_url_filter"](spark, "/root/testdata/sf0.01").collect()
     assert len(got) == 250
@@ -361,6 +385,28 @@ def test_names_inside_an_article_are_a_prior(spark):
     assert got[4] == "text 4\nhead 4\nsaid 4\nlaw 4" and got[99] == "text 99\nhead 99\nsaid 99"
 
 
+def test_slots_tell_content_without_any_name(spark):
+    """Without the tags of articles, menus and footers and without class names, the wrappers give the same texts."""
+    sf = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("_host", F.lit("mine"))
+    docs = {"\n".join(" ".join(x.split()) for x in r["text"].split("\n") if x.strip()) for r in texts_of(spark, sf).collect() if r["text"]}
+    bare, named = ({r["page_id"]: r for r in d5.extract(pages, hints=h).collect()} for h in (False, True))
+    assert len(bare) == len(named) == 2500 and all(r["_host"] == "mine" for r in bare.values())
+    assert sum(bare[k]["text"] == named[k]["text"] for k in bare) >= 0.95 * 2500
+    assert sum(r["text"].split("\n", 1)[-1] in docs for r in bare.values()) >= 0.95 * 2500
+
+
+def test_deep_pages_and_odd_class_names():
+    deep = d5.Page("<div>" * 10_000 + "x<nav>menu</nav><p>y" + "</div>" * 10_000)
+    assert d5.main_text(deep, None) == "x\ny" and len(deep.nodes) < 100
+    g = d5.Gathering()
+    g.add("h", deep)
+    ((_, w),) = g.wrappers()
+    assert d5.Wrapper.load(w.dump()).decide(tuple(deep.nodes), 0.75, 8, w.slots(0.75, 8))
+    page = "<article><p>a</p><div class='side-effects'>b</div><div class='notice-board'>c</div><section class='social-history'>d</section><div class='ad'>e</div></article>"
+    assert d5.main_text(d5.Page(page), None) == "a\nb\nc\nd"
+
+
 def test_tree_matching_is_largest():
     tree = lambda *c: ["r", 1, {}, [[k, 1, {}, []] for k in c]]
     size, pairs = d5.Wrapper.match(tree("a", "b", "c", "b"), tree("b", "c", "x", "b"), {})
