@@ -6,8 +6,8 @@ some). Every task maps the words of its documents to the benchmark's vocabulary,
 windows all of whose words are known, looks the hashes up in the sorted hash set, and verifies each
 hit word by word. Whole texts are scanned; nothing is shuffled.
 
-Defined results: a null or empty text has no words and no hits; a null item has no windows; items
-with equal windows are all reported; repeated rows each get their own result; an empty benchmark
+Defined results: a null or empty text has no words and no hits; a null item has no windows; an item
+without an id counts as one item, last and without a name; items with equal windows are all reported; repeated rows each get their own result; an empty benchmark
 hits nothing; extra columns of the input pass through unchanged, and a column of the name asked for
 as output is replaced.
 
@@ -42,12 +42,16 @@ def words_of(raw: bytes | None) -> list[bytes]:
     return raw.translate(_FOLD).split() if raw else []
 
 
+def in_order(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
 class WindowSet:
     """Windows of the benchmark as word ids, by length, with sorted hashes and the items of each."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], n: int = 10):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        found: dict[int, dict[tuple[int, ...], set[str | None]]] = {}
         for item, raw in items:
             ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(raw))
             size = min(n, len(ids))
@@ -59,7 +63,7 @@ class WindowSet:
             matrix = np.array(windows, dtype=np.int64).reshape(len(windows), size)
             hashes = self._hash(matrix.T)
             order = np.argsort(hashes, kind="stable")
-            self.by_length.append((size, hashes[order], matrix[order], [sorted(found[size][windows[i]]) for i in order]))
+            self.by_length.append((size, hashes[order], matrix[order], [in_order(found[size][windows[i]]) for i in order]))
 
     @staticmethod
     def _hash(columns) -> np.ndarray:
@@ -101,7 +105,7 @@ class WindowSet:
             mine = hit[s : s + n]
             edges = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]]))) if owned[d] else np.empty(0, np.int64)
             spans = [{"first": int(a), "last": int(b) - 1} for a, b in zip(edges[::2], edges[1::2], strict=True)]
-            out.append((n, int(mine.sum()), sorted(owned[d]), spans))
+            out.append((n, int(mine.sum()), in_order(owned[d]), spans))
         return out
 
 
@@ -123,16 +127,17 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str
     total = items.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(total) // max_windows))
     parts = [items if blocks == 1 else items.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == b) for b in range(blocks)]
-    result = docs
+    columns = [F.col("_row").getField(c).alias(c) for c in docs.columns if c != out_col]
+    result = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))  # apart from the columns made here
     names = []
     for b, part in enumerate(parts):
         windows = WindowSet([(r["_item"], r["_text"].encode() if r["_text"] is not None else None) for r in part.collect()], n)
-        names.append(out_col if blocks == 1 else f"_{out_col}_{b}")
-        result = result.withColumn(names[-1], _scanner(windows)(F.col(text_col)))
+        names.append(f"_hits_{b}")
+        result = result.withColumn(names[-1], _scanner(windows)(F.col("_text")))
         if b % 4 == 3:
             result = result.checkpoint()  # bounds the sets that one task holds at once
     if blocks == 1:
-        return result
+        return result.select(*columns, F.col("_hits_0").alias(out_col))
     every = F.array_sort(F.flatten(F.array(*[F.col(f"{x}.spans") for x in names])))
     united = F.aggregate(
         every,
@@ -150,9 +155,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str
         ),
     )
     names_of = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{x}.items") for x in names]))))
-    return result.withColumn("_united", united).withColumn(
-        out_col, F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), F.col("_united.n").alias("n_hit"), names_of.alias("items"), F.col("_united.spans").alias("spans"))
-    ).drop("_united", *names)
+    whole = F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), F.col("_united.n").alias("n_hit"), names_of.alias("items"), F.col("_united.spans").alias("spans"))
+    return result.withColumn("_united", united).select(*columns, whole.alias(out_col))
 
 
 def remove_spans(text: str | None, spans) -> str | None:
@@ -182,14 +186,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "remove_d
     remove_document drops a document of whose words more than `max_hit_share` are hit; remove_span
     keeps every document and cuts the hit spans out of its text.
     """
-    columns = docs.columns
-    found = find_hits(docs, benchmark, n, text_col, out_col="_hits")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole")
+    found = find_hits(docs.select(whole, F.col(text_col).alias("_words")), benchmark, n, "_words", out_col="_hits")
     if action == "remove_document":
-        return found.where(F.col("_hits.n_hit") <= F.lit(max_hit_share) * F.col("_hits.n_words")).select(*[F.col(f"`{c}`") for c in columns])
+        return found.where(F.col("_hits.n_hit") <= F.lit(max_hit_share) * F.col("_hits.n_words")).select("_whole.*")
     if action != "remove_span":
         raise ValueError(f"unknown action {action!r}")
-    cut = F.when(F.size("_hits.spans") > 0, _cleaner()(F.col(text_col), F.col("_hits.spans"))).otherwise(F.col(text_col))
-    return found.withColumn(text_col, cut).select(*[F.col(f"`{c}`") for c in columns])
+    cut = F.when(F.size("_hits.spans") > 0, _cleaner()(F.col("_words"), F.col("_hits.spans"))).otherwise(F.col("_words"))
+    return found.select(*[(cut if c == text_col else F.col("_whole").getField(c)).alias(c) for c in docs.columns])
 
 
 def items_digest(items: Column) -> Column:
@@ -214,7 +218,7 @@ def brute_force(texts: list[str | None], items: list[tuple[str, str | None]], n:
                 if w[i : i + len(x)] == x:
                     hit.update(range(i, i + len(x)))
                     mine.add(item)
-        out.append((len(w), len(hit), sorted(mine)))
+        out.append((len(w), len(hit), in_order(mine)))
     return out
 
 

@@ -105,18 +105,29 @@ class FactorisationMachine:
 
 
 def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic calibration, by Newton's method with a little shrinkage."""
-    a, b = 1.0, 0.0
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
+    """Slope and shift of a logistic calibration, by Newton's method with a little shrinkage.
+
+    A step that doesn't lower the loss is halved until it does.
+    """
+
+    def loss(at: np.ndarray) -> float:
+        z = at[0] * margin + at[1]
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.05 * ((at[0] - 1) ** 2 + at[1] ** 2))
+
+    at = np.array([1.0, 0.0])
+    now = loss(at)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(at[0] * margin + at[1], -30, 30)))
         g, h = weight * (p - y), weight * p * (1 - p)
-        grad = np.array([(g * margin).sum() + 0.1 * (a - 1), g.sum() + 0.1 * b])
+        grad = np.array([(g * margin).sum() + 0.1 * (at[0] - 1), g.sum() + 0.1 * at[1]])
         hess = np.array([[(h * margin**2).sum() + 0.1, (h * margin).sum()], [(h * margin).sum(), h.sum() + 0.1]])
         step = np.linalg.solve(hess, grad)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-6:
+        while (then := loss(at - step)) > now and np.abs(step).max() > 1e-6:
+            step = step / 2
+        if np.abs(step).max() <= 1e-6:
             break
-    return float(max(a, 0.05)), float(b)
+        at, now = at - step, then
+    return float(max(at[0], 0.05)), float(at[1])
 
 
 def train(sample: list[tuple[bytes | None, int]], counts: dict[int, int], buckets: int = 1 << 14, rank: int = 6, epochs: int = 6, rate: float = 0.02, seed: int = 11) -> FactorisationMachine:

@@ -15,6 +15,9 @@ sqrt(rows) / 2 rows long, so neither the table of blocks nor a block grows as th
 or shard that holds a third of all rows has a third of the blocks. Texts are not shuffled unless
 they are asked for (`carry`).
 
+Rows move as bytes, not in groups: rows of equal texts may lie in several shards. A group may hold a
+third of all rows, so no layout of near equal sizes could keep groups whole.
+
 Defined results: a null text counts as empty; null ids are one more id; rows with equal ids are
 ordered by crc and size, and equal rows may take each other's place; an empty table gives an empty
 result; columns not asked for are left out.
@@ -222,14 +225,17 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 40, id_col: str =
 
 
 def rewrite_files(path: str, spark: SparkSession, out: str, shards: int, id_col: str = "doc_id", text_col: str = "text") -> set[int]:
-    """Rewrite a table laid out as `path`/shard=K/ into `shards` shards under `out`; the shards written.
+    """Rewrite a table laid out as `path`/shard=K/ into `shards` shards under `out`; the shards whose rows change.
 
-    Shards whose rows stay the same are not written: their files are to be linked or kept by name.
+    Those are dealt to tasks by ranges of their slots, so a large shard has several files. The rows of
+    all others are copied as they are, without a shuffle, so `out` is the whole table.
     """
     old = spark.read.parquet(path)
     columns = [c for c in old.columns if c != "shard"]
     placed, moves = reshard(old, F.col("shard"), shards, id_col, text_col, carry=tuple(columns))
     changed = affected_shards(moves)
-    rows = placed.where(F.col("shard").isin(sorted(changed))) if changed else placed.limit(0)
-    rows.select(*columns, "shard", "slot").repartition("shard").sortWithinPartitions("shard", "slot").drop("slot").write.mode("overwrite").partitionBy("shard").parquet(out)
+    moved = F.col("shard").isin(sorted(changed))
+    rows = placed.where(moved).select(*columns, "shard", "slot").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot")
+    rows.write.mode("overwrite").partitionBy("shard").parquet(out)
+    old.where(~moved).select(*columns, "shard").write.mode("append").partitionBy("shard").parquet(out)
     return changed

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 
@@ -47,11 +48,12 @@ def class_sample(
 ) -> tuple[list[tuple[str | None, object]], dict[object, int]]:
     """At most `per_class` labelled texts of each class, and how many labelled rows each class has.
 
-    The rows are those least by a hash of their id, so the choice does not depend on partitioning.
-    Only the chosen ids (a number fixed by `per_class`) are broadcast; no text is shuffled. An id
-    that is labelled twice takes its larger label; ids that several documents share give at most
-    twice as many texts as were asked for. classes=None takes all classes there are; `most` bounds the
-    rows of all classes together.
+    The rows are those least by a hash of their id (of documents that share an id, those least by a
+    hash of their text), so the choice does not depend on partitioning. Ids under a hash threshold,
+    about four times as many as wanted, are sorted on the driver; only the chosen ones (a number fixed
+    by `per_class`) are broadcast; no text is shuffled. An id that is labelled twice takes its larger
+    label; ids that several documents share give at most twice as many texts as were asked for.
+    classes=None takes all classes there are; `most` bounds the rows of all classes together.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     counts = {r["_class"]: r["n"] for r in known.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -61,9 +63,15 @@ def class_sample(
     for c in wanted:  # thins out what is sorted, four times the rows needed
         share = min(1.0, 4 * per_class / counts[c])
         some = some | ((F.col(label) == F.lit(c)) & (F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 24)) <= int(share * (1 << 24))))
-    thin = known.where(some).groupBy(id_col).agg(F.max(label).alias("_class"))
-    place = F.row_number().over(Window.partitionBy("_class").orderBy(F.xxhash64(id_col, F.lit(17)), id_col))
-    chosen = thin.withColumn("_place", place).where(F.col("_place") <= per_class).select(id_col, "_class")
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(id_col, text_col, "_class").limit(2 * per_class * max(1, len(wanted))).collect()
+    thin = known.where(some).groupBy(id_col).agg(F.max(label).alias("_class")).withColumn("_order", F.xxhash64(id_col, F.lit(17)))
+    found, taken = [], dict.fromkeys(wanted, 0)
+    for i, c, _ in sorted(map(tuple, thin.collect()), key=lambda r: (r[2], r[0])):
+        if taken[c] < per_class:
+            taken[c] += 1
+            found.append((i, c))
+    fields = [T.StructField(id_col, labels.schema[id_col].dataType), T.StructField("_class", labels.schema[label].dataType)]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(found, T.StructType(fields)))
+    texts = docs.select(id_col, text_col).join(chosen, id_col).select(id_col, text_col, "_class")
+    rows = texts.orderBy(id_col, F.xxhash64(text_col)).limit(2 * per_class * max(1, len(wanted))).collect()
     rows.sort(key=lambda r: (r[0], r[1] or ""))
     return [(r[1], r[2]) for r in rows], counts

@@ -1,13 +1,15 @@
 """Toxicity by weak supervision.
 
 Voters look at a text's words: a lexicon voter fires on one word, a pattern voter on any word that
-begins with some letters. The seed lexicon below is joined by words and beginnings found in a
-bounded sample of labelled texts. A generative label model (expectation maximisation over a latent
-class, started from the labels, which then count as one more noisy voter) estimates each voter's
-rate of firing in either class and the correlations between voters given the class; a voter's
-evidence is divided by how much of it others repeat. The posterior labels train a linear classifier
-over word and beginning features, which is calibrated on a fifth of the sample and scores whole
-texts: a text's margin is a sum over its distinct words.
+begins with some letters. The seed lexicon below is joined by words and beginnings that a bounded
+sample of labelled texts suggests. A generative label model of a latent class and the voters' votes
+estimates how often each voter fires in either class and which voters depend on which: given the
+class, votes are a forest, in which each voter depends on at most one other, the forest with the most
+mutual information (so a voter that repeats another adds nothing). It is fitted by expectation
+maximisation on the votes alone, started from their number; labels choose the voters, set the share of
+the class and calibrate, but they neither vote nor start the model. The posterior labels train a linear
+classifier over word and beginning features, which is calibrated on a fifth of the sample and scores
+whole texts: a text's margin is a sum over its distinct words.
 
 Defined results: null and empty texts get the margin of no words; with one class or none among the
 labels the score is that class's share (0 with none). Labels, languages, sources and ids are not
@@ -43,48 +45,89 @@ def keys_of(word: bytes) -> list[tuple[int, bytes]]:
 
 @dataclass
 class LabelModel:
-    """Voters' firing rates by class, how much each one's evidence counts, and what silence says.
-
-    Most voters speak up in one language or on one word, so one that is silent abstains; that all
-    are silent is a vote of its own.
-    """
+    """Voters' firing rates by class, the voter each depends on, and rates given that one's vote."""
 
     rates: np.ndarray  # 2 x voters
-    weights: np.ndarray
-    silence: np.ndarray  # share of texts on which no voter fires, by class
+    parent: np.ndarray  # -1: none
+    given: np.ndarray  # 2 (class) x 2 (the parent's vote) x voters
+    correlation: np.ndarray  # voters x voters, within the classes
     prior: float
 
-    def posterior(self, fired: np.ndarray, labels: int = 0) -> np.ndarray:
-        """`labels`: how many of the last voters are given labels, which silence doesn't count."""
-        on = np.log(self.rates[1] / self.rates[0]) * self.weights
-        quiet = ~fired[:, : fired.shape[1] - labels].any(axis=1)
-        z = np.log(self.prior / (1 - self.prior)) + fired @ on + quiet * np.log(self.silence[1] / self.silence[0])
+    @property
+    def weights(self) -> np.ndarray:
+        """How much of each voter's evidence is its own, for a look at the model."""
+        return 1 / (1 + np.where(self.correlation < 0.2, 0, self.correlation).sum(axis=1))
+
+    def posterior(self, fired: np.ndarray) -> np.ndarray:
+        on = fired > 0
+        before = on[:, np.maximum(self.parent, 0)]
+        z = np.full(len(fired), np.log(self.prior / (1 - self.prior)))
+        rate = [np.where(self.parent < 0, alone, np.where(before, given[1], given[0])) for given, alone in zip(self.given, self.rates, strict=True)]
+        z += np.where(on, np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))).sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_label_model(fired: np.ndarray, start: np.ndarray, weight: np.ndarray, labels: int = 0, rounds: int = 10) -> LabelModel:
-    """Expectation maximisation from a first guess `start` of each row's probability."""
-    p = np.clip(start, 0.05, 0.95)
-    quiet = ~fired[:, : fired.shape[1] - labels].any(axis=1)
+def forest(information: np.ndarray, least: float) -> np.ndarray:
+    """The parent of each node (-1: none) in the spanning forest of most information; edges below `least` are left out."""
+    n = len(information)
+    parent, best = np.full(n, -1), np.full(n, -np.inf)
+    left = np.ones(n, dtype=bool)
+    for _ in range(n):
+        i = int(np.where(left, best, -np.inf).argmax()) if np.isfinite(best[left]).any() else int(left.argmax())
+        left[i] = False
+        closer = left & (information[i] >= least) & (information[i] > best)
+        best[closer], parent[closer] = information[i][closer], i
+    return parent
+
+
+def fit_label_model(fired: np.ndarray, start: np.ndarray, weight: np.ndarray, prior: float | None = None, rounds: int = 12) -> LabelModel:
+    """Expectation maximisation from a first guess `start` of each row's probability; `prior` fixes the share of the class."""
+    fired = (fired > 0).astype(np.float64)
+    p, n = np.clip(start, 0.05, 0.95), weight.sum()
     model = None
     for _ in range(rounds):
-        rates, silence = [], []
+        rates, given, information, cov = [], [], 0.0, 0.0
         for q in (weight * (1 - p), weight * p):
-            rates.append(np.clip((q @ fired + 0.2) / (q.sum() + 1), 1e-4, 1 - 1e-4))
-            silence.append((q @ quiet + 0.5) / (q.sum() + 1))
+            size = q.sum()
+            both = fired.T @ (fired * q[:, None])
+            once = np.diag(both)
+            r = np.clip((once + 0.05) / (size + 1), 1e-4, 1 - 1e-4)
+            # the four joint rates of each two voters, with a little independence mixed in
+            joint = (both + np.outer(r, r)) / (size + 1)
+            one, other = np.clip(r[:, None] - joint, 1e-9, None), np.clip(r[None, :] - joint, 1e-9, None)
+            none = np.clip(1 - r[:, None] - r[None, :] + joint, 1e-9, None)
+            joint = np.clip(joint, 1e-9, None)
+            for cell, alone in ((joint, np.outer(r, r)), (one, np.outer(r, 1 - r)), (other, np.outer(1 - r, r)), (none, np.outer(1 - r, 1 - r))):
+                information = information + size / n * cell * np.log(cell / alone)
+            cov = cov + size / n * (joint - np.outer(r, r))
+            rates.append(r)
+            # [k, j]: the rate of j when k is silent, or fires; drawn to j's own rate
+            fires = (both + 2 * r[None, :]) / (once[:, None] + 2)
+            silent = (once[None, :] - both + 2 * r[None, :]) / (size - once[:, None] + 2)
+            given.append(np.clip([silent, fires], 1e-4, 1 - 1e-4))
         rates = np.array(rates)
-        # what a voter does beyond its class's rate, and how far others do the same
-        rest = np.sqrt(weight * (1 - p))[:, None] * (fired - rates[0]), np.sqrt(weight * p)[:, None] * (fired - rates[1])
-        cov = sum(r.T @ r for r in rest)
-        scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        rates[1] = np.maximum(rates[1], rates[0])  # a voter votes for the class
+        scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         correlation = np.clip(cov / scale[:, None] / scale[None, :], 0, 1)
         np.fill_diagonal(correlation, 0)
-        correlation[correlation < 0.2] = 0
-        model = LabelModel(rates, 1 / (1 + correlation.sum(axis=1)), np.array(silence), float(np.clip((weight * p).sum() / weight.sum(), 1e-3, 1 - 1e-3)))
-        p = model.posterior(fired, labels)
+        np.fill_diagonal(information, 0)
+        parent = forest(information, 4 / n)
+        at = np.arange(len(parent))
+        chosen = np.array([[g[s][np.maximum(parent, 0), at] for s in (0, 1)] for g in given])
+        share = prior if prior is not None else (weight * p).sum() / n
+        model = LabelModel(rates, parent, chosen, correlation, float(np.clip(share, 1e-3, 1 - 1e-3)))
+        p = model.posterior(fired)
     return model
 
 
+def first_guess(fired: np.ndarray, weight: np.ndarray, share: float) -> np.ndarray:
+    """0.9 for the rows with the most votes, about `share` of all by weight, and 0.1 for the rest."""
+    votes = (fired > 0).sum(axis=1)
+    order = np.argsort(-votes, kind="stable")
+    limit = votes[order][min(len(votes) - 1, int(np.searchsorted(np.cumsum(weight[order]), share * weight.sum())))]
+    return np.where(votes >= max(1, limit), 0.9, 0.1)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, rounds: int = 12) -> np.ndarray:
     """Ridge-penalised logistic regression by Newton's method; the last column of x is constant 1."""
     b = np.zeros(x.shape[1])
@@ -110,6 +153,9 @@ class ToxicityModel:
     constant: float | None = None
     voters: list[tuple[int, bytes]] = field(default_factory=list)
     label_model: LabelModel | None = None
+    #: Of the sample: posterior labels, which train the classifier, and given ones.
+    posterior: np.ndarray | None = None
+    given: np.ndarray | None = None
 
     def memo(self, size: int = 300_000):
         weights = self.weights
@@ -131,7 +177,8 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(sample: list[tuple[bytes | None, int]], counts: dict[int, int], max_voters: int = 200, max_features: int = 1500, penalty: float = 0.5, seed: int = 3) -> ToxicityModel:
+def train(sample: list[tuple[bytes | None, int]], counts: dict[int, int], max_voters: int = 200, max_features: int = 1500, penalty: float = 0.1, weak: bool = True, seed: int = 3) -> ToxicityModel:
+    """A model of (text, label) rows; `weak=False` trains the classifier on the labels instead of the posterior, for comparison."""
     y = np.array([int(c) for _, c in sample])
     if len(set(y.tolist())) < 2:
         return ToxicityModel(constant=float(y[0]) if len(y) else 0.0)
@@ -146,14 +193,16 @@ def train(sample: list[tuple[bytes | None, int]], counts: dict[int, int], max_vo
     names = list(number)
     del number, sample
 
-    def frequencies(p: np.ndarray) -> list[tuple[float, int]]:
-        """Features that part the classes by more than chance, the strongest first."""
+    def frequencies(p: np.ndarray, purity: float = 0.0) -> list[tuple[float, int]]:
+        """Features that part the classes by more than chance, the strongest first; of those texts that
+        have one, weighted, `purity` at least are of the class."""
         count = lambda rows: np.bincount(np.concatenate([docs[i][0] for i in rows] or [np.empty(0, np.int32)]), minlength=len(names)).astype(float)
         used = np.flatnonzero(~held)
         seen, among = count(used), count([i for i in used if p[i] > 0.5])
         n, share = len(used), (p[used] > 0.5).mean()
         z = (among - seen * share) / np.sqrt(seen * share * (1 - share) * (1 - seen / n) + 0.5)
-        some = np.flatnonzero((seen >= 4) & (np.abs(z) > 4.5))
+        on, off = (weight[used][p[used] > 0.5].mean() if share else 0.0), (weight[used][p[used] <= 0.5].mean() if share < 1 else 0.0)
+        some = np.flatnonzero((seen >= 4) & (np.abs(z) > 4.5) & (among * on >= purity * (among * on + (seen - among) * off)))
         return sorted(((z[i], i) for i in some.tolist()), key=lambda x: (-abs(x[0]), names[x[1]]))
 
     def matrix(keys: list[int]) -> np.ndarray:
@@ -178,17 +227,18 @@ def train(sample: list[tuple[bytes | None, int]], counts: dict[int, int], max_vo
     known = {n: i for i, n in enumerate(names) if n[0] == 0}
     seeds = [known[k] for s in SEEDS if (k := b"\0" + s.encode()) in known]
     del known
-    voters = list(dict.fromkeys([*apart([k for z, k in frequencies(y.astype(float)) if z > 0][:max_features], max_voters), *seeds]))
-    fired = np.column_stack([matrix(voters) > 0, y == 1, y == 0]).astype(np.float64)  # the labels are voters, too
-    label_model = fit_label_model(fired[~held], np.where(y[~held] == 1, 0.9, 0.1), weight[~held], labels=2)
-    posterior = label_model.posterior(fired, labels=2)
+    voters = list(dict.fromkeys([*apart([k for z, k in frequencies(y.astype(float), 0.7) if z > 0][:max_features], max_voters), *seeds]))
+    fired = (matrix(voters) > 0).astype(np.float64)
+    share = float((weight * y)[~held].sum() / weight[~held].sum())
+    label_model = fit_label_model(fired[~held], first_guess(fired[~held], weight[~held], share), weight[~held], share)
+    posterior = label_model.posterior(fired) if weak else y.astype(float)
 
     features = apart([k for _, k in frequencies(posterior)[:max_features]], max_voters)
     x = np.column_stack([matrix(features), np.ones(len(docs))]).astype(np.float64)
     beta = _logistic(x[~held], posterior[~held], weight[~held], penalty)
     slope, shift = platt(x[held] @ beta, y[held], weight[held]) if len(set(y[held].tolist())) == 2 else (1.0, 0.0)
     spelt = lambda keys: [(names[i][0], names[i][1:]) for i in keys]
-    return ToxicityModel(dict(zip(spelt(features), beta[:-1].tolist(), strict=True)), float(beta[-1]), slope, shift, None, spelt(voters), label_model)
+    return ToxicityModel(dict(zip(spelt(features), beta[:-1].tolist(), strict=True)), float(beta[-1]), slope, shift, None, spelt(voters), label_model, posterior, y)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000, **options) -> ToxicityModel:

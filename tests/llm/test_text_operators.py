@@ -21,6 +21,7 @@ from lathe.llm import queries as Q
 from lathe.llm import resharding as d6
 from lathe.llm import toxicity as d1
 from lathe.llm import url_filter as d3
+from lathe.llm.textops import class_sample
 
 SF = "/root/testdata/sf0.001"
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())])
@@ -66,6 +67,41 @@ def test_label_model_discounts_correlated_voters():
     assert m.weights[0] < 0.5 < m.weights[3]
 
 
+def test_toxicity_is_learnt_from_votes(spark):
+    """The classifier's labels are the label model's, not the given ones, and so are its predictions; recall holds."""
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").join(texts_of(spark, sf), "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id").collect()
+    held = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0
+    sample = [(r["text"].encode() if r["text"] is not None else None, r["toxic"]) for r in rows if not held(r)]
+    tests = [r for r in rows if held(r)]
+    texts, given = [r["text"].encode() if r["text"] is not None else None for r in tests], np.array([r["toxic"] for r in tests])
+    counts = {c: sum(y == c for _, y in sample) for c in (0, 1)}
+    weak, gold = d1.train(sample, counts), d1.train(sample, counts, weak=False)
+    assert ((weak.posterior > 0.5) != (weak.given == 1)).sum() >= 20
+    got, other = weak.scores(texts) >= 0.5, gold.scores(texts) >= 0.5
+    assert (got != other).sum() >= 1
+    assert got[given == 1].mean() >= 0.8 and got[given == 0].mean() <= 0.01
+
+
+def test_a_label_model_depends_on_votes_alone():
+    """Voters of known rates, no labels: the rates are found, and that one repeats another."""
+    rng = np.random.default_rng(5)
+    y = rng.random(6000) < 0.3
+    fired = np.column_stack([rng.random(6000) < np.where(y, r, 0.03) for r in (0.8, 0.7, 0.6, 0.75)]).astype(float)
+    fired = np.column_stack([fired, fired[:, 0]])  # one repeats another
+    m = d1.fit_label_model(fired, d1.first_guess(fired, np.ones(6000), 0.3), np.ones(6000), 0.3)
+    assert np.abs(m.rates[1] - [0.8, 0.7, 0.6, 0.75, 0.8]).max() < 0.06 and np.abs(m.rates[0] - 0.03).max() < 0.06
+    assert 0 in (m.parent[4],) or m.parent[0] == 4
+    assert ((m.posterior(fired) > 0.5) == y).mean() > 0.95
+
+
+def test_samples_do_not_depend_on_partitioning(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, y int")
+    one, many = (class_sample(d, labels, "y", (0, 1), 8) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == many and len(one[0]) == 32 and one[1] == {0: 20, 1: 20}
+
+
 def test_scores_with_one_class_or_none():
     assert d1.train([], {}).scores([b"x"]).tolist() == [0.0]
     assert d7.train([(b"x", 1)], {1: 1}).scores([b"x", None]).tolist() == [1.0, 1.0]
@@ -88,6 +124,8 @@ def test_scoring_queries_on_held_out_rows(spark, name, limit, label, classes):
     assert all(r["predicted"] == int(r["score"] >= limit) and 0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     held = [r for r in got if r["held_out"]]
     assert np.mean([r["predicted"] == r[label] for r in held]) >= classes[0]
+    rare = int(label == "toxic")  # the recall of the rarer class
+    assert np.mean([r["predicted"] == rare for r in held if r[label] == rare]) >= classes[1]
 
 
 def test_scorers_take_odd_rows(spark):
@@ -467,6 +505,11 @@ def test_resharding_query(spark):
         shards.setdefault(r["shard"], []).append(r)
     mean = sum(r["size"] for r in rows) / 40
     assert set(shards) <= set(range(40))
+    old = {}
+    for r in rows:
+        old[r["old_shard"]] = old.get(r["old_shard"], 0) + r["size"]
+    least = sum(max(0, b - (mean if i < 40 else 0)) for i, b in old.items())  # what the fullest shards must give
+    assert sum(r["size"] for r in rows if r["shard"] != r["old_shard"]) <= least + 40 * largest
     for part in shards.values():
         assert sorted(r["slot"] for r in part) == list(range(len(part)))
         assert abs(sum(r["size"] for r in part) - mean) <= largest + 1
@@ -489,6 +532,11 @@ def test_resharding_takes_odd_rows_and_rewrites_files(spark, tmp_path):
     rows.write.partitionBy("shard").parquet(path)
     changed = d6.rewrite_files(path, spark, str(tmp_path / "new"), 3)
     back = spark.read.parquet(str(tmp_path / "new"))
+    level = str(tmp_path / "level")
+    spark.createDataFrame([(i, "t" * 84, i % 3 if i < 60 else 2) for i in range(80)] + [(100 + i, "t" * 84, 3) for i in range(20)], "doc_id long, text string, shard int").write.partitionBy("shard").parquet(level)
+    d6.rewrite_files(level, spark, str(tmp_path / "whole"), 4)
+    whole = spark.read.parquet(str(tmp_path / "whole"))
+    assert sorted(r["doc_id"] for r in whole.collect()) == [*range(80), *range(100, 120)]
     assert changed == {0, 1, 2} and sorted(map(tuple, back.select("doc_id", "text").collect())) == sorted((i, "t" * (i % 50)) for i in range(120))
 
 
@@ -508,6 +556,18 @@ def test_decontamination_against_brute_force(spark):
             assert sum(s["last"] - s["first"] + 1 for s in got[i]["spans"]) == hit
 
 
+def test_items_without_an_id_and_clashing_columns(spark):
+    items = [(None, "one two"), ("a", "two three"), (None, "one two")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    df = spark.createDataFrame([(1, "one two three", "mine", "mine", "mine"), (2, None, "mine", "mine", "mine")], "doc_id long, text string, _hits string, _united string, _row string")
+    for limit in (10**6, 4):
+        got = {r["doc_id"]: r for r in d8.find_hits(df, bench, 2, max_windows=limit).collect()}
+        assert got[1]["hits"]["items"] == ["a", None] and got[1]["hits"]["n_hit"] == 3 and got[2]["_united"] == "mine"
+    for action, left in (("remove_document", [2]), ("remove_span", [1, 2])):
+        kept = d8.decontaminate(df, bench, action, n=2)
+        assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == left and {r["_hits"] for r in kept.collect()} == {"mine"}
+
+
 def test_spans_are_cut_out(spark):
     bench = spark.createDataFrame([(1, "secret test question")], "item_id int, text string")
     df = frame(spark, [(1, "Before. SECRET, test question! After", None, None), (2, "clean", None, None), (3, None, None, None)])
@@ -589,6 +649,13 @@ def test_line_measures_against_plain(spark):
     assert d10.line_frequency_rules(df).count() == len(ODD) + 20 and d10.line_frequency_rules(df.limit(0)).count() == 0
 
 
+def test_a_growing_host_does_not_protect_a_line(spark):
+    """At 2 % of 10,000 documents the share alone would let 120 repeats pass."""
+    shared = " ".join(f"shared{k}" for k in range(60))
+    df = spark.range(10_000).selectExpr("id as doc_id", f"if(id < 120, '{shared}', concat('own ', translate(cast(id as string), '0123456789', 'abcdefghij'))) as text", "'a' as source")
+    assert d10.removed_share(df).where("_removed > 0").count() == 120
+
+
 def test_depleted_documents_go(spark):
     letters = lambda k: "".join(chr(97 + int(c)) for c in str(k))  # noqa: E731  digits don't count
     own = lambda i, n: " ".join(f"u{letters(i)}x{letters(k)}" for k in range(n))
