@@ -42,11 +42,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.textops import utf8
+from lathe.llm.textops import trim, utf8
 from lathe.session import ensure_checkpoint_dir, release
 
 #: N-grams that a task sorts at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BINS = 16
 #: Rows of a table that may be broadcast.
 SMALL = 200_000
@@ -233,6 +233,8 @@ def index(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: in
             yield pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in types), *batch.columns[:3], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], names + of_text)
         if chunk.held:
             yield flush()
+        del chunk
+        trim()
 
     both = texts.mapInArrow(run, f"chunk long, r int, at long, a binary, b binary, c binary, d binary, _h1 long, _h2 long, _least {kind}, _node long, _n long").checkpoint()
     del texts

@@ -31,13 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lathe.llm.textops import trim
+
 _TOKENIZERS: dict[str, _Encoder] = {}
 #: Characters whose normal form, lower case and class are the same in every Unicode version.
 _PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+")
 _ALL_PLAIN = re.compile(rb"(?:[\n\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+")
 _ODD = re.compile(rb"\xc4[\xb0\xb1]|\xc5[\x89\xbf]|<\|")
 #: Bytes of text that are split at once.
-_SLICE = 8 << 20
+_SLICE = 2 << 20
 _LETTERS = "a-z\u00df-\u00f6\u00f8-\u017e"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+|\n")
 
@@ -124,32 +126,47 @@ class _Encoder:
     Where the vocabulary's normaliser, splitter and merges all stop at white space, a text's ids are
     those of its stretches, joined: Arrow splits a batch and finds its distinct stretches, those met
     before are looked up, new ones of plain characters are merged many at once, and the tokenizer
-    itself encodes what is left. The ids known lie in one array, `size` stretches at most.
+    itself encodes what is left. The ids known lie in one array, `size` stretches at most; when
+    it's full, those that only one slice of texts has asked for are forgotten.
     """
 
-    def __init__(self, path: str, size: int = 500_000):
+    def __init__(self, path: str, size: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size, self.merges = size, None
-        self._forget()
+        self.memo: dict[bytes, int] = {}
+        self._clear()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["model"].get("end_of_word_suffix") and [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.merges = _Merges(spec["model"])
 
-    def _forget(self) -> None:
-        self.memo: dict[bytes, int] = {}
+    def _clear(self) -> None:
+        self.memo.clear()
         self.flat, self.starts, self.lengths, self.used = np.empty(1 << 16, "<u4"), np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), 0
+        self.asked = np.zeros(1 << 12, np.int64)
+
+    def forget(self) -> None:
+        """Keeps what several slices have asked for, half of `size` at most."""
+        known = len(self.memo)
+        asked = self.asked[:known]
+        least = max(2, int(np.partition(asked, -self.size // 2)[-self.size // 2]) + 1 if known > self.size // 2 else 2)
+        keep = np.flatnonzero(asked >= least)
+        names = list(compress(self.memo, (asked >= least).tolist()))
+        starts, lengths, flat, asked = self.starts[keep], self.lengths[keep], self.flat, asked[keep]
+        self._clear()
+        self._store(names, flat[_spread(starts, lengths)], lengths)
+        self.asked[: len(names)] = asked // 2 + 1
 
     def _whole(self, raw: bytes) -> bytes:
         return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _store(self, stretches: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
         known = len(self.memo)
-        for name, need in (("flat", self.used + len(ids)), ("starts", known + len(stretches)), ("lengths", known + len(stretches))):
+        for name, need in (("flat", self.used + len(ids)), *((n, known + len(stretches)) for n in ("starts", "lengths", "asked"))):
             if need > len(old := getattr(self, name)):
-                grown = np.empty(max(need, 2 * len(old)), old.dtype)
+                grown = np.zeros(max(need, 2 * len(old)), old.dtype)
                 grown[: len(old)] = old
                 setattr(self, name, grown)
         self.flat[self.used : self.used + len(ids)] = ids
@@ -198,14 +215,15 @@ class _Encoder:
         fresh = [distinct[i] for i in np.flatnonzero(found < 0).tolist()]
         if fresh:
             if len(self.memo) + len(fresh) > self.size:
-                self._forget()
-                fresh = distinct
+                self.forget()
+                fresh = [x for x in distinct if x not in self.memo]
             if b"" in fresh:
                 fresh.remove(b"")
                 self._store([b""], np.empty(0, "<u4"), np.zeros(1, np.int64))
             if fresh:
                 self._learn(fresh)
             found = np.fromiter(map(self.memo.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        self.asked[found] += 1
         at = found[coded.indices.to_numpy(zero_copy_only=False)]
         lengths = self.lengths[at]
         ids = self.flat[_spread(self.starts[at], lengths)]
@@ -394,6 +412,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         take(packer.flush())
         if out:
             yield rows()
+        enc.forget()
+        trim()
 
     columns = [F.col(id_col), F.col(text_col).cast("string").alias("_text"), *([F.col(prompt_col).cast("string").alias("_prompt")] if prompt_col else [])]
     return docs.select(*columns).mapInArrow(run, schema)
