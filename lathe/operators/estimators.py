@@ -7,6 +7,7 @@ Labels are any sortable values; probabilities follow the sorted classes.
 
 from __future__ import annotations
 
+import heapq
 import io
 import math
 
@@ -33,6 +34,7 @@ class Estimator:
     defaults: dict = {}
 
     def __init__(self, task: str | None = None, **params):
+        self._check(params)
         self.task, self.params = task, dict(params)
         self.state: dict | None = None
         self._disposed = False
@@ -42,9 +44,14 @@ class Estimator:
 
     def set_params(self, params: dict) -> Estimator:
         """Replaces the parameters; the model is to be fitted again."""
+        self._check(params)
         self.params, self.state = dict(params), None
         return self
 
+    def _check(self, params: dict) -> None:
+        if unknown := sorted(set(params) - set(self.defaults)):
+            raise ValidationError(f"{self.family} has no parameters {', '.join(unknown)}")
+
     def param(self, name: str):
         return self.params.get(name, self.defaults[name])
 
@@ -354,48 +361,90 @@ def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(c, v, "right") for c, v in zip(cuts, x.T, strict=True)], axis=1)
 
 
-def grow_tree(b: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, min_leaf: float, penalty: float, features: int, rng, values=None) -> np.ndarray:
+def grow_tree(
+    b: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, min_leaf: float, penalty: float, features: int, rng, values=None,
+    *, alpha: float = 0.0, min_weight: float = 0.0, min_split: int = 2, entropy: bool = False, random_cut: bool = False, leaves: int | None = None,
+) -> np.ndarray:
     """A histogram tree on gradients: rows (feature, bin, left, right, value); feature -1 is a leaf.
 
-    `values` makes leaves mean vectors of it (classes); else a leaf is -sum(g) / (sum(h) + penalty).
+    `values` makes leaves mean vectors of it (classes), weighted by h; else a leaf is
+    -sum(g) / (sum(h) + penalty), sum(g) drawn to 0 by `alpha`. With `leaves`, the leaf that gains most
+    is split next, until there are so many; else all are, down to `depth`. `random_cut` tries one
+    place of each feature; `entropy` scores splits of class counts by it.
     """
     bins = int(b.max()) + 1 if b.size else 1
     nodes: list[list] = []
 
-    def leaf(rows):
-        return -g[rows].sum() / (h[rows].sum() + penalty)
-
-    def build(rows, level):
-        me = len(nodes)
-        nodes.append([-1, 0, 0, 0, leaf(rows) if values is None else 0.0, *([] if values is None else values[rows].mean(axis=0))])
-        if level == 0 or len(rows) < 2 * min_leaf:
-            return me
-        best = (1e-12, None)
+    def drawn(s):
+        return np.sign(s) * np.maximum(np.abs(s) - alpha, 0) if alpha else s
+
+    def worth(s, t):
+        if g.ndim == 1:
+            return drawn(s) ** 2 / (t + penalty)
+        if entropy:
+            c = np.maximum(-s, 0)
+            return (c * np.log(np.maximum(c, 1e-12) / np.maximum(c.sum(axis=-1, keepdims=True), 1e-12))).sum(axis=-1)
+        return (s**2).sum(axis=-1) / (t + penalty)
+
+    def add(rows):
+        value = -drawn(g[rows].sum()) / (h[rows].sum() + penalty) if values is None else 0.0
+        nodes.append([-1, 0, 0, 0, value, *([] if values is None else np.average(values[rows], axis=0, weights=h[rows]))])
+        return len(nodes) - 1
+
+    def split(rows):
+        """(gain, feature, bin) of the best split, or none."""
+        best = (1e-12, None, None)
+        if len(rows) < max(2 * min_leaf, min_split):
+            return best
         total_g, total_h = g[rows].sum(axis=0), h[rows].sum()
-        base = (total_g**2).sum() / (total_h + penalty) if np.ndim(total_g) else total_g**2 / (total_h + penalty)
+        base = worth(total_g, total_h)
         for f in rng.permutation(b.shape[1])[:features]:
             column = b[rows, f]
             n = np.bincount(column, minlength=bins).cumsum()
             hs = np.bincount(column, weights=h[rows], minlength=bins).cumsum()
             if g.ndim == 1:
                 gs = np.bincount(column, weights=g[rows], minlength=bins).cumsum()
-                gain = gs**2 / (hs + penalty) + (total_g - gs) ** 2 / (total_h - hs + penalty) - base
             else:
                 gs = np.stack([np.bincount(column, weights=g[rows, c], minlength=bins).cumsum() for c in range(g.shape[1])], axis=1)
-                gain = (gs**2).sum(1) / (hs + penalty) + ((total_g - gs) ** 2).sum(1) / (total_h - hs + penalty) - base
-            gain[(n < min_leaf) | (len(rows) - n < min_leaf)] = -1
-            if gain.max() > best[0]:
-                best = (gain.max(), (int(f), int(gain.argmax())))
-        if best[1] is None:
-            return me
-        f, cut = best[1]
-        left = b[rows, f] <= cut
-        nodes[me][:2] = f, cut
-        nodes[me][2] = build(rows[left], level - 1)
-        nodes[me][3] = build(rows[~left], level - 1)
+            gain = worth(gs, hs) + worth(total_g - gs, total_h - hs) - base
+            gain[(n < min_leaf) | (len(rows) - n < min_leaf) | (hs < min_weight) | (total_h - hs < min_weight)] = -1
+            low, high = int(column.min()), int(column.max())
+            at = int(rng.integers(low, high)) if random_cut and high > low else int(gain.argmax())
+            if gain[at] > best[0]:
+                best = (gain[at], int(f), at)
+        return best
+
+    def part(me, rows, found):
+        left = b[rows, found[1]] <= found[2]
+        nodes[me][:2] = found[1:]
+        return rows[left], rows[~left]
+
+    def build(rows, level):
+        me = add(rows)
+        if level and (found := split(rows))[1] is not None:
+            low, high = part(me, rows, found)
+            nodes[me][2] = build(low, level - 1)
+            nodes[me][3] = build(high, level - 1)
         return me
 
-    build(np.arange(len(b)), depth)
+    if leaves is None:
+        build(np.arange(len(b)), depth)
+    else:
+        heap: list[tuple] = []
+
+        def open_leaf(rows, level):
+            me = add(rows)
+            if level and (found := split(rows))[1] is not None:
+                heapq.heappush(heap, (-found[0], me, level, rows, found))
+            return me
+
+        open_leaf(np.arange(len(b)), depth)
+        for _ in range(leaves - 1):
+            if not heap:
+                break
+            _, me, level, rows, found = heapq.heappop(heap)
+            low, high = part(me, rows, found)
+            nodes[me][2], nodes[me][3] = open_leaf(low, level - 1), open_leaf(high, level - 1)
     return np.array(nodes, dtype=np.float64)
 
 
@@ -413,44 +462,56 @@ def run_tree(nodes: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Trees(Estimator):
+    bins = "max_bins"
+
     def _bins(self, x):
-        cuts = cut_points(x, int(self.param("max_bins")))
+        cuts = cut_points(x, int(self.param(self.bins)))
         return {"cuts": cuts, "cut_sizes": np.array([len(c) for c in cuts])}, binned(x, cuts)
 
 
 class Boosting(_Trees):
-    """Gradient-boosted histogram trees: logistic, softmax or squared error; second-order leaves."""
+    """Gradient-boosted histogram trees: logistic, softmax or squared error; second-order leaves.
+
+    `min_child_weight` is the least sum of second derivatives of a leaf; `num_parallel_tree` trees, each
+    on its own sample, share a round.
+    """
 
     family = "boosting"
-    defaults = {"numRound": 100, "eta": 0.1, "max_depth": 4, "subsample": 1.0, "colsample_bytree": 1.0, "min_child_weight": 1, "lambda": 1.0, "max_bins": 64, "seed": 0}
+    rate = "eta"
+    defaults = {"numRound": 100, "eta": 0.1, "max_depth": 4, "subsample": 1.0, "colsample_bytree": 1.0, "min_child_weight": 1, "lambda": 1.0, "alpha": 0.0, "num_parallel_tree": 1, "max_bins": 64, "seed": 0}
+
+    def _tree(self, b, g, h, features, rng):
+        return grow_tree(b, g, h, int(self.param("max_depth")), 1, self.param("lambda"), features, rng, alpha=self.param("alpha"), min_weight=self.param("min_child_weight"))
 
     def _fit(self, x, y, k):
         state, b = self._bins(x)
-        rng, eta = np.random.default_rng(self.param("seed")), self.param("eta")
-        width = 1 if k <= 2 else k
+        rng, eta = np.random.default_rng(self.param("seed")), self.param(self.rate)
+        width, side = 1 if k <= 2 else k, max(1, int(self.params.get("num_parallel_tree", 1)))
         base = np.zeros(width) if k else np.array([y.mean()])
         f = np.tile(base, (len(x), 1))
         trees = []
         features = max(1, round(self.param("colsample_bytree") * x.shape[1]))
         for _ in range(int(self.param("numRound"))):
             p = _softmax(f) if k > 2 else _sigmoid(f) if k else f
-            rows = np.arange(len(x)) if self.param("subsample") >= 1 else np.flatnonzero(rng.random(len(x)) < self.param("subsample"))
-            if not len(rows):
-                continue
-            for c in range(width):
-                t = (y == (c if k > 2 else 1)).astype(float) if k else y
-                g = p[:, c] - t
-                h = p[:, c] * (1 - p[:, c]) if k else np.ones(len(x))
-                tree = grow_tree(b[rows], g[rows], h[rows], int(self.param("max_depth")), self.param("min_child_weight"), self.param("lambda"), features, rng)
-                f[:, c] += eta * tree[run_tree(tree, b), 4]
-                trees.append(tree)
+            for _ in range(side):
+                rows = np.arange(len(x)) if self.param("subsample") >= 1 else np.flatnonzero(rng.random(len(x)) < self.param("subsample"))
+                if not len(rows):
+                    continue
+                for c in range(width):
+                    t = (y == (c if k > 2 else 1)).astype(float) if k else y
+                    g = p[:, c] - t
+                    h = p[:, c] * (1 - p[:, c]) if k else np.ones(len(x))
+                    tree = self._tree(b[rows], g[rows], h[rows], features, rng)
+                    tree[:, 4] /= side
+                    f[:, c] += eta * tree[run_tree(tree, b), 4]
+                    trees.append(tree)
         return state | {"base": base, "trees": trees}
 
     def _predict(self, x, s):
         b, width = binned(x, s["cuts"]), len(s["base"])
         f = np.tile(s["base"], (len(x), 1))
         for i, tree in enumerate(s["trees"]):
-            f[:, i % width] += self.param("eta") * tree[run_tree(tree, b), 4]
+            f[:, i % width] += self.param(self.rate) * tree[run_tree(tree, b), 4]
         if not s["classes"]:
             return f[:, 0]
         if width == 1:
@@ -459,22 +520,50 @@ class Boosting(_Trees):
         return _softmax(f)
 
 
+class Leafwise(Boosting):
+    """Boosted trees that split the leaf with the largest gain next, up to `num_leaves`; max_depth -1 is no limit."""
+
+    family = "leafwise"
+    rate = "learning_rate"
+    defaults = {"numRound": 100, "learning_rate": 0.1, "num_leaves": 31, "max_depth": -1, "subsample": 1.0, "colsample_bytree": 1.0, "min_child_samples": 5, "min_child_weight": 1e-3, "reg_lambda": 0.0, "reg_alpha": 0.0, "max_bins": 255, "seed": 0}
+
+    def _tree(self, b, g, h, features, rng):
+        return grow_tree(
+            b, g, h, int(self.param("max_depth")), self.param("min_child_samples"), max(1e-9, self.param("reg_lambda")), features, rng,
+            alpha=self.param("reg_alpha"), min_weight=self.param("min_child_weight"), leaves=int(self.param("num_leaves")),
+        )
+
+
 class Forest(_Trees):
-    """Random forest on histograms: bootstrap rows, sqrt, log2, third or all features at each split."""
+    """Random forest on histograms: bootstrap rows, sqrt, log2, third or all features at each split.
+
+    `criterion` gini or entropy; `extra_trees` tries one random place of each feature;
+    `class_weight="balanced"` weighs classes evenly; without `histogram_binning` every distinct value parts.
+    """
 
     family = "forest"
-    defaults = {"n_estimators": 100, "max_depth": 10, "max_features": "sqrt", "min_samples_leaf": 1, "bootstrap": 1, "max_bins": 64, "seed": 0}
+    defaults = {"n_estimators": 100, "max_depth": 10, "max_features": "sqrt", "min_samples_split": 2, "min_samples_leaf": 1, "bootstrap": 1, "criterion": "gini", "extra_trees": 0, "class_weight": None, "histogram_binning": 1, "max_bins": 64, "seed": 0}
+
+    def _bins(self, x):
+        if self.param("histogram_binning"):
+            return super()._bins(x)
+        cuts = [(u[1:] + u[:-1]) / 2 for u in map(np.unique, x.T)]
+        return {"cuts": cuts, "cut_sizes": np.array([len(c) for c in cuts])}, binned(x, cuts)
 
     def _fit(self, x, y, k):
+        if self.param("criterion") not in ("gini", "entropy"):
+            raise ValidationError(f"unknown criterion {self.param('criterion')!r}")
         state, b = self._bins(x)
         rng, d = np.random.default_rng(self.param("seed")), x.shape[1]
         m = {"sqrt": math.sqrt(d), "log2": math.log2(d + 1), "third": d / 3, "all": d, "auto": math.sqrt(d) if k else d / 3}[self.param("max_features")]
         target = np.eye(k)[y] if k else y[:, None]
+        weight = len(y) / (k * np.bincount(y, minlength=k))[y] if k and self.param("class_weight") == "balanced" else np.ones(len(x))
+        options = {"min_split": int(self.param("min_samples_split")), "entropy": bool(k) and self.param("criterion") == "entropy", "random_cut": bool(self.param("extra_trees"))}
         trees, out, seen = [], np.zeros((len(x), target.shape[1])), np.zeros(len(x))
         for _ in range(int(self.param("n_estimators"))):
             rows = rng.integers(0, len(x), len(x)) if self.param("bootstrap") else np.arange(len(x))
-            t = target[rows] - (0 if k else target.mean())
-            tree = grow_tree(b[rows], -t, np.ones(len(rows)), int(self.param("max_depth")), self.param("min_samples_leaf"), 1e-9, max(1, round(m)), rng, values=target[rows])
+            t = (target[rows] - (0 if k else target.mean())) * weight[rows, None]
+            tree = grow_tree(b[rows], -t, weight[rows], int(self.param("max_depth")), self.param("min_samples_leaf"), 1e-9, max(1, round(m)), rng, values=target[rows], **options)
             trees.append(tree)
             left_out = np.setdiff1d(np.arange(len(x)), rows)
             if len(left_out):
@@ -519,7 +608,8 @@ class Additive(_Trees):
     """Additive model by cyclic boosting: each round updates one feature's bins from their gradients."""
 
     family = "additive"
-    defaults = {"learningRate": 0.05, "maxRounds": 200, "max_bins": 32, "lambda": 1.0}
+    bins = "maxBins"
+    defaults = {"learningRate": 0.05, "maxRounds": 200, "maxBins": 32, "lambda": 1.0}
 
     def _fit(self, x, y, k):
         state, b = self._bins(x)
@@ -703,7 +793,7 @@ class Factorisation(Estimator):
     """Factorisation machine on rows of unit length, trained by Adagrad; one against the rest."""
 
     family = "fm"
-    defaults = {"lr": 0.2, "lambda": 2e-5, "k": 4, "epoch": 30, "seed": 0}
+    defaults = {"lr": 0.2, "lambda": 2e-5, "k": 4, "epoch": 30, "opt": "adagrad", "seed": 0}
 
     def _scale(self, x):
         n = np.sqrt((x * x).sum(1, keepdims=True))
@@ -726,6 +816,9 @@ class Factorisation(Estimator):
                 db, dw = g.sum(), xs.T @ g + lam * w
                 s = xs @ v
                 dv = xs.T @ (g[:, None] * s) - ((xs * xs).T @ g)[:, None] * v + lam * v
+                if self.param("opt") == "sgd":
+                    b, w, v = b - lr * db, w - lr * dw, v - lr * dv
+                    continue
                 gb, gw, gv = gb + db * db, gw + dw * dw, gv + dv * dv
                 b, w, v = b - lr * db / math.sqrt(gb), w - lr * dw / np.sqrt(gw), v - lr * dv / np.sqrt(gv)
         return b, w, v
@@ -798,7 +891,7 @@ class Clauses(Estimator):
     """Tsetlin machine: clauses of threshold literals vote; automata learn by type I and II feedback."""
 
     family = "clauses"
-    defaults = {"nClauses": 40, "threshold": 15, "s": 4.0, "nThresholdsPerFeature": 6, "nEpochs": 25, "stateBits": 8, "seed": 0}
+    defaults = {"nClauses": 40, "threshold": 15, "s": 4.0, "nThresholdsPerFeature": 6, "nEpochs": 25, "stateBits": 8, "boostTruePositiveFeedback": False, "seed": 0}
 
     def _literals(self, x, cuts):
         bits = np.concatenate([x[:, [j]] > c[None] for j, c in enumerate(cuts)], axis=1)
@@ -824,7 +917,7 @@ class Clauses(Estimator):
             picked = rng.random(n) < chance
             learn = picked & (sign == toward)
             for j in np.flatnonzero(learn & fired):
-                state[c, j] += np.where(row, rng.random(len(row)) < (s - 1) / s, -(rng.random(len(row)) < 1 / s).astype(np.int32)).astype(np.int32)
+                state[c, j] += np.where(row, rng.random(len(row)) < (1.0 if self.param("boostTruePositiveFeedback") else (s - 1) / s), -(rng.random(len(row)) < 1 / s).astype(np.int32)).astype(np.int32)
             for j in np.flatnonzero(learn & ~fired):
                 state[c, j] -= (rng.random(len(row)) < 1 / s).astype(np.int32)
             for j in np.flatnonzero(picked & (sign != toward) & fired):
@@ -952,7 +1045,7 @@ class BayesianTrees(_Trees):
         return np.column_stack([1 - p, p])
 
 
-FAMILIES: dict[str, type[Estimator]] = {c.family: c for c in (Baseline, Linear, KernelMachine, Neighbours, Boosting, Forest, Additive, Network, EnsembleNetwork, NeuralAdditive, Factorisation, FieldFactorisation, Clauses, BayesianTrees)}
+FAMILIES: dict[str, type[Estimator]] = {c.family: c for c in (Baseline, Linear, KernelMachine, Neighbours, Boosting, Leafwise, Forest, Additive, Network, EnsembleNetwork, NeuralAdditive, Factorisation, FieldFactorisation, Clauses, BayesianTrees)}
 for _family, _class in FAMILIES.items():
     register(f"lathe.{_family}@1", _class.restore)
 

@@ -28,6 +28,19 @@ class Scaler:
     def is_fitted(self) -> bool:
         return self.state is not None
 
+    def get_params(self) -> dict:
+        return {"features": list(self.features)}
+
+    def set_params(self, params: dict) -> Scaler:
+        """Replaces the parameters; the scaler is to be fitted again."""
+        if unknown := sorted(set(params) - {"features"}):
+            raise ValidationError(f"a scaler has no parameters {', '.join(unknown)}")
+        self.features, self.state = list(params.get("features", self.features)), None
+        return self
+
+    def dispose(self) -> None:
+        self.state = None
+
     def fit(self, df: DataFrame) -> Scaler:
         row = df.agg(F.count(F.lit(1)).alias("n"), *self._statistics()).first()
         if not row["n"]:

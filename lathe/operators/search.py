@@ -137,12 +137,29 @@ SPACES: dict[str, dict] = {
         "eta": {"type": "log_uniform", "low": 0.01, "high": 0.3},
         "numRound": {"type": "int_uniform", "low": 50, "high": 500},
         "subsample": {"type": "uniform", "low": 0.5, "high": 1.0},
+        "colsample_bytree": {"type": "uniform", "low": 0.5, "high": 1.0},
+        "min_child_weight": {"type": "log_uniform", "low": 1, "high": 10},
+        "lambda": {"type": "log_uniform", "low": 1e-3, "high": 10},
+        "alpha": {"type": "log_uniform", "low": 1e-3, "high": 10},
+    },
+    "leafwise": {
+        "max_depth": {"type": "int_uniform", "low": 3, "high": 12},
+        "learning_rate": {"type": "log_uniform", "low": 0.01, "high": 0.3},
+        "numRound": {"type": "int_uniform", "low": 50, "high": 500},
+        "subsample": {"type": "uniform", "low": 0.5, "high": 1.0},
+        "colsample_bytree": {"type": "uniform", "low": 0.5, "high": 1.0},
+        "min_child_weight": {"type": "log_uniform", "low": 1, "high": 10},
+        "reg_lambda": {"type": "log_uniform", "low": 1e-3, "high": 10},
+        "reg_alpha": {"type": "log_uniform", "low": 1e-3, "high": 10},
+        "num_leaves": {"type": "int_uniform", "low": 15, "high": 127},
     },
     "forest": {
         "n_estimators": {"type": "int_uniform", "low": 50, "high": 500},
         "max_depth": {"type": "int_uniform", "low": 3, "high": 20},
         "max_features": {"type": "categorical", "values": ["sqrt", "log2", "third"]},
+        "min_samples_split": {"type": "int_uniform", "low": 2, "high": 20},
         "min_samples_leaf": {"type": "int_uniform", "low": 1, "high": 10},
+        "histogram_binning": {"type": "categorical", "values": [0, 1]},
     },
     "additive": {
         "learningRate": {"type": "log_uniform", "low": 0.001, "high": 0.1},
@@ -161,6 +178,7 @@ SPACES: dict[str, dict] = {
         "lambda": {"type": "log_uniform", "low": 1e-6, "high": 1e-1},
         "k": {"type": "int_uniform", "low": 2, "high": 16},
         "epoch": {"type": "int_uniform", "low": 5, "high": 50},
+        "opt": {"type": "categorical", "values": ["adagrad", "sgd"]},
     },
     "bart": {
         "numTrees": {"type": "int_uniform", "low": 50, "high": 300},
@@ -173,13 +191,19 @@ SPACES: dict[str, dict] = {
         "nClauses": {"type": "int_log_uniform", "low": 20, "high": 2000},
         "threshold": {"type": "int_uniform", "low": 10, "high": 200},
         "s": {"type": "log_uniform", "low": 1.0, "high": 20.0},
+        "stateBits": {"type": "int_uniform", "low": 4, "high": 12},
+        "boostTruePositiveFeedback": {"type": "categorical", "values": [True, False]},
         "nThresholdsPerFeature": {"type": "int_uniform", "low": 2, "high": 20},
         "nEpochs": {"type": "int_uniform", "low": 20, "high": 200},
     },
 }
 
+SPACES["ffm"] = {k: v for k, v in SPACES["fm"].items() if k != "opt"}
+SPACES["tabm"] = SPACES["mlp"] | {"members": {"type": "categorical", "values": [4, 8, 16, 32]}}
+SPACES["nam"] = SPACES["mlp"] | {"hidden_sizes": {"type": "categorical", "values": [[32], [64], [64, 32], [128]]}}
+
 #: How many configurations a family has in the portfolio.
-PORTFOLIO_SIZES = {"boosting": 10, "additive": 4, "linear": 4, "svm": 4, "knn": 3, "clauses": 3, "forest": 7, "mlp": 4, "fm": 3}
+PORTFOLIO_SIZES = {"boosting": 10, "leafwise": 6, "additive": 4, "linear": 4, "svm": 4, "knn": 3, "clauses": 3, "forest": 7, "mlp": 4, "fm": 3}
 
 
 def _radical_inverse(i: int, base: int) -> float:
@@ -196,7 +220,7 @@ def portfolio(task: str = "classification") -> dict[str, list[dict]]:
 
     An unknown task counts as classification; an unknown family has one empty configuration.
     """
-    primes = (2, 3, 5, 7, 11, 13)
+    primes = (2, 3, 5, 7, 11, 13, 17, 19, 23)
     out = {}
     for family, size in PORTFOLIO_SIZES.items():
         configs = []

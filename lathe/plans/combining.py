@@ -110,7 +110,10 @@ def disagreement_reg(spark, d):
     return rounded(en.disagreement(long, "regression"), "disagreement")
 
 
-@query("SELECT unnest(['a', 'b', 'c']) AS model")
+@query(f"""WITH {_MEMBERS}, dis AS (SELECT x.model AS a, y.model AS b, avg(CASE WHEN x.prediction <> y.prediction THEN 1.0 ELSE 0.0 END) AS d FROM t x JOIN t y ON x.row_id = y.row_id AND x.model < y.model GROUP BY ALL),
+p AS (SELECT max(d) FILTER (a = 'a' AND b = 'b') AS ab, max(d) FILTER (a = 'a' AND b = 'c') AS ac, max(d) FILTER (a = 'b' AND b = 'c') AS bc FROM dis),
+k AS (SELECT ab >= 0.05 AS kb, ac >= 0.05 AND (ab < 0.05 OR bc >= 0.05) AS kc FROM p)
+SELECT model FROM (SELECT 'a' AS model, true AS keep UNION ALL SELECT 'b', kb OR NOT kc FROM k UNION ALL SELECT 'c', kc FROM k) WHERE keep""")
 def diversity_filter(spark, d):
     apart = {frozenset((r["a"], r["b"])): r["disagreement"] for r in en.disagreement(_labels(spark, d)).collect()}
     return spark.createDataFrame([(m,) for m in en.diversity_filter(["a", "b", "c"], apart, 0.05)], "model string")
@@ -204,7 +207,7 @@ def grid_configs(spark, d):
     return spark.createDataFrame([(g["solver"], round(g["c"], 6), g["k"]) for g in se.grid_configs(space)], "solver int, c double, k int")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in se.PORTFOLIO_SIZES.items()) + ") t(family, configs)")
+@query("SELECT * FROM (VALUES ('boosting', 10), ('leafwise', 6), ('additive', 4), ('linear', 4), ('svm', 4), ('knn', 3), ('clauses', 3), ('forest', 7), ('mlp', 4), ('fm', 3)) t(family, configs)")
 def portfolio_counts(spark, d):
     return spark.createDataFrame([(k, len(v)) for k, v in se.portfolio().items()], "family string, configs int")
 

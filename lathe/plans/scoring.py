@@ -150,9 +150,17 @@ def mlp_forward(spark, d):
     return _lines(spark, d).select("l_orderkey", "l_linenumber", r6(X.dense(hidden, [[1.2, -0.6]], [0.3])[0]).alias("output"))
 
 
-@query(f"WITH l AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS row_id, o_orderkey, CAST(o_orderkey % 7 AS INTEGER) AS t0, CAST(o_orderkey % 5 AS INTEGER) AS t1 FROM orders WHERE o_orderkey % 50 = 0) SELECT a.o_orderkey AS a, b.o_orderkey AS b, round(((CASE WHEN a.t0 = b.t0 THEN 1 ELSE 0 END) + (CASE WHEN a.t1 = b.t1 THEN 1 ELSE 0 END)) / 2.0, 6)::DOUBLE AS proximity FROM l a JOIN l b ON a.o_orderkey < b.o_orderkey AND (a.t0 = b.t0 OR a.t1 = b.t1)")
+@query("SELECT o_orderkey, n_both, n_0 + n_1 - 2 * n_both AS n_one, round((n_0 + n_1) / 2.0 / greatest(1, n - 1), 6)::DOUBLE AS mean_proximity FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderkey % 7, o_orderkey % 5) - 1 AS n_both, count(*) OVER (PARTITION BY o_orderkey % 7) - 1 AS n_0, count(*) OVER (PARTITION BY o_orderkey % 5) - 1 AS n_1, count(*) OVER () AS n FROM orders)")
 def forest_proximity(spark, d):
-    """The share of trees in which two rows share a leaf, for a stated set of rows."""
-    rows = table(spark, d, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), (F.col("o_orderkey") % m).alias("leaf")) for t, m in enumerate((7, 5))])).alias("x")).select("o_orderkey", "x.*")
-    pairs = rows.withColumnRenamed("o_orderkey", "a").join(rows.withColumnRenamed("o_orderkey", "b"), ["tree", "leaf"]).where("a < b")
-    return pairs.groupBy("a", "b").agg(r6(F.count(F.lit(1)) / 2.0).alias("proximity"))
+    """For every row: how many others share its leaf in both trees or in one, and the mean proximity.
+
+    From the sizes of leaves and of their meets, so no pairs are made.
+    """
+    rows = table(spark, d, "orders").select("o_orderkey", *[(F.col("o_orderkey") % m).alias(f"t{i}") for i, m in enumerate((7, 5))])
+    sizes = rows.groupBy("t0", "t1").agg(F.count(F.lit(1)).alias("both")).toDF("t0", "t1", "both")
+    zero, one = (sizes.groupBy(t).agg(F.sum("both").alias(f"in_{t}")) for t in ("t0", "t1"))
+    every = sizes.agg(F.sum("both").alias("every"))
+    named = sizes.join(F.broadcast(zero), "t0").join(F.broadcast(one), "t1").crossJoin(F.broadcast(every))
+    both, first, second = F.col("both") - 1, F.col("in_t0") - 1, F.col("in_t1") - 1
+    mean = (first + second) / 2.0 / F.greatest(F.lit(1), F.col("every") - 1)
+    return rows.join(F.broadcast(named), ["t0", "t1"]).select("o_orderkey", both.alias("n_both"), (first + second - 2 * both).alias("n_one"), r6(mean).alias("mean_proximity"))

@@ -101,12 +101,6 @@ def knn_regress(spark, d):
     return rounded(nn.mean_of_neighbours(found, t.select("train_id", (F.col("label") * 1.5).alias("y"))), "prediction")
 
 
-def _knn_by_fold(spark, d):
-    """(query_id, fold, truth, train_label, rank) of the 7 nearest rows of other folds."""
-    v = fr.stratified_k_fold(vectors(spark, d), "row_id", "label", 5)
-    return v, nn
-
-
 @query()
 def knn_leaderboard(spark, d):
     """Nearest-neighbour models of k = 1, 3, 5 and 7, cross-validated over 5 folds and ranked."""

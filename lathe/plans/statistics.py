@@ -24,10 +24,10 @@ def _each(template: str, sep: str = ", ") -> str:
 _LINES = "l AS (SELECT *, 0 * l_tax AS constant FROM lineitem)"
 
 
-@query(f"WITH {_LINES} " + _each("SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(coalesce(stddev_samp({c}), 0), 6) AS std FROM l", " UNION ALL "))
+@query(f"WITH {_LINES} " + _each("SELECT '{c}' AS feature, round(avg({c}), 7) AS mean, round(coalesce(stddev_samp({c}), 0), 7) AS std FROM l", " UNION ALL "))
 def standard_scaler_fit(spark, d):
     s = StandardScaler(NUMBERS).fit(lines(spark, d))
-    return rounded(spark.createDataFrame([(c, *s.state[c]) for c in NUMBERS], "feature string, mean double, std double"), "mean", "std")
+    return rounded(spark.createDataFrame([(c, *s.state[c]) for c in NUMBERS], "feature string, mean double, std double"), "mean", "std", digits=7)
 
 
 @query(f"WITH {_LINES}, s AS (SELECT " + _each("avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}") + " FROM l) SELECT l_orderkey, l_linenumber, " + _each("round(CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE 0 END, 6) AS {c}") + " FROM l, s")

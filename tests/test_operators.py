@@ -1,6 +1,7 @@
 """Scalers, preprocessing, folds, neighbours, ensembles, search, bundles and pipelines."""
 
 import json
+import math
 import struct
 
 import numpy as np
@@ -10,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lathe.errors import BundleError, DisposedError, NotFittedError, RegistryError, ValidationError
+from lathe.functions import expressions
 from lathe.operators import automl as am
 from lathe.operators import distributed as ds
 from lathe.operators import ensembles as en
@@ -309,3 +311,52 @@ def test_importances_count_all_rows(spark, tmp_path):
 def test_thresholds(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 6)], "x double")
     assert quantile_thresholds(df, "x", 3) == [2, 3, 4]
+
+
+def test_every_key_of_every_space_is_read():
+    for family, space in se.SPACES.items():
+        assert set(space) <= set(FAMILIES[family].defaults), family
+        create(family, **se.random_configs(space, 1, 3)[0])
+    with pytest.raises(ValidationError):
+        create("additive", max_bins=3)
+    with pytest.raises(ValidationError):
+        create("knn").set_params({"neighbours": 3})
+    x = np.arange(60.0)[:, None]
+    sizes = [len(create("additive", maxBins=n, maxRounds=2).fit(x, x[:, 0]).state["cuts"][0]) for n in (4, 16)]
+    assert sizes[0] < sizes[1]
+
+
+def test_leafwise_trees_and_forest_options():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 5))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(int)
+    few, many = (create("leafwise", num_leaves=n, numRound=20).fit(x, y) for n in (2, 15))
+    leaves = [max(int((t[:, 0] < 0).sum()) for t in m.state["trees"]) for m in (few, many)]
+    assert leaves[0] == 2 and 4 < leaves[1] <= 15 and many.score(x, y) > 0.95 > few.score(x, y)
+    back = load(many.save())
+    assert (back.predict(x) == many.predict(x)).all()
+    assert create("leafwise", reg_alpha=1e9, numRound=3).fit(x, x[:, 0]).predict(x).std() < 1e-9
+    for options in ({"criterion": "entropy"}, {"extra_trees": 1, "n_estimators": 60}, {"class_weight": "balanced"}, {"histogram_binning": 0}, {"min_samples_split": 8}):
+        assert create("forest", **({"n_estimators": 30} | options)).fit(x, y).score(x, y) > 0.85, options
+    rare = np.where(np.arange(400) < 20, 1, 0)
+    noise = rng.normal(size=(400, 2)) + 0.8 * rare[:, None]
+    plain, even = (create("forest", n_estimators=30, max_depth=2, class_weight=w).fit(noise, rare).predict_proba(noise)[:, 1].mean() for w in (None, "balanced"))
+    assert even > 2 * plain
+    assert create("boosting", numRound=10, num_parallel_tree=3, subsample=0.7, alpha=0.1).fit(x, y).score(x, y) > 0.8
+
+
+def test_probit_is_close(spark):
+    z = [-6.0, -3.0, -1.0, -0.1, 0.0, 0.1, 1.0, 3.0, 6.0]
+    got = [r["p"] for r in spark.createDataFrame([(v,) for v in z], "z double").select(expressions.probit(F.col("z")).alias("p")).collect()]
+    assert all(abs(p - 0.5 * math.erfc(-v / math.sqrt(2))) < 7.5e-8 for v, p in zip(z, got, strict=True))
+
+
+def test_scaler_lifecycle(spark):
+    s = StandardScaler(["a"]).fit(spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "a double, b double"))
+    assert s.is_fitted and s.get_params() == {"features": ["a"]}
+    assert not s.set_params({"features": ["b"]}).is_fitted and s.features == ["b"]
+    with pytest.raises(ValidationError):
+        s.set_params({"columns": []})
+    s.dispose()
+    with pytest.raises(NotFittedError):
+        s.transform(spark.range(1))
