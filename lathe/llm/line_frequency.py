@@ -23,8 +23,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathe.session import checkpointed
-
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Left out of a line before it is hashed.
@@ -92,8 +90,9 @@ def removed_share(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.xxhash64(host_col).alias("_host"),
         F.explode(line_array(F.col(text_col))).alias("_line"),
     ).select("_id", "_text", "_host", F.xxhash64("_host", normalised(F.col("_line"))).alias("_h"), word_characters(F.col("_line")).cast("long").alias("_chars"))
-    held = checkpointed(lines.groupBy("_id", "_text", "_host", "_h").agg(F.sum("_chars").alias("_chars")))  # numbers only; texts are read once
-    counted = held.groupBy("_host", "_h").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > min_docs)
+    held = lines.groupBy("_id", "_text", "_host", "_h").agg(F.sum("_chars").alias("_chars"))
+    # counts _chars, never null, so that both uses of `held` ask for the same columns and share its exchange
+    counted = held.groupBy("_host", "_h").agg(F.count("_chars").alias("_docs")).where(F.col("_docs") > min_docs)
     hosts = docs.select(F.xxhash64(host_col).alias("_host"), F.col(id_col).alias("_id")).groupBy("_host").agg(F.count(F.lit(1)).alias("_all"))
     frequent = counted.join(hosts, "_host").where(_above(min_share, max_docs)).select("_h", F.lit(True).alias("_frequent"))
     return (
