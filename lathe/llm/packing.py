@@ -35,8 +35,8 @@ from lathe.llm.textops import trim
 
 _TOKENIZERS: dict[str, _Encoder] = {}
 #: Characters whose normal form, lower case and class are the same in every Unicode version.
-_PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+")
-_ALL_PLAIN = re.compile(rb"(?:[\n\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+")
+_PLAIN = re.compile(rb"(?:[\x21-\x7e]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])++")
+_ALL_PLAIN = re.compile(rb"(?:[\n\x21-\x7e]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])++")
 _ODD = re.compile(rb"\xc4[\xb0\xb1]|\xc5[\x89\xbf]|<\|")
 #: Bytes of text that are split at once.
 _SLICE = 2 << 20
@@ -84,10 +84,11 @@ class _Merges:
             found[miss] = self.keys[at[miss]]
         return np.where(found == keys, self.rank[at], self.none), at
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in turn, and how many each has."""
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        raw = np.frombuffer(("\n".join(words) + "\n").encode(), dtype=np.uint8)  # no word holds a line's end
+        breaks = np.flatnonzero(raw == 10)
+        sizes, raw = np.diff(breaks, prepend=-1) - 1, raw[raw != 10]
         ends = np.cumsum(sizes) - 1
         ids = self.first[raw]
         ids[ends] = self.last[raw[ends]]
@@ -186,7 +187,7 @@ class _Encoder:
             words = list(set(parts).difference("\n"))
             number = dict(zip(words, range(len(words)), strict=True)) | {"\n": -1}
             at = np.fromiter(map(number.__getitem__, parts), dtype=np.int64, count=len(parts))
-            ids, sizes = self.merges.encode([w.encode() for w in words])
+            ids, sizes = self.merges.encode(words)
             of = np.cumsum(at < 0)[at >= 0]
             at = at[at >= 0]
             self._store(plain, ids[_spread((np.cumsum(sizes) - sizes)[at], sizes[at])], np.bincount(of, sizes[at], len(plain)).astype(np.int64))
@@ -212,17 +213,18 @@ class _Encoder:
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
         found = np.fromiter(map(self.memo.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
-        fresh = [distinct[i] for i in np.flatnonzero(found < 0).tolist()]
-        if fresh:
-            if len(self.memo) + len(fresh) > self.size:
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            if len(self.memo) + len(new) > self.size:
                 self.forget()
-                fresh = [x for x in distinct if x not in self.memo]
+                found = np.fromiter(map(self.memo.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+                new = np.flatnonzero(found < 0)
+            fresh = [distinct[i] for i in new.tolist()]
             if b"" in fresh:
-                fresh.remove(b"")
                 self._store([b""], np.empty(0, "<u4"), np.zeros(1, np.int64))
-            if fresh:
-                self._learn(fresh)
-            found = np.fromiter(map(self.memo.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+            if learnt := [x for x in fresh if x]:
+                self._learn(learnt)
+            found[new] = np.fromiter(map(self.memo.__getitem__, fresh), dtype=np.int64, count=len(fresh))
         self.asked[found] += 1
         at = found[coded.indices.to_numpy(zero_copy_only=False)]
         lengths = self.lengths[at]
