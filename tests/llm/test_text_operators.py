@@ -332,6 +332,19 @@ def test_odd_texts_have_the_tokenizers_ids():
     assert enc.ids_of([t.encode() for t in odd]) == [enc._whole(t.encode()) for t in odd]
 
 
+def test_ids_are_the_tokenizers_when_stretches_are_forgotten():
+    from tokenizers import Tokenizer
+
+    whole, rng = Tokenizer.from_file(Q.tokenizer_file()), np.random.default_rng(3)
+    words = ["don't", "a1b", "\u00e9t\u00e9", "\u0130x", "\u65e5\u672c", "<|endoftext|>", "x" * 300, *("".join(rng.choice(list("abcde-7"), 6)) for _ in range(400))]
+    texts = ["", "  ", "\n\n", *(" ".join(rng.choice(words, 60)) for _ in range(60))]
+    small = d4._Encoder(Q.tokenizer_file(), size=50)
+    for _ in range(3):
+        for i in range(0, len(texts), 7):
+            got = small.ids_of([x.encode() for x in texts[i : i + 7]])
+            assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(x, add_special_tokens=False).ids for x in texts[i : i + 7]]
+
+
 def test_limits_hold_for_instruction_data(spark):
     df = spark.createDataFrame([(i, "question " * (i % 7), "answer " * (1 + i % 40)) for i in range(300)] + [(300, None, None)], "doc_id long, prompt string, text string").coalesce(1)
     lim = d4.Limits(tokens=128, segments=4, loss_tokens=96, buffer=32)
@@ -656,6 +669,15 @@ def test_a_growing_host_does_not_protect_a_line(spark):
     assert d10.removed_share(df).where("_removed > 0").count() == 120
 
 
+def test_lines_are_hashed_once(spark):
+    """The counts and the shares both read one exchange of line hashes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")  # has frequent lines; without any the join falls away
+    share = d10.removed_share(docs)
+    share.collect()
+    plan = share._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and plan.count("Generate explode") == 1
+
+
 def test_depleted_documents_go(spark):
     letters = lambda k: "".join(chr(97 + int(c)) for c in str(k))  # noqa: E731  digits don't count
     own = lambda i, n: " ".join(f"u{letters(i)}x{letters(k)}" for k in range(n))
