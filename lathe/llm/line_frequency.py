@@ -1,12 +1,12 @@
 """Cross-document line frequency, with DataFrame functions only.
 
 Each line is normalised (lower case, without ASCII digits and common punctuation, trimmed) and
-hashed together with its host. A line that more documents of its host hold than the limit is
-removed everywhere in that host; a document of whose word characters more than `max_removed` went
-that way is depleted and rejected.
+hashed together with its host. A line that more than `max_docs` documents of its host hold is removed
+everywhere in that host; a document of whose word characters more than `max_removed` went that way is
+depleted and rejected.
 
-limit of a host = min_share of its documents, but min_docs at least and max_docs at most, so that a
-host that grows never protects a line that hundreds of its documents repeat.
+The limit is a count of documents, not a share of the host: more rows can only add to the lines that
+are removed, and a host that grows protects none.
 
 Defined results: a null text has no words and no lines; lines without a word are never counted; a
 null host is a host of its own; a line that a document repeats counts once for it; two rows that
@@ -78,11 +78,7 @@ def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return step.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def _above(min_share: float, max_docs: int) -> Column:
-    return (F.col("_docs") > F.lit(min_share) * F.col("_all")) | (F.col("_docs") > max_docs)
-
-
-def removed_share(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, min_share: float = 0.02, max_docs: int = 100) -> DataFrame:
+def removed_share(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 10) -> DataFrame:
     """(id, text hash, total and removed word characters) of every document that has a line."""
     lines = docs.select(
         F.col(id_col).alias("_id"),
@@ -92,9 +88,8 @@ def removed_share(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ).select("_id", "_text", "_host", F.xxhash64("_host", normalised(F.col("_line"))).alias("_h"), word_characters(F.col("_line")).cast("long").alias("_chars"))
     held = lines.groupBy("_id", "_text", "_host", "_h").agg(F.sum("_chars").alias("_chars"))
     # counts _chars, never null, so that both uses of `held` ask for the same columns and share its exchange
-    counted = held.groupBy("_host", "_h").agg(F.count("_chars").alias("_docs")).where(F.col("_docs") > min_docs)
-    hosts = docs.select(F.xxhash64(host_col).alias("_host"), F.col(id_col).alias("_id")).groupBy("_host").agg(F.count(F.lit(1)).alias("_all"))
-    frequent = counted.join(hosts, "_host").where(_above(min_share, max_docs)).select("_h", F.lit(True).alias("_frequent"))
+    counted = held.groupBy("_host", "_h").agg(F.count("_chars").alias("_docs")).where(F.col("_docs") > max_docs)
+    frequent = counted.select("_h", F.lit(True).alias("_frequent"))
     return (
         held.join(frequent, "_h", "left")
         .groupBy("_id", "_text")
@@ -103,11 +98,11 @@ def removed_share(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def line_frequency_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, min_share: float = 0.02, max_docs: int = 100, max_removed: float = 0.7
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 10, max_removed: float = 0.7
 ) -> DataFrame:
     """Per document: id, the base measures, removed_chars, base_failed and kept."""
     base = base_measures(docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("_text")), text_col).drop(text_col)
-    share = removed_share(docs, id_col, text_col, host_col, min_docs, min_share, max_docs)
+    share = removed_share(docs, id_col, text_col, host_col, max_docs)
     joined = base.join(share, base[id_col].eqNullSafe(share["_id"]) & (base["_text"] == share["_text"]), "left").select(base["*"], "_total", "_removed")
     depleted = F.coalesce(F.col("_removed") > F.lit(max_removed) * F.col("_total"), F.lit(False))
     return joined.select(
@@ -116,7 +111,7 @@ def line_frequency_rules(
     )
 
 
-def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, min_share: float = 0.02, max_docs: int = 100) -> DataFrame:
+def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 10) -> DataFrame:
     """`docs` with the removed lines cut out of the texts; the order of the rest is kept.
 
     The lines go through a shuffle with their texts, so this is for when the cut texts are wanted.
@@ -126,9 +121,8 @@ def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     lines = keyed.select(F.col(id_col).alias("_id"), "_text", "_host", F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("_at", "_line"))
     lines = lines.withColumn("_h", F.when(F.translate("_line", SPACES, "") != "", F.xxhash64("_host", normalised(F.col("_line")))))
     held = lines.where(F.col("_h").isNotNull()).select("_id", "_text", "_host", "_h").distinct()
-    counted = held.groupBy("_host", "_h").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > min_docs)
-    hosts = keyed.groupBy("_host").agg(F.count(F.lit(1)).alias("_all"))
-    frequent = counted.join(hosts, "_host").where(_above(min_share, max_docs)).select("_h", F.lit(True).alias("_frequent"))
+    counted = held.groupBy("_host", "_h").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > max_docs)
+    frequent = counted.select("_h", F.lit(True).alias("_frequent"))
     cut = lines.join(frequent, "_h", "left").where(F.col("_frequent").isNull()).groupBy("_id", "_text").agg(F.collect_set(F.struct("_at", "_line")).alias("_left"))
     joined = keyed.join(cut, keyed[id_col].eqNullSafe(cut["_id"]) & keyed["_text"].eqNullSafe(cut["_text"]), "left")
     text = F.array_join(F.transform(F.array_sort("_left"), lambda x: x["_line"]), "\n")

@@ -140,8 +140,7 @@ l AS (SELECT doc_id, source, unnest(lines) AS line FROM d),
 n AS (SELECT doc_id, source, CASE WHEN trim(translate(lower(line), {_DROP}, '')) <> '' THEN trim(translate(lower(line), {_DROP}, '')) ELSE trim(lower(line)) END AS norm,
              length(translate(line, {_SP}, '')) AS chars FROM l),
 held AS (SELECT doc_id, source, norm, sum(chars) AS chars FROM n GROUP BY ALL),
-f AS (SELECT source, norm FROM held JOIN (SELECT source, count(*) AS every FROM documents GROUP BY source) USING (source)
-      GROUP BY source, norm, every HAVING count(*) > 10 AND (count(*) > 0.02 * every OR count(*) > 100)),
+f AS (SELECT source, norm FROM held GROUP BY source, norm HAVING count(*) > 10),
 r AS (SELECT doc_id, sum(chars) AS total, sum(CASE WHEN f.norm IS NOT NULL THEN chars ELSE 0 END) AS removed
       FROM held LEFT JOIN f ON held.source = f.source AND held.norm = f.norm GROUP BY doc_id),
 base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(translate(t, {_SP}, '')) AS BIGINT) AS word_chars,

@@ -662,11 +662,14 @@ def test_line_measures_against_plain(spark):
     assert d10.line_frequency_rules(df).count() == len(ODD) + 20 and d10.line_frequency_rules(df.limit(0)).count() == 0
 
 
-def test_a_growing_host_does_not_protect_a_line(spark):
-    """At 2 % of 10,000 documents the share alone would let 120 repeats pass."""
+@pytest.mark.parametrize("host", [100, 2_000, 20_000])
+def test_a_growing_host_does_not_protect_a_line(spark, host):
+    """11 documents that are nothing but a shared line go at every size of the host; 10 stay."""
     shared = " ".join(f"shared{k}" for k in range(60))
-    df = spark.range(10_000).selectExpr("id as doc_id", f"if(id < 120, '{shared}', concat('own ', translate(cast(id as string), '0123456789', 'abcdefghij'))) as text", "'a' as source")
-    assert d10.removed_share(df).where("_removed > 0").count() == 120
+    few = " ".join(f"few{k}" for k in range(60))
+    own = "concat(repeat(concat('own ', translate(cast(id as string), '0123456789', 'abcdefghij'), ' '), 2), array_join(transform(sequence(1, 60), k -> concat('w', id, 'v', k)), ' '))"
+    df = spark.range(host).selectExpr("id as doc_id", f"case when id < 11 then '{shared}' when id < 21 then '{few}' else {own} end as text", "'a' as source")
+    assert {r["doc_id"] for r in d10.line_frequency_rules(df).where("not kept").collect()} == set(range(11))
 
 
 def test_lines_are_hashed_once(spark):
