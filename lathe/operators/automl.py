@@ -210,6 +210,33 @@ def run_search(spark, data: Matrix, spaces: dict[str, dict] | list[str], strateg
     return search
 
 
+def run_strategy(spark, data: Matrix, strategy, scoring: str | None = None, seed: int = 42, timeout: float | None = None, on_progress: Callable | None = None) -> Search:
+    """Pulls candidates from the caller's own strategy until it is done, has none left, or time is up.
+
+    A strategy has `next()`, which gives (model, params), a list of them that one job evaluates
+    together, or None; `report(row)`, called with the result of each candidate that didn't fail (its
+    candidate number, model, params, scores and mean); and `is_done()`. Failed candidates are on the
+    board with their error and are not reported.
+    """
+    search, began, seen = Search(data), time.time(), 0
+    while not strategy.is_done():
+        if timeout is not None and time.time() - began > timeout:
+            break
+        pulled = strategy.next()
+        if not pulled:
+            break
+        batch = pulled if isinstance(pulled, list) else [pulled]
+        candidates = [(seen + i, m, p, 1.0) for i, (m, p) in enumerate(batch)]
+        seen += len(batch)
+        means = _collect(search, candidates, evaluate(spark, data, candidates, scoring, seed), 1.0)
+        for row, mean in zip(search.rows[-len(batch) :], means, strict=True):
+            if mean > float("-inf"):
+                strategy.report(row | {"mean": mean})
+        if on_progress:
+            on_progress({"phase": "search", "evaluated": len(search.rows), "fraction": 1.0})
+    return search
+
+
 def out_of_fold(spark, data: Matrix, specs: list[tuple[str, dict]], seed: int = 42) -> list[np.ndarray]:
     """For each spec, predictions of each row by models that didn't see it: (rows, classes) or (rows,)."""
     found = evaluate(spark, data, [(i, m, p, 1.0) for i, (m, p) in enumerate(specs)], seed=seed, with_predictions=True)

@@ -59,12 +59,13 @@ def davies_bouldin(df: DataFrame, features: list[str], cluster: str = "cluster")
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> float:
-    """Agreement of two labellings over pairs of rows, corrected for chance; from three small tables."""
-    two = lambda n: n * (n - 1) / 2
-    pairs = sum(two(r["n"]) for r in df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).collect())
-    rows = sum(two(r["n"]) for r in df.groupBy(a).agg(F.count(F.lit(1)).alias("n")).collect())
-    cols = sum(two(r["n"]) for r in df.groupBy(b).agg(F.count(F.lit(1)).alias("n")).collect())
-    every = two(df.count())
+    """Agreement of two labellings over pairs of rows, corrected for chance; counts of pairs are summed where they lie."""
+    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+    def pairs_of(counts: DataFrame) -> float:
+        return counts.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
+
+    pairs, rows, cols, every = (pairs_of(cells if by is None else cells.groupBy(*by).agg(F.sum("n").alias("n"))) for by in (None, [a], [b], []))
     by_chance = rows * cols / every if every else 0.0
     top = (rows + cols) / 2
     return 1.0 if top == by_chance else float((pairs - by_chance) / (top - by_chance))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lathe.errors import ValidationError
+from lathe.session import checkpointed
 
 
 def argmax_label(long: DataFrame, row_id: str = "row_id", p: str = "p", label: str = "label") -> DataFrame:
@@ -126,6 +127,37 @@ def greedy_selection(predictions: list[np.ndarray], y: np.ndarray, task: str = "
     return members, [chosen.count(m) / size for m in members], scores
 
 
+def greedy_selection_frame(long: DataFrame, models: Sequence[str], size: int = 20, row_id: str = "row_id", y: str = "y", digits: int = 9) -> tuple[list[int], list[float], list[float]]:
+    """`greedy_selection` by accuracy over (row_id, y, model, label, p) of any size, which stay where they are.
+
+    The probabilities are laid out by row once; a step is one aggregation that counts the hits of all
+    trials, so the driver gets a number for each model. A row's label is that of the largest mean
+    probability at `digits` digits, the smallest of equal ones; a missing p is 0.
+    """
+    if not models:
+        raise ValidationError("nothing to select from")
+    own = [F.coalesce(F.max(F.when(F.col("model") == m, F.col("p"))), F.lit(0.0)).alias(f"p{i}") for i, m in enumerate(models)]
+    cells = long.repartition(row_id).groupBy(row_id, y, "label").agg(*own)
+    rows = checkpointed(cells.groupBy(row_id, y).agg(F.collect_list(F.struct("label", *[f"p{i}" for i in range(len(models))])).alias("_c")).drop(row_id))
+    counts, scores = [0] * len(models), []
+    for t in range(size):
+
+        def hits(candidate: int):
+            share = [n + (i == candidate) for i, n in enumerate(counts)]
+            mean = lambda c: F.round(sum((c[f"p{i}"] * k for i, k in enumerate(share) if k), F.lit(0.0)) / (t + 1), digits)  # noqa: B023, E731
+            best = F.array_min(F.transform("_c", lambda c: F.struct((-mean(c)).alias("p"), c["label"].alias("label"))))
+            return F.sum((best["label"] == F.col(y)).cast("long"))
+
+        found = rows.agg(F.count(F.lit(1)), *[hits(i) for i in range(len(models))]).first()
+        if not found[0]:
+            raise ValidationError("no rows to select on")
+        best = max(range(len(models)), key=lambda i: found[i + 1] or 0)  # the first of equal ones
+        counts[best] += 1
+        scores.append((found[best + 1] or 0) / found[0])
+    members = [i for i, n in enumerate(counts) if n]
+    return members, [counts[i] / size for i in members], scores
+
+
 def optimise_weights(predictions: list[np.ndarray], y: np.ndarray, start, task: str = "classification", rate: float = 0.05, steps: int = 100) -> np.ndarray:
     """Weights on the simplex by projected gradient descent on log loss or squared error."""
     stack = np.stack([np.asarray(p, dtype=np.float64) for p in predictions])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathe.errors import NotFittedError, ValidationError
+from lathe.operators.automl import MAX_CELLS
 from lathe.operators.estimators import Estimator
 from lathe.operators.scaling import Preprocessor, Scaler
 from lathe.sources.bundle import decode_json, encode_bundle, encode_json
@@ -36,12 +37,15 @@ class Pipeline:
     def _features(self, df: DataFrame, not_features) -> list[str]:
         return [c for c in df.columns if c not in not_features]
 
-    def fit(self, df: DataFrame, y: str, row_id: str) -> Pipeline:
+    def fit(self, df: DataFrame, y: str, row_id: str, max_cells: int = MAX_CELLS) -> Pipeline:
+        """A local estimator is fitted on the driver, on `max_cells` values at most; larger data raise an error."""
         for _, step in self.steps[:-1]:
             df = step.fit(df).transform(df)
         last = self.steps[-1][1]
         self.features = self._features(df, (y, row_id))
         if isinstance(last, Estimator):
+            if df.count() * len(self.features) > max_cells:
+                raise ValidationError(f"more than {max_cells} values; use lathe.operators.distributed")
             rows = df.select(*self.features, y).toPandas()
             last.fit(rows[self.features].to_numpy(float), rows[y].to_numpy())
         else:

@@ -134,16 +134,10 @@ score AS (SELECT i, j, k, avg(CASE WHEN y = label THEN 1.0 ELSE 0.0 END) AS s FR
 path(step, i, j, k) AS (SELECT 0, 0::BIGINT, 0::BIGINT, 0::BIGINT UNION ALL SELECT * FROM (SELECT step + 1 AS step, n.i, n.j, n.k FROM path, score n WHERE step < 4 AND n.i + n.j + n.k = step + 1 AND n.i >= path.i AND n.j >= path.j AND n.k >= path.k ORDER BY n.s DESC, n.i - path.i DESC, n.j - path.j DESC LIMIT 1))
 SELECT unnest([1, 2, 3])::INTEGER AS member, unnest([i, j, k]) / 4 AS weight FROM path WHERE step = 4""")
 def caruana_select(spark, d):
-    """Greedy selection of four steps over the members' probabilities, gathered on the driver."""
-    import numpy as np
-
-    rows = _members(spark, d).groupBy("row_id", "y", "model").agg(F.array_sort(F.collect_list(F.struct("label", "p"))).alias("ps")).select("row_id", "y", "model", F.transform("ps", lambda x: x["p"]).alias("ps")).orderBy("model", "row_id").collect()
-    models = sorted({r["model"] for r in rows})
-    pool = [np.array([r["ps"] for r in rows if r["model"] == m]) for m in models]
-    y = np.array([r["y"] for r in rows if r["model"] == models[0]])
-    members, weights, _ = en.greedy_selection(pool, y, size=4, score=lambda p: float((np.round(p, 9).argmax(axis=1) == y).mean()))
+    """Greedy selection of four steps, each one aggregation over the members' probabilities."""
+    members, weights, _ = en.greedy_selection_frame(_members(spark, d), ["a", "b", "c"], size=4)
     found = dict(zip(members, weights, strict=True))
-    return spark.createDataFrame([(i + 1, float(found.get(i, 0.0))) for i in range(len(models))], "member int, weight double")
+    return spark.createDataFrame([(i + 1, float(found.get(i, 0.0))) for i in range(3)], "member int, weight double")
 
 
 # A leaderboard from the lines' groups: a candidate for each line number and flag, its folds by part.

@@ -120,4 +120,4 @@ def forest_importance(spark, d):
 def streaming_scoring(spark, d):
     """The linear scorer on the events as a stream."""
     scored = lambda s: s.select("event_id", r6(X.sigmoid(X.linear([F.col("value") / 100], [1.0], -0.5))).alias("p"))
-    return score_available(read_stream(spark, d, "events"), scored, "streaming_scoring")
+    return score_available(read_stream(spark, d, "events"), scored)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lathe.session import ensure_checkpoint_dir
+
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The given table as a stream of its files."""
@@ -13,8 +16,17 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def score_available(stream: DataFrame, score: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """What a stateless scorer gives for all there is now, as an in-memory table."""
-    q = score(stream).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+def score_available(stream: DataFrame, score: Callable[[DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
+    """What a stateless scorer gives for all there is now, as a table of files.
+
+    Rows and the query's progress are written below `folder`, by default a new one in the checkpoint
+    folder. A query that is run again on the same folder goes on where it stopped, each row once.
+    """
+    spark = stream.sparkSession
+    if folder is None:
+        ensure_checkpoint_dir(spark)
+        folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/scored-{uuid.uuid4().hex}"
+    scored = score(stream)
+    q = scored.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(scored.schema).parquet(f"{folder}/rows")

@@ -84,5 +84,16 @@ def test_clusters(three):
 
 def test_scoring_a_stream(spark):
     stream = read_stream(spark, "/root/testdata/sf0.001", "events")
-    got = score_available(stream, lambda s: s.select("event_id", X.sigmoid(F.col("value")).alias("p")), "scored_events")
+    got = score_available(stream, lambda s: s.select("event_id", X.sigmoid(F.col("value")).alias("p")))
     assert got.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_a_scored_stream_goes_on_where_it_stopped(spark, tmp_path):
+    schema, score = "id long", lambda s: s.select((F.col("id") * 2).alias("twice"))
+    (tmp_path / "in").mkdir()
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    assert score_available(stream(), score, str(tmp_path / "none")).count() == 0
+    for upto in (3, 5):
+        spark.range(upto - 2, upto).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = score_available(stream(), score, str(tmp_path / "out"))
+        assert sorted(r["twice"] for r in got.collect()) == [2 * i for i in range(1, upto)]

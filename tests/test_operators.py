@@ -151,6 +151,23 @@ def test_greedy_selection_and_weights():
     assert en.diversity_filter(["a", "b", "c"], {frozenset("ab"): 0.01, frozenset("ac"): 0.5, frozenset("bc"): 0.5}) == ["a", "c"]
 
 
+def test_greedy_selection_in_place(spark):
+    """The frame form takes the steps of the local one, ties and missing cells included."""
+    r = np.random.default_rng(7)
+    y, pool = r.integers(0, 3, 60), [np.round(r.dirichlet(np.ones(3), 60), 2) for _ in range(4)]
+    for m in pool[:2]:
+        m[np.arange(60), y] += 0.2
+    pool[3] = pool[0].copy()  # a tie with the first
+    long = spark.createDataFrame([(i, int(y[i]), f"m{k}", c, float(p[i, c])) for k, p in enumerate(pool) for i in range(60) for c in range(3) if p[i, c] > 0], "row_id int, y int, model string, label int, p double")
+    got = en.greedy_selection_frame(long, [f"m{k}" for k in range(4)], size=6)
+    want = en.greedy_selection(pool, y, size=6, score=lambda p: float((np.round(p, 9).argmax(axis=1) == y).mean()))
+    assert got[0] == want[0] and got[1] == want[1] and got[2] == pytest.approx(want[2])
+    with pytest.raises(ValidationError):
+        en.greedy_selection_frame(long.limit(0), ["m0"])
+    with pytest.raises(ValidationError):
+        en.greedy_selection_frame(long, [])
+
+
 def test_leaderboard(spark):
     b = lb.ranked(lb.board(spark, [(0, "m", "{}", [0.5, 0.7], 1.0), (1, "n", "{}", [0.6, 0.6], 1.0), (2, "m", "{}", [], 1.0)]))
     got = [(r["id"], r["rank"]) for r in b.orderBy("rank").collect()]
@@ -238,6 +255,30 @@ def test_strategies(spark, points, strategy):
     assert found.best()["mean"] > 0.7
 
 
+def test_own_strategy(spark, points):
+    class Widening:
+        """Larger k in batches until one of them is no better than the one before."""
+
+        def __init__(self):
+            self.k, self.reported, self.stop = 1, [], False
+
+        def next(self):
+            self.k += 2
+            return [("knn", {"k": self.k}), ("knn", {"k": "bad"})] if self.k < 8 else ("knn", {"k": self.k})
+
+        def report(self, row):
+            self.reported.append((row["params"]["k"], row["mean"]))
+
+        def is_done(self):
+            return self.k >= 9
+
+    data, own = am.Matrix.gather(points, "row_id", ["a", "b", "c"], "y", 3), Widening()
+    board = am.run_strategy(spark, data, own).board()
+    assert [k for k, _ in own.reported] == [3, 5, 7, 9] and all(m > 0.7 for _, m in own.reported)
+    assert len(board) == 7 and sum(r["error"] is not None for r in board) == 3 and board[0]["mean"] == max(m for _, m in own.reported)
+    assert am.run_strategy(spark, data, Widening(), timeout=-1).rows == []
+
+
 def test_auto_fit(spark, points):
     out = am.auto_fit(spark, points, "row_id", ["a", "b", "c"], "y", ["knn", "linear"], cv=3, n_iter=2, ensemble_size=4)
     assert sum(out.weights) == pytest.approx(1)
@@ -291,6 +332,8 @@ def test_pipeline(spark, points):
     assert got == again and p.predict(points).where("prediction = y").count() > 100
     with pytest.raises(ValidationError):
         Pipeline([])
+    with pytest.raises(ValidationError):
+        p.fit(points, "y", "row_id", max_cells=10)
 
 
 def test_distributed(spark, points):
