@@ -1,13 +1,17 @@
 """Scalers, preprocessing, folds, neighbours, ensembles, search, bundles and pipelines."""
 
+import itertools
 import json
 import math
 import struct
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lathe.errors import BundleError, DisposedError, NotFittedError, RegistryError, ValidationError
@@ -403,3 +407,49 @@ def test_scaler_lifecycle(spark):
     s.dispose()
     with pytest.raises(NotFittedError):
         s.transform(spark.range(1))
+
+
+class Here:
+    """Stands for a session; runs a job's tasks in this process, so that their memory can be measured."""
+
+    def __init__(self):
+        self.sparkContext = type("Context", (), {"defaultParallelism": 1})
+
+    def createDataFrame(self, rows, _schema):
+        self.rows = rows
+        return self
+
+    def repartition(self, _n):
+        return self
+
+    def mapInPandas(self, run, _schema):
+        self.run = run
+        return self
+
+    def collect(self):
+        frames = list(self.run(iter([pd.DataFrame(self.rows, columns=["id", "model", "params", "fold", "share"])])))
+        return [Row(**r) for f in frames for r in f.to_dict("records")]
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        out = work()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_neighbours_of_many_rows_in_bounded_memory():
+    """The same rows, distances and order of equal ones as by sorting all distances."""
+    r = np.random.default_rng(11)
+    for width, n, metric, make in itertools.product((1, 8), (40, 2500), ("l1", "l2"), (lambda v: v, np.round, np.zeros_like, lambda v: 1e9 + v / 1e3)):
+        rows, x = make(r.normal(size=(n, width))), make(r.normal(size=(150, width)))
+        apart = x[:, None] - rows[None]
+        d = np.abs(apart).sum(2) if metric == "l1" else np.sqrt((apart**2).sum(2))
+        order = np.argsort(d, axis=1, kind="stable")[:, :9]
+        i, near = create("knn", k=9, metric=metric).fit(rows, np.arange(n) % 2).kneighbors(x)
+        assert (i == order).all() and (near == np.take_along_axis(d, order, 1)).all()
+    rows = r.normal(size=(60_000, 8))
+    _, mb = peak_mb(lambda: create("knn", k=9).fit(rows, np.arange(60_000) % 2).kneighbors(rows[:300]))
+    assert mb < 80
