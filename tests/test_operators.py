@@ -19,6 +19,7 @@ from lathe.functions import expressions
 from lathe.operators import automl as am
 from lathe.operators import distributed as ds
 from lathe.operators import ensembles as en
+from lathe.operators import estimators as es
 from lathe.operators import frames as fr
 from lathe.operators import leaderboard as lb
 from lathe.operators import neighbours as nn
@@ -453,3 +454,20 @@ def test_neighbours_of_many_rows_in_bounded_memory():
     rows = r.normal(size=(60_000, 8))
     _, mb = peak_mb(lambda: create("knn", k=9).fit(rows, np.arange(60_000) % 2).kneighbors(rows[:300]))
     assert mb < 80
+
+
+def test_a_kernel_machine_of_many_rows_in_bounded_memory(monkeypatch):
+    """As a factor or by columns it is the machine on the whole matrix."""
+    r = np.random.default_rng(13)
+    x = r.normal(size=(600, 4))
+    y, more = (x[:, 0] * x[:, 1] + r.normal(size=600) / 3 > 0).astype(int), r.normal(size=(500, 4))
+    for kernel in range(4):
+        whole = create("svm", kernel=kernel).fit(x, y).decision_function(more)
+        with monkeypatch.context() as m:
+            m.setattr(es, "GRAM_CELLS", 0)
+            for cells in (es.FACTOR_CELLS, 0) if kernel < 3 else (0,):
+                m.setattr(es, "FACTOR_CELLS", cells)
+                assert np.abs(create("svm", kernel=kernel).fit(x, y).decision_function(more) - whole).max() < 2e-2 * max(1, np.abs(whole).std())
+    near = r.normal(size=(8000, 8)) / 8
+    _, mb = peak_mb(lambda: create("svm").fit(near, (near[:, 0] > 0).astype(int)).predict(near))
+    assert mb < 200
