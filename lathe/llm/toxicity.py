@@ -7,7 +7,10 @@ estimates how often each voter fires in either class and which voters depend on
 class, votes are a forest, in which each voter depends on at most one other, the forest with the most
 mutual information (so a voter that repeats another adds nothing). It is fitted by expectation
 maximisation on the votes alone, started from their number; labels choose the voters, set the share of
-the class and calibrate, but they neither vote nor start the model. The posterior labels train a linear
+the class and calibrate, but they neither vote nor start the model. Voters that never fire together, as
+those of different languages, tell of different kinds of the class: each kind has a model of its own, in
+which the silence of another kind's voters says nothing, and a text is of the class if it is of any kind
+(one model of all would take the most frequent kind for the class). The posterior labels train a linear
 classifier over word and beginning features, which is calibrated on a fifth of the sample and scores
 whole texts: a text's margin is a sum over its distinct words.
 
@@ -83,7 +86,7 @@ def forest(information: np.ndarray, least: float) -> np.ndarray:
 def fit_label_model(fired: np.ndarray, start: np.ndarray, weight: np.ndarray, prior: float | None = None, rounds: int = 12) -> LabelModel:
     """Expectation maximisation from a first guess `start` of each row's probability; `prior` fixes the share of the class."""
     fired = (fired > 0).astype(np.float64)
-    p, n = np.clip(start, 0.05, 0.95), weight.sum()
+    p, n = np.clip(start, 1e-4, 0.95), weight.sum()
     model = None
     for _ in range(rounds):
         rates, given, information, cov = [], [], 0.0, 0.0
@@ -128,6 +131,49 @@ def first_guess(fired: np.ndarray, weight: np.ndarray, share: float) -> np.ndarr
     return np.where(votes >= max(1, limit), 0.9, 0.1)
 
 
+@dataclass
+class KindsModel:
+    """A label model for each kind of the class, with the columns of its voters."""
+
+    kinds: list[tuple[np.ndarray, LabelModel]]
+
+    def posterior(self, fired: np.ndarray) -> np.ndarray:
+        none = np.ones(len(fired))
+        for columns, model in self.kinds:
+            none *= 1 - model.posterior(fired[:, columns])
+        return 1 - none
+
+
+def kinds_of(fired: np.ndarray) -> list[np.ndarray]:
+    """Groups of voters; two are in one group if they, or others between them, fire together at least half
+    as often as by chance, among the rows that any voter fires on."""
+    on = (fired > 0).astype(np.float64)
+    on = on[on.any(axis=1)]
+    size, both = on.sum(axis=0), on.T @ on
+    linked = (both > 0) & (2 * both * len(on) >= np.outer(size, size))
+    group = np.full(on.shape[1], -1)
+    for i in range(len(group)):
+        if group[i] < 0:
+            group[i], left = i, [i]
+            while left:
+                new = np.flatnonzero(linked[left.pop()] & (group < 0))
+                group[new] = i
+                left += new.tolist()
+    return [np.flatnonzero(group == g) for g in np.unique(group)]
+
+
+def fit_kinds(fired: np.ndarray, start: np.ndarray, weight: np.ndarray, prior: float) -> KindsModel:
+    """A label model for each kind; a kind's share of the prior is that of the first guesses it has votes for."""
+    guessed, models = start > 0.5, []
+    every = weight[guessed].sum()
+    for columns in kinds_of(fired):
+        mine = guessed & (fired[:, columns] > 0).any(axis=1)
+        if mine.any():
+            share = prior * weight[mine].sum() / every
+            models.append((columns, fit_label_model(fired[:, columns], np.where(mine, 0.9, 0.1 * share), weight, share)))
+    return KindsModel(models or [(np.arange(fired.shape[1]), fit_label_model(fired, start, weight, prior))])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, rounds: int = 12) -> np.ndarray:
     """Ridge-penalised logistic regression by Newton's method; the last column of x is constant 1."""
     b = np.zeros(x.shape[1])
@@ -152,7 +198,7 @@ class ToxicityModel:
     shift: float = 0.0
     constant: float | None = None
     voters: list[tuple[int, bytes]] = field(default_factory=list)
-    label_model: LabelModel | None = None
+    label_model: KindsModel | None = None
     #: Of the sample: posterior labels, which train the classifier, and given ones.
     posterior: np.ndarray | None = None
     given: np.ndarray | None = None
@@ -230,7 +276,7 @@ def train(sample: list[tuple[bytes | None, int]], counts: dict[int, int], max_vo
     voters = list(dict.fromkeys([*apart([k for z, k in frequencies(y.astype(float), 0.7) if z > 0][:max_features], max_voters), *seeds]))
     fired = (matrix(voters) > 0).astype(np.float64)
     share = float((weight * y)[~held].sum() / weight[~held].sum())
-    label_model = fit_label_model(fired[~held], first_guess(fired[~held], weight[~held], share), weight[~held], share)
+    label_model = fit_kinds(fired[~held], first_guess(fired[~held], weight[~held], share), weight[~held], share)
     posterior = label_model.posterior(fired) if weak else y.astype(float)
 
     features = apart([k for _, k in frequencies(posterior)[:max_features]], max_voters)

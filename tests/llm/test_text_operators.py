@@ -95,6 +95,22 @@ def test_a_label_model_depends_on_votes_alone():
     assert ((m.posterior(fired) > 0.5) == y).mean() > 0.95
 
 
+def test_kinds_of_a_class_are_all_found():
+    """Rare kinds with voters of their own are not taken for the rest beside a frequent one."""
+    rng = np.random.default_rng(6)
+    kind = rng.choice(5, 6000, p=(0.5, 0.3, 0.08, 0.07, 0.05))  # 0: not of the class
+    fired = np.zeros((6000, 40))
+    for k in range(1, 5):
+        own = slice(10 * k - 10, 10 * k)
+        fired[kind == k, own] = rng.random(((kind == k).sum(), 10)) < (0.35 if k == 1 else np.linspace(1, 0.1, 10))
+    weight = np.where(kind == 0, 1.8, 0.2)
+    share = float(weight[kind > 0].sum() / weight.sum())
+    m = d1.fit_kinds(fired, d1.first_guess(fired, weight, share), weight, share)
+    got = m.posterior(fired) > 0.5
+    assert len(m.kinds) == 4 and not got[kind == 0].any()
+    assert all(got[kind == k].mean() > 0.9 for k in range(1, 5))
+
+
 def test_samples_do_not_depend_on_partitioning(spark):
     docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(400)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, y int")
