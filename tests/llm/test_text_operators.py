@@ -729,3 +729,18 @@ def test_pipeline_stages(spark):
             assert {r["doc_id"] for r in out.collect()} == {i for (i, _), h in zip(rows, hits, strict=True) if not h[1]}
         docs = out
     assert len(seen) == 5 and all(seen.values())
+
+
+def test_the_limit_is_of_all_urls(spark):
+    """Over all rows it is what the list form finds, and `fit` takes every url that no rule decides."""
+    rng = np.random.default_rng(8)
+    for n_good, n_bad, apart in ((3000, 700, 1.0), (500, 40, 9.0), (1, 1, 1.0)):
+        rows = [(float(x), False) for x in rng.normal(0, 1, n_good)] + [(float(x), True) for x in rng.normal(apart, 1, n_bad)]
+        assert d3.limit_over(spark.createDataFrame(rows, "ratio double, own boolean").repartition(3)) == pytest.approx(d3.limit_of(rows), abs=1e-12)
+    assert d3.limit_over(spark.createDataFrame([(1.0, False)], "ratio double, own boolean")) is None
+    good = [f"http://plain{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}.test/{'uvwxyz'[i % 6]}/{i}" for i in range(4500)]
+    bad = [f"http://casino{'abcdefghij'[i % 10]}.test/{'play' * (i % 4)}/{i}" for i in range(300)]
+    df = spark.createDataFrame([(u,) for u in good + bad], "url string")
+    m = d3.fit(df)
+    every = [(m.ratio(u.encode(), kind), kind) for urls, kind in ((good, False), (bad, True)) for u in urls]
+    assert m.limit == pytest.approx(d3.limit_of(every), abs=1e-12) and m.limit != d3.fit(df, sample_rows=60).limit
