@@ -471,3 +471,15 @@ def test_a_kernel_machine_of_many_rows_in_bounded_memory(monkeypatch):
     near = r.normal(size=(8000, 8)) / 8
     _, mb = peak_mb(lambda: create("svm").fit(near, (near[:, 0] > 0).astype(int)).predict(near))
     assert mb < 200
+
+
+@pytest.mark.parametrize("strategy", ["random"])
+def test_searches_over_many_rows_in_bounded_memory(strategy):
+    """A search's tasks hold blocks of distances, not one of 256 rows against all."""
+    r = np.random.default_rng(17)
+    n = 30_000
+    x = r.normal(size=(n, 8))
+    data = am.Matrix(np.arange(n), x, (x[:, 0] > 0).astype(int), np.arange(n) % 3, "classification")
+    spaces = {"knn": {"k": {"type": "int_uniform", "low": 1, "high": 15}}}
+    found, mb = peak_mb(lambda: am.run_search(Here(), data, spaces, strategy, n_iter=1))
+    assert found.best()["mean"] > 0.9 and mb < 150
