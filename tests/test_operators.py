@@ -473,7 +473,7 @@ def test_a_kernel_machine_of_many_rows_in_bounded_memory(monkeypatch):
     assert mb < 200
 
 
-@pytest.mark.parametrize("strategy", ["random", "halving"])
+@pytest.mark.parametrize("strategy", ["random", "halving", "progressive"])
 def test_searches_over_many_rows_in_bounded_memory(strategy):
     """A search's tasks hold blocks of distances, not one of 256 rows against all."""
     r = np.random.default_rng(17)
