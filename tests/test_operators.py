@@ -483,3 +483,23 @@ def test_searches_over_many_rows_in_bounded_memory(strategy):
     spaces = {"knn": {"k": {"type": "int_uniform", "low": 1, "high": 15}}}
     found, mb = peak_mb(lambda: am.run_search(Here(), data, spaces, strategy, n_iter=1))
     assert found.best()["mean"] > 0.9 and mb < 150
+
+
+@pytest.mark.parametrize("strategy", ["random"])
+def test_searches_over_many_copies_in_bounded_memory(strategy):
+    """Rows that are copies of a few: scores as by sorting all distances, equal ones by place, in bounded memory."""
+    r = np.random.default_rng(19)
+    n, kinds = 15_000, r.normal(size=(40, 8))
+    own = r.integers(0, 40, n)
+    y, fold = ((kinds[own, 0] > 0) ^ (r.random(n) < 0.3)).astype(int), np.arange(n) % 3
+    data = am.Matrix(np.arange(n), kinds[own], y, fold, "classification")
+    spaces = {"knn": {"k": {"type": "int_uniform", "low": 1, "high": 15}}}
+    found, mb = peak_mb(lambda: am.run_search(Here(), data, spaces, strategy, n_iter=2))
+    assert found.best()["fraction"] == 1.0 and mb < 100
+    for row in (w for w in found.board() if w["fraction"] == 1.0):
+        for f, score in enumerate(row["scores"]):
+            train = np.flatnonzero(fold != f)
+            apart = np.sqrt(((kinds[:, None] - kinds[own[train]][None]) ** 2).sum(axis=2))
+            near = np.argsort(apart, axis=1, kind="stable")[:, : row["params"]["k"]]
+            votes = (y[train][near].mean(axis=1) > 0.5).astype(int)
+            assert score == (votes[own] == y)[fold == f].mean()
