@@ -473,6 +473,24 @@ def test_a_kernel_machine_of_many_rows_in_bounded_memory(monkeypatch):
     assert mb < 200
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_a_kernel_machine_of_many_rows_reaches_the_optimum_and_predicts_by_pivots(copies, monkeypatch):
+    """Primal and dual meet; margins go through the pivots, as the sums over all rows have them."""
+    r = np.random.default_rng(23)
+    x = np.tile(r.normal(size=(3000 // copies, 8)) / 8, (copies, 1))
+    y, more = np.tile((r.random(3000 // copies) < 0.5).astype(int), copies), r.normal(size=(4000, 8)) / 8
+    model, cells, kernel = create("svm").fit(x, y), [], es.KernelMachine.kernel
+    s = model.state
+    fit = ((kernel(model, x, s["x"]) + 1) @ s["a"].T)[:, 0]
+    size = float(s["a"][0] @ (kernel(model, s["x"], s["x"]) + 1) @ s["a"][0]) / 2
+    dual, primal = np.abs(s["a"]).sum() - size, size + np.maximum(0, 1 - np.where(y == 1, 1, -1) * fit).sum()
+    assert s["count"].sum() == 3000 and primal - dual < 1e-5 * dual
+    whole = ((kernel(model, more, s["x"]) + 1) @ s["a"].T)[:, 0]
+    monkeypatch.setattr(es.KernelMachine, "kernel", lambda m, a, b: cells.append(len(a) * len(b)) or kernel(m, a, b))
+    assert np.abs(model.decision_function(more)[:, 0] - whole).max() <= es.MARGIN and (model.predict(more) == (whole > 0)).all()
+    assert sum(cells) < len(more) * np.sum(s["count"]) / 2
+
+
 @pytest.mark.parametrize("strategy", ["random", "halving", "progressive"])
 def test_searches_over_many_rows_in_bounded_memory(strategy):
     """A search's tasks hold blocks of distances, not one of 256 rows against all."""
