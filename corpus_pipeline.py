@@ -11,20 +11,28 @@ from pyspark.sql import functions as F
 
 from lathe.llm import decontaminate, langid, ngram_join, packing, quality_fm
 from lathe.llm.queries import tokenizer_file
-from lathe.llm.textops import lean, table
-from lathe.session import ensure_checkpoint_dir
+from lathe.llm.textops import lean, table, trim
+from lathe.session import ensure_checkpoint_dir, release
+
+
+def _trained(spark: SparkSession) -> None:
+    """The driver gives back what gathering a sample and learning from it have taken."""
+    trim()
+    release(spark)
 
 
 def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model, learnt from their labels, can't name with confidence go."""
     lean(spark)
     model = langid.fit(docs)
+    _trained(spark)
     return docs.where(~langid.predict(model, F.col("text"))["rejected"])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.3 go; the model learns from the labelled documents there are."""
     model = quality_fm.fit(docs, table(spark, sf_dir, "labels"))
+    _trained(spark)
     return docs.where(quality_fm.score(model, F.col("text")) >= 0.3)
 
 

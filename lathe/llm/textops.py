@@ -81,6 +81,7 @@ def class_sample(
     fields = [T.StructField(id_col, labels.schema[id_col].dataType), T.StructField("_class", labels.schema[label].dataType)]
     chosen = F.broadcast(docs.sparkSession.createDataFrame(found, T.StructType(fields)))
     texts = docs.select(id_col, text_col).join(chosen, id_col).select(id_col, text_col, "_class")
-    rows = texts.orderBy(id_col, F.xxhash64(text_col)).limit(2 * per_class * max(1, len(wanted))).collect()
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
+    # sorted in a task; the driver gets batches of bytes, where collect() would merge the rows of every partition in its heap
+    taken = texts.orderBy(id_col, F.xxhash64(text_col)).limit(2 * per_class * max(1, len(wanted))).toArrow()
+    rows = sorted(zip(*(c.to_pylist() for c in taken.columns), strict=True), key=lambda r: (r[0], r[1] or ""))
     return [(r[1], r[2]) for r in rows], counts

@@ -744,3 +744,21 @@ def test_the_limit_is_of_all_urls(spark):
     m = d3.fit(df)
     every = [(m.ratio(u.encode(), kind), kind) for urls, kind in ((good, False), (bad, True)) for u in urls]
     assert m.limit == pytest.approx(d3.limit_of(every), abs=1e-12) and m.limit != d3.fit(df, sample_rows=60).limit
+
+
+def test_a_sample_of_texts_reaches_the_driver_as_batches_and_stages_give_memory_back(spark, monkeypatch):
+    """No rows with texts are collected, as the driver's heap would merge those of every partition; the sample is by id."""
+    import corpus_pipeline
+    from lathe.llm import textops
+
+    docs = spark.createDataFrame([(i, f"text {i}" if i % 7 else None, "en") for i in range(60)], "doc_id long, text string, lang string").repartition(9)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    collected, given = [], []
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: collected.append(df.columns) or collect(df))
+    rows, counts = textops.class_sample(docs, labels, "quality", (0, 1), 100)
+    assert rows == [(f"text {i}" if i % 7 else None, i % 2) for i in range(60)] and counts == {0: 30, 1: 30}
+    assert collected and not any("text" in c for c in collected)
+    monkeypatch.setattr(corpus_pipeline, "release", given.append)
+    corpus_pipeline.language_identification(spark, docs, "")
+    assert given == [spark]
